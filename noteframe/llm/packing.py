@@ -180,7 +180,7 @@ def pack_documents(
     """Pack whole documents, cut where a quantum or a window ends, into sequences of `window` tokens.
 
     Every window holds the sources in their shares of all tokens, by deficit round-robin with a quantum of `quantum`
-    tokens (`Schedule`); only the last sequence is not full. A document's ids are those of its text and then `end`, so
+    tokens, a window at most (`Schedule`); only the last sequence is not full. A document's ids are those of its text and then `end`, so
     an empty or null text is the one id `end`. A null source is a source of its own. Rows that repeat are packed each
     time. A piece is one row: doc_id, source queue, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -199,7 +199,7 @@ def pack_documents(
     if not totals:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     placed = docs.join(parts.drop("_n"), ["queue", "part"]).withColumn("start_in_queue", F.col("_base") + F.col("ahead"))
-    return pack(placed, Schedule(totals, quantum), window)
+    return pack(placed, Schedule(totals, min(quantum, window)), window)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
