@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import packing, rules, secrets, sharding, warc
+from noteframe.llm import classifier, decontaminate, packing, rules, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op3_rules": rules.op3_rules,
+        "op4_quality": classifier.op4_quality,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op8_sharding": sharding.op8_sharding,
         "op9_packing": packing.op9_packing,
         "op10_warc": warc.op10_warc,

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def quality_rules(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
             group = np.cumsum(lengths) // GROUP_BYTES
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _random = np.random.default_rng(20240101)
 #: One odd random number for each byte value, and the odd base of the hash with its inverse modulo 2**64.
@@ -83,7 +84,7 @@ class Group:
 
 def groups(batch: pa.RecordBatch, size: int, column: str = "text"):
     """The batch cut into slices of about `size` bytes of text; a longer text is alone."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     number = np.cumsum(lengths) // size
     starts = np.flatnonzero(np.diff(number, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
