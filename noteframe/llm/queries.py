@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import classifier, decontaminate, near, packing, rules, secrets, sharding, warc
+from noteframe.llm import classifier, decontaminate, hmm, near, packing, rules, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": rules.op3_rules,
         "op4_quality": classifier.op4_quality,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_language": hmm.op6_language,
         "op7_near_duplicates": near.op7_near_duplicates,
         "op8_sharding": sharding.op8_sharding,
         "op9_packing": packing.op9_packing,
