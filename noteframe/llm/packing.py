@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from noteframe.llm.common import stored, table, text_of
 
 #: Words kept with their ids in a worker, so that frequent words are not merged anew; the store is emptied when full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 #: Documents of more sources than this share queues by a hash of the source, so that what the driver holds stays bounded.
 MAX_QUEUES = 1024
+#: Totals of tasks' queues are sent to all tasks up to so many rows (about 5 MB).
+MAX_BASES = 100_000
 #: Texts are tokenised in groups of about so many characters.
 GROUP_CHARS = 4_000_000
 
@@ -26,8 +29,11 @@ class Words:
     """Ids of whole texts, from a tokenizer that drops white space and never joins across it.
 
     Such a tokenizer gives the ids of a text as those of its space-separated words in turn, so words are looked up and
-    only unseen ones are encoded. Texts that hold a special token's opening "<|" are encoded whole, as special tokens
-    are found before words are. One instance serves a worker process; it is made again where a process is lost.
+    only unseen ones are encoded. A comma or full stop behind a letter is a token by itself and case does not matter, so
+    such forms share the ids of the bare word; that is used within Latin-1 only, where lower case has no exceptions.
+    Bare words are encoded many at a time and told apart by the ids that end a word. Texts that hold a special token's
+    opening "<|" are encoded whole, as special tokens are found before words are. One instance serves a worker process;
+    it is made again where a process is lost.
     """
 
     made: dict[str, Words] = {}
@@ -37,6 +43,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> Words:
@@ -44,25 +53,56 @@ class Words:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def learn(self, unseen: list[str]) -> None:
+        known, bare, odd, later = self.known, set(), [], []
+        for word in unseen:
+            core, tail = (word[:-1], word[-1]) if word[-1:] in (",", ".") and word[-2:-1].isalpha() else (word, "")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                core = core.lower()
+                later.append((word, core, tail))
+                if core not in known:
+                    bare.add(core)
+            else:
+                odd.append(word)
+        bare = list(bare)
+        for at in range(0, len(bare), 1000):
+            part = bare[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+            else:
+                known.update(zip(part, self.encode(part), strict=True))
+        known.update(zip(odd, self.encode(odd), strict=True))
+        tails = dict(zip((",", "."), self.encode([",", "."]), strict=True)) | {"": b""}
+        for word, core, tail in later:
+            known[word] = known[core] + tails[tail]
+
+    def ids(self, texts: list[str], end: int) -> tuple[np.ndarray, bytes]:
+        """Ids of each text and `end`, four bytes each, end to end; and how many a text has."""
         split = [None if "<|" in x else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known = self.known
-        unseen = list({w for words in split if words for w in words} - known.keys())
-        for at in range(0, len(unseen), 50_000):
-            part = unseen[at : at + 50_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+        self.learn(list({w for words in split if words for w in words} - known.keys()))
         last = np.array([end], "<u4").tobytes()
         out = []
         for text, words in zip(texts, split, strict=True):
-            if words is None:
-                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                found = b"".join(map(known.__getitem__, words))
-            out.append(np.frombuffer(found + last, "<u4"))
-        return out
+            found = b"".join(map(known.__getitem__, words)) if words is not None else self.encode([text])[0]
+            out.append(found + last)
+        return np.array([len(x) // 4 for x in out], np.int64), b"".join(out)
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column whose rows are the next counts[k] items of data each."""
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts * data.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", queue: Column | None = None) -> DataFrame:
@@ -72,21 +112,22 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, so_far = Words.at(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
-            lengths = pa.compute.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            lengths = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             group = np.cumsum(lengths) // GROUP_CHARS
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
                 sub = batch.slice(int(a), int(b - a))
-                queues, found, ahead = sub.column("queue").to_pylist(), words.ids(sub.column("text").to_pylist(), end), []
-                for name, ids in zip(queues, found, strict=True):
+                queues, ahead = sub.column("queue").to_pylist(), []
+                counts, data = words.ids(sub.column("text").to_pylist(), end)
+                for name, n in zip(queues, counts.tolist(), strict=True):
                     ahead.append(so_far.get(name, 0))
-                    so_far[name] = ahead[-1] + len(ids)
+                    so_far[name] = ahead[-1] + n
                 columns = [
                     sub.column("doc_id"),
                     sub.column("queue"),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([x.astype("<u2").tobytes() for x in found], pa.binary()),
-                    pa.array([part] * len(found), pa.int32()),
+                    pa.array(counts),
+                    binaries(np.frombuffer(data, "<u4").astype("<u2"), counts),
+                    pa.array([part] * len(counts), pa.int32()),
                     pa.array(ahead, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "doc_tokens", "ids", "part", "ahead"])
@@ -111,9 +152,8 @@ class Schedule:
         self.quanta = [-(-n // quantum) for n in self.tokens]
         self.number = {x: i for i, x in enumerate(self.names)}
 
-    def places(self, queue: str, quanta: np.ndarray) -> np.ndarray:
-        """Tokens that leave before the given quanta (numbers counted from 0) of a queue."""
-        own = self.number[queue]
+    def places(self, own: int, quanta: np.ndarray) -> np.ndarray:
+        """Tokens that leave before the given quanta (numbers counted from 0) of the queue of that number."""
         wide = max(self.quanta) ** 2 > 2**61
         c, out = quanta.astype(object if wide else np.int64) * 2 + 1, 0
         for other, (m, n) in enumerate(zip(self.quanta, self.tokens, strict=True)):
@@ -126,47 +166,49 @@ class Schedule:
 def pack(docs: DataFrame, schedule: Schedule, window: int) -> DataFrame:
     """Pieces of the tokenised documents (with `start_in_queue`) and the sequences that hold them; ids: four bytes each."""
 
-    def cut(start: int, length: int, queue: str) -> tuple[np.ndarray, ...]:
+    def cut(start: np.ndarray, length: np.ndarray, queue: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of documents at `start` of their queues: which one a piece is of, its ends in the queue, its place in the stream."""
         q = schedule.quantum
-        quanta = np.arange(start // q, (start + length - 1) // q + 1)
-        begins = np.maximum(quanta * q, start)
-        ends = np.minimum((quanta + 1) * q, start + length)
-        at = schedule.places(queue, quanta) + begins - quanta * q
-        over = at // window != (at + (ends - begins) - 1) // window  # a quantum may lie over the end of a window
-        middle = begins[over] + window - at[over] % window
-        begins, at = np.concatenate([begins, middle]), np.concatenate([at, at[over] + middle - begins[over]])
-        ends = np.concatenate([np.where(over, 0, ends), ends[over]])
-        ends[: len(over)][over] = middle
-        order = np.argsort(begins)
-        begins, ends, at = begins[order], ends[order], at[order]
-        joined = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + ends[:-1] - begins[:-1]) | (at[1:] % window == 0)))
-        return begins[joined] - start, np.append(ends[joined[1:] - 1], ends[-1]) - start, at[joined]
+        first = start // q
+        counts = (start + length - 1) // q - first + 1
+        doc = np.repeat(np.arange(len(start)), counts)
+        quanta = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + first[doc]
+        begin, stop, at = np.maximum(quanta * q, start[doc]), np.minimum((quanta + 1) * q, (start + length)[doc]), np.empty(len(doc), np.int64)
+        for k in np.unique(queue):
+            own = np.flatnonzero(queue[doc] == k)
+            at[own] = schedule.places(int(k), quanta[own]) + begin[own] - quanta[own] * q
+        room = window - at % window
+        over = np.flatnonzero(stop - begin > room)  # a quantum is no longer than a window, so it lies in two at most
+        doc, begin, at = np.append(doc, doc[over]), np.append(begin, begin[over] + room[over]), np.append(at, at[over] + room[over])
+        stop = np.append(stop, stop[over])
+        stop[over] = begin[len(room) :]
+        order = np.lexsort((begin, doc))
+        doc, begin, stop, at = doc[order], begin[order], stop[order], at[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (stop - begin)[:-1]) | (at[1:] % window == 0))
+        piece = np.flatnonzero(new)
+        return doc[piece], begin[piece], stop[np.append(piece[1:], len(doc)) - 1], at[piece]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked, begins, sizes, places, data = [], [], [], [], []
-            columns = [batch.column(x).to_pylist() for x in ("start_in_queue", "doc_tokens", "queue")]
-            for k, (start, length, queue) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u2").astype("<u4").tobytes()
-                a, b, at = cut(start, length, queue)
-                picked.append(np.full(len(a), k)), begins.append(a), sizes.append(b - a), places.append(at)
-                data += [ids[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            if not picked:
+            if not len(batch):
                 continue
-            picked, at = np.concatenate(picked), np.concatenate(places)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(picked)),
-                    batch.column("queue").take(pa.array(picked)),
-                    pa.array(np.concatenate(begins), pa.int64()),
-                    pa.array(np.concatenate(sizes), pa.int64()),
-                    pa.array(data, pa.binary()),
-                    batch.column("doc_tokens").take(pa.array(picked)),
-                    pa.array(at // window, pa.int64()),
-                    pa.array(at % window, pa.int64()),
-                ],
-                ["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+            start, length = (batch.column(x).to_numpy() for x in ("start_in_queue", "doc_tokens"))
+            queue = np.array([schedule.number[x] for x in batch.column("queue").to_pylist()])
+            doc, begin, stop, at = cut(start, length, queue)
+            # pieces in this order lie end to end in the documents' ids
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4")
+            which = pa.array(doc)
+            columns = [
+                batch.column("doc_id").take(which),
+                batch.column("queue").take(which),
+                pa.array(begin - start[doc]),
+                pa.array(stop - begin),
+                binaries(ids, stop - begin),
+                batch.column("doc_tokens").take(which),
+                pa.array(at // window),
+                pa.array(at % window),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "queue", "doc_tokens", "ids", "start_in_queue").mapInArrow(
@@ -198,7 +240,10 @@ def pack_documents(
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("_n").alias("n")).collect()}
     if not totals:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    placed = docs.join(parts.drop("_n"), ["queue", "part"]).withColumn("start_in_queue", F.col("_base") + F.col("ahead"))
+    bases = parts.drop("_n")
+    if parts.count() <= MAX_BASES:  # else joined by a shuffle
+        bases = F.broadcast(bases)
+    placed = docs.join(bases, ["queue", "part"]).withColumn("start_in_queue", F.col("_base") + F.col("ahead"))
     return pack(placed, Schedule(totals, min(quantum, window)), window)
 
 
