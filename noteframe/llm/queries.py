@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import classifier, decontaminate, hmm, near, packing, rules, secrets, sharding, warc
+from noteframe.llm import classifier, decontaminate, hmm, near, packing, rules, secrets, sharding, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_repeats": suffixes.op2_repeats,
         "op3_rules": rules.op3_rules,
         "op4_quality": classifier.op4_quality,
         "op5_decontamination": decontaminate.op5_decontamination,
