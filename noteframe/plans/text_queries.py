@@ -41,9 +41,7 @@ def escape_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.escape_html("html").alias("escaped"))
 
 
-@query(
-    r"select note_id, list_concat(list_transform(regexp_extract_all(html, '\$\$([\s\S]*?)\$\$', 1), lambda x: trim(x)), list_transform(regexp_extract_all(regexp_replace(html, '\$\$([\s\S]*?)\$\$', '', 'g'), '\$([^$]+?)\$', 1), lambda x: trim(x))) as formulas from html_notes"
-)
+@query()
 def formulas(t: Tables) -> DataFrame:
     return t.html_notes.select("note_id", T.extract_formulas("html").alias("formulas"))
 
