@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteframe.operators import accounts, changes, enrich, integrity, study
@@ -11,8 +11,13 @@ from noteframe.plans.fixtures import Tables
 from noteframe.sources import media
 from noteframe.streaming import stream
 
-AS_OF = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
 AS_OF_SQL = "timestamp '2024-06-01 00:00:00'"
+
+
+def as_of() -> Column:
+    return F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+
+
 TRIM = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 
 # enrichment
@@ -154,7 +159,7 @@ def accept_reprocess(t: Tables) -> DataFrame:
 @query(f"select id, owner_id, case when id % 10 = 3 then 'Renamed' else name end as name, color, case when id % 10 in (3, 4) then {AS_OF_SQL} else updated_at end as updated_at from notebooks")
 def patch_notebooks(t: Tables) -> DataFrame:
     patches = t.notebooks.where("id % 10 in (3, 4, 5)").selectExpr("id", "owner_id + case when id % 10 = 5 then 1 else 0 end as owner_id", "case when id % 10 = 3 then 'Renamed' end as name", "cast(null as string) as color")
-    return changes.patch_notebooks(t.notebooks, patches, AS_OF).select("id", "owner_id", "name", "color", "updated_at")
+    return changes.patch_notebooks(t.notebooks, patches, as_of()).select("id", "owner_id", "name", "color", "updated_at")
 
 
 @query(
@@ -163,7 +168,7 @@ def patch_notebooks(t: Tables) -> DataFrame:
 )
 def create_notebooks(t: Tables) -> DataFrame:
     new = t.notebooks.where("id % 9 = 0").selectExpr("concat('Book ', lpad(cast(id as string), 9, '0')) as name", "owner_id", "case when id % 2 = 0 then '#123456' else '' end as color")
-    return changes.create_notebooks(t.notebooks, new, AS_OF).select("id", "name", "owner_id", "color", "updated_at")
+    return changes.create_notebooks(t.notebooks, new, as_of()).select("id", "name", "owner_id", "color", "updated_at")
 
 
 _ADDS = "select distinct n.owner_id, b.id as notebook_id, n.id as note_id from notes n join notebooks b on b.owner_id = n.owner_id where n.id % 3 = 0 and b.id % 4 = 0"
@@ -176,17 +181,17 @@ def _adds(t: Tables) -> DataFrame:
 
 @query(f"select note_id, notebook_id from note_notebooks union select note_id, notebook_id from ({_ADDS})")
 def add_members(t: Tables) -> DataFrame:
-    return changes.add_members(_adds(t), t.notebooks, t.notes, t.note_notebooks, AS_OF)[1].select("note_id", "notebook_id")
+    return changes.add_members(_adds(t), t.notebooks, t.notes, t.note_notebooks, as_of())[1].select("note_id", "notebook_id")
 
 
 @query(f"select id, case when id in (select notebook_id from ({_ADDS}) a where not exists (select 1 from note_notebooks m where m.note_id = a.note_id and m.notebook_id = a.notebook_id)) then {AS_OF_SQL} else updated_at end as updated_at from notebooks")
 def add_members_touched(t: Tables) -> DataFrame:
-    return changes.add_members(_adds(t), t.notebooks, t.notes, t.note_notebooks, AS_OF)[0].select("id", "updated_at")
+    return changes.add_members(_adds(t), t.notebooks, t.notes, t.note_notebooks, as_of())[0].select("id", "updated_at")
 
 
 @query(f"select note_id, notebook_id from note_notebooks except select note_id, notebook_id from ({_ADDS})")
 def remove_members(t: Tables) -> DataFrame:
-    return changes.remove_members(_adds(t), t.notebooks, t.note_notebooks, AS_OF)[1].select("note_id", "notebook_id")
+    return changes.remove_members(_adds(t), t.notebooks, t.note_notebooks, as_of())[1].select("note_id", "notebook_id")
 
 
 @query("select id, case when id % 3 = 0 then coalesce(share_token, concat('new-', id)) else share_token end as share_token from notes")
@@ -249,7 +254,7 @@ def _replaced(t: Tables) -> tuple[DataFrame, DataFrame]:
     made = t.notes.where("id % 4 = 0").selectExpr(
         "id as note_id", "owner_id", "title as note_title", "id % 2 = 0 as regenerate", "array(named_struct('question', 'q1', 'answer', 'a1'), named_struct('question', 'q2', 'answer', 'a2')) as cards"
     )
-    return changes.replace_flashcards(made, t.flashcard_sets, t.flashcards, AS_OF)
+    return changes.replace_flashcards(made, t.flashcard_sets, t.flashcards, as_of())
 
 
 @query("select id, case when id % 6 = 0 then concat('about ', id) else ai_summary end as ai_summary, case when id % 4 = 1 then 'maths' else subject end as subject, case when id % 4 = 1 then 'a, b' else tags end as tags from notes")
@@ -264,7 +269,7 @@ def stored_answers(t: Tables) -> DataFrame:
 )
 def append_explanations(t: Tables) -> DataFrame:
     made = t.notes.where("id % 8 = 1").selectExpr("case when id % 3 <> 0 then id end as note_id", "owner_id", "title as highlighted_text", "'made' as explanation")
-    return changes.append_explanations(t.ai_explanations, made, AS_OF).select("id", "note_id", "explanation", "created_at")
+    return changes.append_explanations(t.ai_explanations, made, as_of()).select("id", "note_id", "explanation", "created_at")
 
 
 def _violations() -> str:
