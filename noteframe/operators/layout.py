@@ -25,6 +25,8 @@ BULLET = '<div style="display:flex;gap:10px;margin-bottom:6px;line-height:1.75;"
 KEY = "color:#FF9800;font-weight:bold;text-transform:uppercase;letter-spacing:0.05em;"
 DIAGRAM = "border:2px dashed #FFB74D;border-radius:8px;padding:16px;margin:12px 0;background:#FFF8E1;font-style:italic;color:#5D4037;"
 LABELS = "margin-top:6px;color:#FF9800;font-size:0.9em;"
+#: Stands for the content in a template; no template holds it otherwise.
+MARK = "\u0001"
 META_BLOCK = '<div style="text-align:right;margin:4px 0 10px;opacity:0.92;">'
 GRID_THREE = '<div style="display:grid;grid-template-columns:1fr 2fr 1fr;gap:16px;margin:12px 0;align-items:start;"><div>'
 
@@ -105,6 +107,11 @@ def clean_elements(elements: DataFrame) -> DataFrame:
 # element text and HTML
 
 
+def described(elements: DataFrame) -> DataFrame:
+    """The elements with `_words` and `_meta`, computed once for all that need them."""
+    return complete(elements).withColumns({"_words": element_word_count(), "_meta": is_metadata_element()})
+
+
 def element_text() -> Column:
     children = F.filter(F.transform(F.coalesce("children", F.array().cast("array<string>")), T.clean_ws), lambda x: x != "")
     content = T.clean_ws("content")
@@ -133,7 +140,9 @@ def _div(style: Column | str, inner: Column) -> Column:
 def element_to_html(escape: bool = False) -> Column:
     """An element's HTML by its type, container and style. Texts stand as they are unless `escape` is set."""
     safe = T.escape_html if escape else (lambda c: c)
-    content, container = safe(T.clean_ws("content")), F.coalesce("container", F.lit("none"))
+    # every template holds the content once; a mark stands for it until the template is chosen
+    text, container = safe(T.clean_ws("content")), F.coalesce("container", F.lit("none"))
+    content = F.lit(MARK)
     box, circled, underlined = container == "box", container == "circled", container == "underlined"
     size = F.when(F.coalesce("is_large", F.lit(False)), "1.5em").otherwise("1.2em")
     base = F.concat(F.lit("font-size: "), size, F.lit(f"; {HEADER}"))
@@ -142,20 +151,22 @@ def element_to_html(escape: bool = False) -> Column:
     items = F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c: F.concat(F.lit(BULLET), safe(T.clean_ws(c)), F.lit("</span></div>")))
     bullets = F.array_join(items, "")
     bullet_list = F.when(box, _div(BOX, bullets)).when(circled, _div(CIRCLED, bullets)).otherwise(_div("margin:12px 0;", bullets))
-    parts = key_value_split(content)
+    parts = key_value_split(text)
     pair = F.concat(F.lit(f'<span style="{KEY}">'), parts[0], F.lit(":</span> "), F.get(parts, F.lit(1)))
-    inner = F.when(F.size(parts) == 2, pair).otherwise(content)
+    inner = F.when(F.size(parts) == 2, pair).otherwise(text)
     key_value = F.when(box, _div(BOX, inner)).otherwise(_div("margin:8px 0;line-height:1.75;", inner))
     labels = F.array_join(F.transform("labels", lambda c: safe(T.clean_ws(c))), ", ")
     labelled = F.when(F.size(F.coalesce("labels", F.array().cast("array<string>"))) > 0, _div(LABELS, F.concat(F.lit("Labels: "), labels))).otherwise("")
-    described = F.when(F.col("description").isNotNull(), safe(T.clean_ws("description"))).otherwise(content)
+    described = F.when(F.col("description").isNotNull(), safe(T.clean_ws("description"))).otherwise(text)
     diagram = _div(DIAGRAM, F.concat(F.lit("📊 "), described, labelled))
     weight = F.when(F.coalesce("is_bold", F.lit(False)), "bold").otherwise("normal")
     framed = lambda css: _div(F.concat(F.lit(f"{css} font-weight:"), weight, F.lit(";line-height:1.75;")), content)
     p = lambda more: F.concat(F.lit('<p style="margin:10px 0;line-height:1.75;font-weight:'), weight, F.lit(f';{more}">'), content, F.lit("</p>"))
     other = F.when(box, framed(BOX)).when(circled, framed(CIRCLED)).when(underlined, p(UNDERLINED)).otherwise(p(""))
     kind = T.filled("type")
-    return F.when(kind == "header", header).when(kind == "bullet_list", bullet_list).when(kind == "key_value", key_value).when(kind == "diagram", diagram).otherwise(other)
+    chosen = F.when(kind == "header", header).otherwise(other)
+    filled = F.concat(F.substring_index(chosen, MARK, 1), text, F.substring_index(chosen, MARK, -1))
+    return F.when(kind == "bullet_list", bullet_list).when(kind == "key_value", key_value).when(kind == "diagram", diagram).otherwise(filled)
 
 
 # bands
@@ -179,7 +190,8 @@ def _sides() -> tuple[Column, Column]:
 def band_stats(banded: DataFrame) -> DataFrame:
     """Per band: elements, words and elements left and right without metadata, span of y, elements at neither side, least x."""
     left, right = _sides()
-    rows = complete(banded).withColumns({"_left": left, "_right": right, "_meta": is_metadata_element(), "_words": element_word_count()})
+    rows = banded if "_meta" in banded.columns else described(banded)
+    rows = rows.withColumns({"_left": left, "_right": right})
     words = lambda side: F.coalesce(F.sum(F.when(F.col(side) & ~F.col("_meta"), F.col("_words"))), F.lit(0))
     return rows.groupBy("page_id", "band").agg(
         F.count(F.lit(1)).alias("elements"),
@@ -210,29 +222,32 @@ def should_render_as_columns(layout: Column) -> Column:
 def build_page_html(elements: DataFrame, pages: DataFrame, escape: bool = False) -> DataFrame:
     """page_id and html of every page that has elements, which come in their final order `ord`."""
     left, right = _sides()
-    banded = assign_bands(complete(elements))
+    banded = assign_bands(described(elements))
     stats = band_stats(banded).join(pages.select("page_id", F.coalesce("page_layout", F.lit("unknown")).alias("page_layout")), "page_id", "left")
     stats = stats.select("page_id", "band", F.coalesce(should_render_as_columns(F.col("page_layout")), F.lit(False)).alias("columns"), "left_x", "right_x")
-    item = F.struct("ord", element_to_html(escape).alias("html"), is_metadata_element().alias("meta"), left.alias("left"), right.alias("right"), y_of().alias("y"), (T.filled("type") == "header").alias("header"))
+    item = F.struct("ord", element_to_html(escape).alias("html"), F.col("_meta").alias("meta"), left.alias("left"), right.alias("right"), y_of().alias("y"), (T.filled("type") == "header").alias("header"))
     bands = banded.groupBy("page_id", "band").agg(F.array_sort(F.collect_list(item)).alias("items")).join(stats, ["page_id", "band"])
     joined = lambda c: F.array_join(F.transform(c, lambda e: e["html"]), "")
-    meta, content = F.filter("items", lambda e: e["meta"]), F.filter("items", lambda e: ~e["meta"])
-    block = F.concat(F.lit(META_BLOCK), joined(meta), F.lit("</div>"))
-    headed = F.coalesce(F.get(content, F.lit(0))["header"], F.lit(False))
-    linear = (
-        F.when(F.size(meta) == 0, joined("items"))
-        .when(headed, F.concat(F.get(content, F.lit(0))["html"], block, joined(F.slice(content, 2, F.size(content) + 1))))
-        .otherwise(F.concat(block, joined(content)))
-    )
     side = lambda keep: joined(F.filter("items", keep))
-    lefts, rights = side(lambda e: e["left"]), side(lambda e: e["right"])
-    centre = F.array_sort(F.transform(F.filter("items", lambda e: ~e["left"] & ~e["right"]), lambda e: F.struct(e["y"].alias("y"), e["ord"].alias("ord"), e["html"].alias("html"))))
-    three = F.concat(F.lit(GRID_THREE), lefts, F.lit('</div><div style="text-align:center;">'), joined(centre), F.lit('</div><div style="text-align:right;">'), rights, F.lit("</div></div>"))
-    widths = T.grid_fractions(F.col("left_x"), F.col("right_x"))
+    middle = F.transform(F.filter("items", lambda e: ~e["left"] & ~e["right"]), lambda e: F.struct(e["y"].alias("y"), e["ord"].alias("ord"), e["html"].alias("html")))
+    bands = bands.withColumns({"meta": F.filter("items", lambda e: e["meta"]), "content": F.filter("items", lambda e: ~e["meta"])})
+    bands = bands.withColumns(
+        {
+            "block": F.when(F.size("meta") > 0, F.concat(F.lit(META_BLOCK), joined("meta"), F.lit("</div>"))).otherwise(""),
+            "head": F.get("content", F.lit(0)),
+            "lefts": F.when(F.col("columns"), side(lambda e: e["left"])),
+            "rights": F.when(F.col("columns"), side(lambda e: e["right"])),
+            "centre": F.when(F.col("columns"), joined(F.array_sort(middle))),
+            "widths": T.grid_fractions(F.col("left_x"), F.col("right_x")),
+        }
+    )
+    headed = (F.size("meta") > 0) & F.coalesce(F.col("head.header"), F.lit(False))
+    linear = F.when(headed, F.concat("head.html", "block", joined(F.slice("content", 2, F.size("content") + 1)))).otherwise(F.concat("block", joined("content")))
+    three = F.concat(F.lit(GRID_THREE), "lefts", F.lit('</div><div style="text-align:center;">'), "centre", F.lit('</div><div style="text-align:right;">'), "rights", F.lit("</div></div>"))
     two = F.concat(
-        F.lit('<div style="display:grid;grid-template-columns:'), widths["left_fr"].cast("string"), F.lit("fr "), widths["right_fr"].cast("string"),
-        F.lit('fr;gap:24px;margin:12px 0;"><div>'), lefts, F.lit("</div><div>"), rights, F.lit("</div></div>"),
+        F.lit('<div style="display:grid;grid-template-columns:'), F.col("widths.left_fr").cast("string"), F.lit("fr "), F.col("widths.right_fr").cast("string"),
+        F.lit('fr;gap:24px;margin:12px 0;"><div>'), "lefts", F.lit("</div><div>"), "rights", F.lit("</div></div>"),
     )
-    html = F.when(~F.col("columns"), linear).when(F.size(centre) > 0, three).otherwise(two)
+    html = F.when(~F.col("columns"), linear).when(F.exists("items", lambda e: ~e["left"] & ~e["right"]), three).otherwise(two)
     rendered = bands.select("page_id", F.struct("band", html.alias("html")).alias("part"))
     return rendered.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["html"]), "").alias("html"))

@@ -50,7 +50,7 @@ select doc_id as page_id, pass, case pass when 1 then substr(text, 1, cast((doc_
  case pass when 1 then doc_id % 5 when 2 then doc_id % 4 else 0 end as n_elements,
  case when pass = 1 and doc_id % 17 = 0 then 'timeout' when pass = 2 and doc_id % 7 = 0 then 'JSON parse failed'
       when pass = 3 and doc_id % 19 = 0 then 'timeout' end as error
-from documents cross join (select 1 as pass union all select 2 union all select 3) p
+from (select *, 1 as pass from documents union all select *, 2 as pass from documents union all select *, 3 as pass from documents) p
 """,
     "study_events": r"""
 select event_id, user_id as session_id, event_id % 20 as card_idx, ts,
@@ -59,7 +59,7 @@ select event_id, user_id as session_id, event_id % 20 as card_idx, ts,
     "flashcard_sets": r"""
 select conv_id * 10 + v as id, conv_id as note_id, conv_id % 50 as owner_id, concat('Flashcards for Note ', conv_id) as title,
  timestamp '2024-02-01 00:00:00' + ((conv_id * 31 + v * 17) % 1000) * interval '1' hour as created_at
-from (select distinct conv_id from conversations) c cross join (select 0 as v union all select 1) k where (conv_id + v) % 3 <> 0
+from (select distinct conv_id, 0 as v from conversations union all select distinct conv_id, 1 as v from conversations) c where (conv_id + v) % 3 <> 0
 """,
     "flashcards": r"""
 select s.id * 100 + q.turn as id, s.id as set_id, q.text as question, a.text as answer
