@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import classifier, decontaminate, hmm, near, packing, rules, secrets, sharding, suffixes, warc
+from noteframe.llm import classifier, decontaminate, hmm, near, oracles, packing, rules, secrets, sharding, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
