@@ -20,9 +20,13 @@ def set_audit(df: DataFrame, as_of: Column, *columns: str) -> DataFrame:
 
 
 def next_ids(new: DataFrame, old: DataFrame, order: str) -> DataFrame:
-    """Number new rows on from the largest old id, in the given order. Ranks within hash-free blocks are offset by block counts."""
+    """Number new rows on from the largest old id, in the given order.
+
+    Rows are sorted by ranges of the order; a row's number is its place in its range and the counts of the ranges before.
+    The sorted rows are kept, as numbers and counts have to come from the same ranges.
+    """
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ranked = new.orderBy(order).withColumn("_m", F.monotonically_increasing_id())
+    ranked = new.orderBy(order).withColumn("_m", F.monotonically_increasing_id()).persist()
     block = F.shiftright("_m", 33)
     sizes = ranked.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(W.orderBy("_block")) - F.col("_size")).drop("_size")
