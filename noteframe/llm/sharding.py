@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteframe.llm.common import table, text_of
+from noteframe.llm.common import stored, table, text_of
 
 #: Ranking runs in this many buckets of the shuffle key; a bucket holds rows / BUCKETS rows of any source, however hot.
 BUCKETS = 4096
@@ -23,8 +23,8 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     Rows of a source are ranked in a seeded shuffle; rank r of n gets the fraction (2r + 1) / 2n. All rows are ranked
     by that fraction (ties: source, then shuffle key) and position p of N goes to shard floor(p * shards / N), slot
     counted from 0. Ranks are taken in buckets (of the shuffle key, then of the fraction) to which the counts of the
-    earlier buckets are added, so that a source with any share of the rows never meets in one task, and no row is sent
-    more than its id, source and key: other columns of `df` stay beside them only if the caller selected them.
+    earlier buckets are added, so that a source with any share of the rows never meets in one task. All columns of `df` are
+    moved and, once ranked, written to the shared folder, so callers select what they need and join texts afterwards.
 
     Null ids share one shuffle key, null sources form one source of their own. Rows that are alike in id and source
     are told apart arbitrarily; their shards are still balanced. An empty frame gives an empty result. The columns
@@ -49,11 +49,9 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     # the fraction is _twice / (2 * _total); as a decimal it is exact enough to be ordered alike by every engine
     ranked = ranked.withColumn("_fraction", F.col("_twice").cast("double") / (F.col("_total") * 2).cast("double"))
     ranked = ranked.withColumn("_band", F.floor(F.col("_fraction") * BUCKETS).cast("int"))
-    # how many rows of each stratum precede a band follows from the counts alone, so bands need no second scan
-    edges = counts.groupBy("_stratum").agg(F.sum("_n").alias("_total"))
-    edges = edges.select("_total", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("_band"))
-    lower = F.greatest(F.lit(0), F.ceil((F.col("_band") * F.col("_total") / F.lit(BUCKETS)) - F.lit(0.5)))
-    edges = edges.groupBy("_band").agg(F.sum(lower).cast("long").alias("_ahead"), F.sum("_total").alias("_all"))
+    ranked = stored(ranked, "ranked")
+    bands = ranked.groupBy("_band").agg(F.count(F.lit(1)).alias("_size"))  # BUCKETS rows at most
+    edges = bands.select("_band", (F.sum("_size").over(W.orderBy("_band")) - F.col("_size")).alias("_ahead"), F.sum("_size").over(W.partitionBy()).alias("_all"))
     order = W.partitionBy("_band").orderBy("_fraction", "_stratum", "_key")
     placed = ranked.withColumn("_in_band", F.row_number().over(order) - 1).join(edges, "_band")
     position = F.col("_ahead") + F.col("_in_band")
