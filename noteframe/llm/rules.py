@@ -52,7 +52,7 @@ def ranks_by_doubling(codes: np.ndarray, owner: np.ndarray, most: int) -> list[n
     return levels
 
 
-def first_ranks(codes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+def first_ranks(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Ranks of single words, in which words of different texts differ."""
     order = np.lexsort((codes, owner))
     a, b = owner[order], codes[order]
@@ -71,7 +71,7 @@ def repeats(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     longest repeat is the larger of the two to its neighbours: the interval of the array that it belongs to.
     """
     n = len(codes)
-    levels = ranks_by_doubling(first_ranks(codes, owner, 0), owner, n)
+    levels = ranks_by_doubling(first_ranks(codes, owner), owner, n)
     order = np.argsort(levels[-1], kind="stable")
     left, right = order[:-1].copy(), order[1:].copy()
     common = np.zeros(max(n - 1, 0), np.int64)
