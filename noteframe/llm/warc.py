@@ -17,6 +17,8 @@ from noteframe.llm.common import cut, fresh_path, table
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
 RECORD_ID = "urn:noteframe:page:"
+#: Digests that several pages share are sent to all tasks up to so many (about 10 MB).
+MAX_SHARED = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -40,6 +42,9 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     shared = pages.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = cut(shared)
+    if shared.count() <= MAX_SHARED:  # else payloads are shuffled to the digests
+        shared = F.broadcast(shared)
     both = pages.join(shared, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("first")))
     size = F.octet_length("payload").cast("string")
