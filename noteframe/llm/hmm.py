@@ -20,12 +20,12 @@ STATES, ROUNDS = 8, 3
 #: Words that are observed as themselves; all others are observed as one of TAILS classes, by their last two bytes.
 OWN_CLASS, TAILS = 4095, 256
 #: Words whose counts every task holds, at most; the counts of all rarer ones are joined.
-FREQUENT = 400_000
+FREQUENT = 250_000
 #: Distinct words that a task gathers before it passes their counts on.
-GATHERED = 500_000
-GROUP_BYTES = 4_000_000
+GATHERED = 300_000
+GROUP_BYTES = 2_000_000
 #: Texts are run through the model together up to so many tokens.
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 1_000_000
 #: The end of a text as a token: no word is empty.
 END = b""
 
