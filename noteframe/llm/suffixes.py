@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteframe.llm.common import stored, table, text_of
+from noteframe.llm.packing import binaries
 from noteframe.llm.tokens import NOT_SPACE, Group, groups, mix, span_hashes
 
 #: A string of so many bytes that stands twice is removed.
@@ -30,11 +32,11 @@ K, WINDOW = 20, 100
 LAST = LENGTH - K - WINDOW + 1
 #: What equal strings have in whole phrases at least.
 SHARED = LAST - WINDOW + 1
-#: A name of the last of so many rounds of recursion stands for 27 phrases or more; see `suffix_ranks`.
-ROUNDS = 2
+#: After so many rounds of recursion names stand for nine phrases; see `suffix_ranks`.
+ROUNDS = 1
 #: Bits of the fixed-size filters for phrases and windows.
 FILTER_BITS = 26
-GROUP_BYTES = 1_500_000
+GROUP_BYTES = 600_000
 
 
 def cuts(g: Group) -> np.ndarray:
@@ -61,24 +63,42 @@ def phrases_of(g: Group, text: int, places: np.ndarray) -> tuple[np.ndarray, np.
     return own, own[np.append(True, own[1:] != own[:-1])]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text as binary) with `key`, the task and place of each row in the scan: the same each time the table is read."""
+#: Fixed odd numbers that spread keys over a filter, 63 bits.
+SPREAD = 0x1E3779B97F4A7C15
+
+
+def spread(key: Column) -> Column:
+    """The upper bits of a product that keeps 63 bits; the same as in `keyed`."""
+    low, high = key.bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright(key, 31)
+    mixed = (low * F.lit(SPREAD % (1 << 31)) + high * F.lit((SPREAD >> 13) % (1 << 31))).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.shiftleft(mixed, 32)
+
+
+def keyed(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """docs with `key`, the task and place of each row in the scan: the same each time the table is read. With `bits` only keys that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        so_far = TaskContext.get().partitionId() << 32
+        so_far, wanted = TaskContext.get().partitionId() << 32, shared.value
         for batch in batches:
-            keys = pa.array(np.arange(len(batch)) + so_far)
+            keys = np.arange(len(batch), dtype=np.int64) + so_far
             so_far += len(batch)
-            yield pa.RecordBatch.from_arrays([keys, *batch.columns], ["key", *batch.schema.names])
+            out = pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *batch.schema.names])
+            if wanted is not None:
+                half = (1 << 31) - 1
+                mixed = (((keys & half) * (SPREAD % (1 << 31))) + (keys >> 31) * ((SPREAD >> 13) % (1 << 31))) & half
+                out = out.filter(pa.array(passes(wanted, (mixed << 32).astype(np.uint64))))
+            yield out
 
     fields = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
     return docs.mapInArrow(run, f"key long, {fields}")
 
 
-def phrase_table(rows: DataFrame) -> DataFrame:
-    """key, n_bytes, sum (md5 of the text), phrases (hashes, eight bytes each) and sizes (four bytes each) of every text."""
+def phrase_table(docs: DataFrame) -> DataFrame:
+    """key (as `keyed` gives it), n_bytes, sum (md5 of the text), phrases (hashes, eight bytes each) and sizes (one byte each, as WINDOW bounds them) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 32
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), NOT_SPACE)
@@ -86,11 +106,12 @@ def phrase_table(rows: DataFrame) -> DataFrame:
                 for k, n in enumerate(g.bytes.tolist()):
                     starts = phrases_of(g, k, places)[1] if n >= LENGTH else np.zeros(1, np.int64)
                     found.append((span_hashes(g.prefix, starts[:-1], starts[1:]) >> np.uint64(1)).tobytes())
-                    sizes.append(np.diff(starts).astype("<u4").tobytes())
-                columns = [sub.column("key"), pa.array(g.bytes), sub.column("sum"), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())]
+                    sizes.append(np.diff(starts).astype(np.uint8).tobytes())
+                columns = [pa.array(np.arange(len(sub)) + key), pa.array(g.bytes), sub.column("sum"), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())]
+                key += len(sub)
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "sum", "phrases", "sizes"])
 
-    return rows.select("key", "text", F.md5("text").alias("sum")).mapInArrow(run, "key long, n_bytes long, sum string, phrases binary, sizes binary")
+    return docs.select("text", F.md5("text").alias("sum")).mapInArrow(run, "key long, n_bytes long, sum string, phrases binary, sizes binary")
 
 
 def filter_of(values: DataFrame) -> np.ndarray:
@@ -114,13 +135,16 @@ def runs_of(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            keys, firsts, parts, lengths = [], [], [], []
             for key, p, s in zip(batch.column("key").to_pylist(), batch.column("phrases").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                hashes, sizes = np.frombuffer(p, np.uint64), np.frombuffer(s, "<u4")
+                hashes, sizes = np.frombuffer(p, np.uint64), np.frombuffer(s, np.uint8).astype(np.int32)
                 edge = np.flatnonzero(np.diff(passes(shared.value, hashes).view(np.int8), prepend=0, append=0))
-                out += [(key, a, hashes[a:b].view(np.int64).tolist(), sizes[a:b].tolist()) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True) if sizes[a:b].sum() >= SHARED]
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else ([],) * 4, kinds, strict=True)]
+                for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+                    if sizes[a:b].sum() >= SHARED:
+                        keys.append(key), firsts.append(a), parts.append(hashes[a:b].view(np.int64)), lengths.append(sizes[a:b])
+            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32))
+            join = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], kind))
+            columns = [pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), join(parts, pa.int64()), join(lengths, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "first", "phrases", "sizes"])
 
     return texts.select("key", "phrases", "sizes").mapInArrow(run, "key long, first int, phrases array<long>, sizes array<int>")
@@ -229,44 +253,45 @@ def shared_phrases(runs: DataFrame) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, phrases, sizes, ranks in zip(*(batch.column(c).to_pylist() for c in ("run", "phrases", "sizes", "ranks")), strict=True):
-                data, ends = np.array(phrases, "<i8"), np.append(0, np.cumsum(sizes))
-                last = np.minimum(np.searchsorted(ends, ends[:-1] + LENGTH), len(phrases)).tolist()
-                raw = data.tobytes()
-                n = len(phrases)
-                columns = [pa.array(ranks, pa.int64()), pa.array([run] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([raw[8 * i : 8 * b] for i, b in enumerate(last)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["rank", "run", "i", "prefix"])
+            if not len(batch):
+                continue
+            flat = lambda c: batch.column(c).flatten().to_numpy()
+            data, sizes, ranks = flat("phrases"), flat("sizes").astype(np.int64), flat("ranks")
+            counts = np.diff(batch.column("phrases").offsets.to_numpy())
+            stop = np.repeat(np.cumsum(counts), counts)  # where the run of each phrase ends
+            ends = np.append(0, np.cumsum(sizes))
+            n = len(data)
+            last = np.minimum(np.searchsorted(ends, ends[:-1] + LENGTH), stop)
+            width = last - np.arange(n)
+            at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(np.arange(n), width)
+            own = np.arange(n) - (stop - np.repeat(counts, counts))
+            columns = [pa.array(ranks), pa.array(np.repeat(batch.column("run").to_numpy(), counts)), pa.array(own.astype(np.int32)), binaries(data[at], width)]
+            yield pa.RecordBatch.from_arrays(columns, ["rank", "run", "i", "prefix"])
 
     suffixes = full.mapInArrow(prefixes, "rank long, run long, i int, prefix binary").orderBy("rank", "run", "i")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen, names = TaskContext.get().partitionId(), None, False, ["run", "i", "shared", "part", "prefix"]
+        part, last, names = TaskContext.get().partitionId(), None, ["run", "i", "shared", "part", "prefix"]
 
-        def batch_of(run: list, i: list, shared: list, edge: list[bytes] | None = None, side: int = 0) -> pa.RecordBatch:
-            m = len(run)
-            kinds = [pa.array(run, pa.int64()), pa.array(i, pa.int32()), pa.array(shared, pa.int32())]
-            kinds += [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())] if edge is None else [pa.array([2 * part + side] * m, pa.int32()), pa.array(edge, pa.binary())]
+        def edge(row: tuple, side: int) -> pa.RecordBatch:
+            kinds = [pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int32()), pa.array([0], pa.int32()), pa.array([2 * part + side], pa.int32()), pa.array([row[2]], pa.binary())]
             return pa.RecordBatch.from_arrays(kinds, names)
 
         for batch in batches:
             if not len(batch):
                 continue
-            prefix = batch.column("prefix").to_pylist()
-            run, i = batch.column("run").to_pylist(), batch.column("i").to_pylist()
-            if not seen:
-                yield batch_of(run[:1], i[:1], [0], prefix[:1], 0)
-                seen = True
-            if last is not None:
-                prefix, run, i = [last[2], *prefix], [last[0], *run], [last[1], *i]
-            n = common(prefix)
+            prefix, run, i = batch.column("prefix").to_pylist(), batch.column("run").to_numpy(), batch.column("i").to_numpy()
+            if last is None:
+                yield edge((int(run[0]), int(i[0]), prefix[0]), 0)
+            else:
+                prefix, run, i = [last[2], *prefix], np.append(last[0], run), np.append(last[1], i).astype(np.int32)
+            n = common(prefix).astype(np.int32)
             keep = np.flatnonzero(n)
-            for offset in (0, 1):
-                at = (keep + offset).tolist()
-                if at:
-                    yield batch_of([run[k] for k in at], [i[k] for k in at], n[keep].tolist())
-            last = (run[-1], i[-1], prefix[-1])
+            for at in (keep, keep + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(run[at]), pa.array(i[at]), pa.array(n[keep]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
+            last = (int(run[-1]), int(i[-1]), prefix[-1])
         if last is not None:
-            yield batch_of([last[0]], [last[1]], [0], [last[2]], 1)
+            yield edge(last, 1)
 
     found = stored(suffixes.mapInArrow(compare, "run long, i int, shared int, part int, prefix binary"), "shared")
     edges = sorted(found.where("part is not null").collect(), key=lambda r: r["part"])  # two rows a task
@@ -362,15 +387,16 @@ def open_windows(marked: DataFrame) -> DataFrame:
 
 
 def answers(marked: DataFrame, bits: np.ndarray) -> DataFrame:
-    """value, check and n: how often windows that pass the filter stand among all that may be repeated, added up by task."""
+    """value, check and n: how often windows that pass the filter stand among those that may be repeated and are not open themselves."""
     shared = marked.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sub, g, marks in each_marked(batch):
                 copies = sub.column("copies").to_numpy()
-                at = np.concatenate([m.may + g.begin[k] for k, m in enumerate(marks)])
-                times = np.repeat(copies, [len(m.may) for m in marks])
+                rest = [m.may if n > 1 else np.setdiff1d(m.may, m.open, assume_unique=True) for m, n in zip(marks, copies, strict=True)]
+                at = np.concatenate([r + g.begin[k] for k, r in enumerate(rest)])
+                times = np.repeat(copies, [len(r) for r in rest])
                 hit = passes(shared.value, span_hashes(g.prefix, at, at + LENGTH) >> np.uint64(1))
                 value, check = window_hashes(g, at[hit])
                 order = np.lexsort((check, value))
@@ -418,7 +444,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    phrases = stored(phrase_table(keyed(docs.select("text"))), "phrases")
+    phrases = stored(phrase_table(docs), "phrases")
     alike = phrases.groupBy("sum").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     texts = phrases.where(F.col("n_bytes") >= LENGTH).join(alike.select("key", "copies"), "key")
     repeated = phrase_rows(texts).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -428,18 +454,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = F.struct((F.col("first") + F.col("i")).alias("place"), "shared")
     marks = shared.select("key", mark.alias("mark")).groupBy("key").agg(F.collect_list("mark").alias("marks"))
     marks = stored(marks.join(texts.select("key", "copies"), "key"), "marks")
-    bits = spark.sparkContext.broadcast(filter_of(marks.select(_mixed("key").alias("value"))))
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = passes(bits.value, batch.column("mixed").to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep)).select(["key", "text"])
-
-    some = keyed(docs.select("text")).select("key", "text", _mixed("key").alias("mixed")).mapInArrow(wanted, "key long, text binary")
+    some = keyed(docs.select("text"), filter_of(marks.select(spread(F.col("key")).alias("value"))))
     marked = stored(some.join(marks, "key"), "marked")
     opened = stored(open_windows(marked), "windows")
-    counts = answers(marked, filter_of(opened)).groupBy("value", "check").agg(F.sum("n").alias("n")).where("n > 1")
-    hits = opened.join(counts, ["value", "check"], "left_semi").groupBy("key").agg(F.collect_list("at").alias("hits"))
+    others = answers(marked, filter_of(opened)).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("at"), "value", "check", "n")
+    both = opened.withColumn("n", F.lit(1).cast("long")).unionByName(others)
+    both = both.withColumn("n", F.sum("n").over(W.partitionBy("value", "check")))
+    hits = both.where("n > 1 and key is not null").groupBy("key").agg(F.collect_list("at").alias("hits"))
     done = removed(marked.where("copies = 1").join(hits, "key", "left"))
     whole = phrases.select("key", "n_bytes", "sum").join(alike.select("sum", "copies"), "sum").select("key", "n_bytes", "copies")
     rows = keyed(docs.select("doc_id", F.sha2("text", 256).alias("own"))).join(whole, "key").join(done, "key", "left")
@@ -454,10 +475,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _mixed(column: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(column), 1)
-
-
 def phrase_rows(texts: DataFrame) -> DataFrame:
     """value: every phrase of the texts."""
 
