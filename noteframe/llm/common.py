@@ -45,7 +45,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder as compressed Parquet and read back; for large intermediate tables."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
