@@ -31,6 +31,10 @@ CELL = 2048
 #: Document frequencies are counted for words hashed to so many buckets: a table of fixed size.
 DF_BUCKETS = 1 << 16
 GROUP_BYTES = 1_000_000
+#: Shingles of rows in large buckets are counted in a table of 2**ORDER_BITS; it only sets in which order they are looked at.
+ORDER_BITS, ORDER_BLOCK = 20, 1 << 14
+#: What sums of weights may be off by.
+SLACK = 1 - 1e-6
 
 _rng = np.random.default_rng(77)
 #: Quantiles of Gamma(2, 1) in the middle of 65,536 equal parts, in random order; drawn by 16 bits of a hash.
@@ -222,6 +226,77 @@ def hub_pairs(large: DataFrame, signs: DataFrame, links: DataFrame, roots: DataF
     return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
+def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """For each of 2**ORDER_BITS buckets of shingles how often its shingles stand in the texts (key, root, text); added up by Spark in blocks."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for sub in groups(batch, GROUP_BYTES):
+                hashes = shingles(Group(sub.column("text").to_pylist(), LETTERS), shared.value)[1]
+                total += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
+        blocks = total.reshape(-1, ORDER_BLOCK)
+        seen = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([blocks[k].tobytes() for k in seen], pa.binary())], ["block", "n"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(ORDER_BLOCK, np.int64)
+        for n in part.column("n"):
+            total += np.frombuffer(n.as_py(), np.int64)
+        return pa.table({"block": part.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << ORDER_BITS, np.int64).reshape(-1, ORDER_BLOCK)
+    for r in texts.select("text").mapInArrow(run, "block long, n binary").groupBy("block").applyInArrow(add, "block long, n binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["n"], np.int64)
+    return out.ravel().clip(max=2**32 - 1).astype(np.uint32)
+
+
+def rare_shingles(texts: DataFrame, idf: np.ndarray, counts: np.ndarray, similar: float) -> DataFrame:
+    """shingle, key, root, total, rest, short: the first shingles of each text (key, root, text) in the order of their counts.
+
+    `total` is the weight of the text and `rest` that of this shingle and all later ones. Two texts whose similarity is
+    at least `similar` share a weight of similar / (1 + similar) times both totals, and all that they share is in the
+    rest of both at the first shingle that they share. So that shingle is among those with a rest of similar x total,
+    which are returned, and for the text of smaller total among those with 2 x similar / (1 + similar) x total (`short`).
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((idf, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, counts = shared.value
+        for batch in batches:
+            for sub in groups(batch, GROUP_BYTES):
+                owner, hashes, weights = shingles(Group(sub.column("text").to_pylist(), LETTERS), idf)
+                order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], owner))
+                owner, hashes, weights = owner[order], hashes[order], weights[order]
+                before = np.append(0, np.cumsum(weights))[:-1]
+                total = np.bincount(owner, weights=weights, minlength=len(sub))[owner]
+                rest = total - (before - before[np.searchsorted(owner, owner)])
+                keep = np.flatnonzero(rest >= similar * total * SLACK)
+                short = rest >= 2 * similar / (1 + similar) * total * SLACK
+                at = pa.array(owner[keep])
+                columns = [pa.array(hashes[keep].view(np.int64)), sub.column("key").take(at), sub.column("root").take(at), pa.array(total[keep]), pa.array(rest[keep]), pa.array(short[keep])]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "key", "root", "total", "rest", "short"])
+
+    return texts.select("key", "root", "text").mapInArrow(run, "shingle long, key long, root long, total double, rest double, short boolean")
+
+
+def joined_pairs(rare: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of rows of different classes that share one of their first shingles and may be alike; distinct.
+
+    Classes meet before rows do, so rows of one class, however large, are never paired with each other.
+    """
+    classes = rare.groupBy("shingle", "root").agg(F.max("short").alias("short"))
+    several = classes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("any")).where("n > 1 and any").select("shingle")
+    classes = classes.join(several, "shingle")
+    meet = classes.select("shingle", "root").join(classes.where("short").select("shingle", F.col("root").alias("other_root")), "shingle").where("root != other_root")
+    other = rare.where("short").select("shingle", *(F.col(x).alias(f"other_{x}") for x in ("key", "root", "total", "rest")))
+    met = rare.select("shingle", "key", "root", "total", "rest").join(meet, ["shingle", "root"]).join(other, ["shingle", "other_root"])
+    met = met.where(F.struct("other_total", "other_key") < F.struct("total", "key"))
+    met = met.where(F.least("rest", "other_rest") >= F.lit(similar / (1 + similar) * SLACK) * (F.col("total") + F.col("other_total")))
+    return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
+
+
 def weighted_jaccard(g: Group, idf: np.ndarray) -> np.ndarray:
     """Similarities of the texts 0 and 1, 2 and 3, and so on."""
     owner, hashes, weights = shingles(g, idf)
@@ -260,7 +335,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one of them; texts without words are alike if equal. Classes are the connected components of verified links. Pairs
     that are verified come from bands of samples (see the constants for the chance to miss a pair): in buckets of up to
     ALL_PAIRS rows all of them, in larger ones each row with the first and the next few, nine times in different orders,
-    and then with the hub of the bucket's largest class, until that links nothing new.
+    and then with the hub of the bucket's largest class, until that links nothing new. Rows of large buckets that still
+    hold several classes are then joined by their rarest shingles, which finds every pair of them that is alike.
 
     A null text is empty. Rows that repeat an id keep one row each and one class if alike; rows without an id have class
     null if no row of their class has one. An empty table gives no rows. Frequencies of words are a table of fixed size.
@@ -273,15 +349,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaders = rows.where("signature is not null").join(alike.select(F.col("leader").alias("key")), "key", "left_semi").select("key", "signature")
     repeated_ids = not member.where("key = leader").groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    def texts_of(ends: DataFrame) -> DataFrame:
         few = ends.count() <= MAX_ENDS  # else whole texts are shuffled to the keys
         send = F.broadcast if few else (lambda x: x)
         if repeated_ids:
-            texts = keyed_again(docs, idf).join(send(ends), "key", "left_semi")
-        else:  # a row's key is not in the given table, its id is
-            wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", "doc_id")
-            texts = docs.select("doc_id", "text").join(send(wanted), "doc_id")
+            return keyed_again(docs, idf).join(send(ends), "key", "left_semi")
+        # a row's key is not in the given table, its id is
+        wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", "doc_id")
+        return docs.select("doc_id", "text").join(send(wanted), "doc_id")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
         return cut(verified(pairs, texts, idf, similar).select("a", "b"))
 
     buckets = stored(buckets_of(leaders), "buckets")
@@ -299,6 +377,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         links = cut(links.union(new))
         roots = components(links)
+    tied = large.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_buckets = tied.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
+    if not open_rows.isEmpty():
+        texts = stored(texts_of(open_rows.select("key")).select("key", "text").join(open_rows, "key"), "open")
+        rare = stored(rare_shingles(texts, idf, shingle_counts(texts, idf), similar), "rare")
+        further = joined_pairs(rare, similar).join(pairs, ["a", "b"], "left_anti")
+        one, other = (leaders.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab")
+        further = cut(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
+        new = links_of(further)
+        # one link for each pair of classes joins them, however many of their rows are alike
+        for x in "ab":
+            new = new.join(open_rows.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}")), x)
+        new = cut(new.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        if not new.isEmpty():
+            roots = components(cut(links.union(new)))
     tied = member.join(roots.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
     named = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
     out = tied.join(named, "root")

@@ -167,6 +167,21 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_pairs_that_share_one_template(spark):
+    """Pairs alike at 0.8 and a little more, in hundreds of documents that share 0.7 of them with each other."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{k}" for k in range(140)])
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    template, rows = " ".join(vocabulary), []
+    for k in range(400):
+        own = say(30)
+        rows.append((2 * k, f"{template} {own} {say(10)}"))
+        rows.append((2 * k + 1, f"{template} {own} {say(10)}"))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cls = {r.doc_id: r.class_id for r in got}
+    assert [k for k in range(400) if cls[2 * k] != cls[2 * k + 1]] == [] and len(set(cls.values())) == 400
+
+
 def test_large_groups_of_copies_and_near_copies(spark):
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
