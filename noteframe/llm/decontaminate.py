@@ -12,33 +12,61 @@ from pyspark.sql import functions as F
 from noteframe.llm.common import stored, table, text_of
 from noteframe.llm.tokens import LETTERS, Group, groups
 
-#: Fixed masks: words at ones are hashed, words at zeros are ignored. Each looks at eight words.
-MASKS = ("11111111", "1110110111", "11011101101", "10111100111")
-OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-LEAST = len(OFFSETS[0])
+#: Fixed masks: words at ones are hashed, words at zeros are ignored. Wherever up to three of 16 words are substituted,
+#: one of these masks lies on 16 words without looking at any of them (a test enumerates that).
+MASKS = ("111111", "1111011", "10110000000111")
+#: Items of fewer words are never found: a test of the repository holds that an item of two words is not.
+LEAST = 3
 #: The filter of test hashes has two bitmaps of so many bits, whatever the size of the tables: 4 MB are broadcast.
 FILTER_BITS = 24
 GROUP_BYTES = 2_000_000
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """All masked hashes of the items (item_id, text as binary), and each item's words: hash, item_id, at; words with at -1."""
+def masks_of(size: int, identity: float) -> tuple[str, ...]:
+    """Masks of which one lies on `size` words without looking at the substituted ones, as long as `identity` of the words are equal.
+
+    Of n words with k substituted, (n - k) / (k + 1) in a row, rounded up, are left somewhere: a mask of so many ones.
+    """
+    wrong = max(k for k in range(size) if size - k >= identity * size or k == 0)
+    if size == 16 and wrong <= 3:
+        return MASKS
+    return ("1" * -(-(size - wrong) // (wrong + 1)),)
+
+
+def salted(mask: str) -> tuple[int, list[int]]:
+    """A number for the mask's hashes, and the places of its ones."""
+    return int(mask, 2), [i for i, c in enumerate(mask) if c == "1"]
+
+
+def seeds(df: DataFrame, window: int, identity: float) -> DataFrame:
+    """All masked hashes of the items (item_id, text as binary), and each item's words: hash, mask, item_id, at; words with at -1.
+
+    An item's masks are those of `window` words, or of all its words if it has fewer.
+    """
+    masks: dict[str, np.ndarray] = {}  # for each mask, for which numbers of words it is taken
+    for size in range(LEAST, window + 1):
+        for mask in masks_of(size, identity):
+            masks.setdefault(mask, np.zeros(window + 1, bool))[size] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), LETTERS)
-                ids = sub.column("item_id")
-                for salt, offsets in enumerate(OFFSETS):
+                ids, size = sub.column("item_id"), np.minimum(g.count, window)
+                for mask, sizes in masks.items():
+                    salt, offsets = salted(mask)
                     at, hashes = g.combined(offsets, salt)
+                    taken = sizes[size[g.owner[at]]]
+                    at, hashes = at[taken], hashes[taken]
                     own = g.owner[at]
-                    columns = [pa.array(hashes.view(np.int64)), ids.take(pa.array(own)), pa.array(at - g.first[own]), pa.nulls(len(at), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "item_id", "at", "words"])
+                    columns = [pa.array(hashes.view(np.int64)), pa.array([mask] * len(at), pa.string()), ids.take(pa.array(own)), pa.array(at - g.first[own]), pa.nulls(len(at), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
                 words = [w.astype("<u4").tobytes() for w in np.split(g.words, g.first[1:])]
-                columns = [pa.nulls(len(words), pa.int64()), ids, pa.array([-1] * len(words), pa.int64()), pa.array(words, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "item_id", "at", "words"])
+                columns = [pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.string()), ids, pa.array([-1] * len(words), pa.int64()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, f"hash long, item_id {dict(df.dtypes)['item_id']}, at long, words binary")
+    names = ["hash", "mask", "item_id", "at", "words"]
+    return df.mapInArrow(run, f"hash long, mask string, item_id {dict(df.dtypes)['item_id']}, at long, words binary")
 
 
 def bitmaps(hashes: DataFrame) -> np.ndarray:
@@ -53,11 +81,11 @@ def bitmaps(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Hashes of the documents (doc_id, text as binary) that pass the filter: doc_id, hash, at; and the words of these documents.
+def document_hits(docs: DataFrame, bits: np.ndarray, masks: list[str], window: int) -> DataFrame:
+    """Hashes of the documents (doc_id, text as binary) by the masks that pass the filter: doc_id, hash, at; and the words of these documents.
 
-    In a run of equal hashes (text that repeats one word) only the two ends are kept: the places between them line up
-    with the same words.
+    In a run of equal hashes (text that repeats one word) only `window` places at both ends are kept: at those between
+    them `window` words line up with the same words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     names = ["doc_id", "hash", "at", "words"]
@@ -68,15 +96,18 @@ def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), LETTERS)
                 ids, hit = sub.column("doc_id"), np.zeros(len(sub), bool)
-                for salt, offsets in enumerate(OFFSETS):
+                for mask in masks:
+                    salt, offsets = salted(mask)
                     at, hashes = g.combined(offsets, salt)
                     for part, shift, keep in ((low, 0, (1 << FILTER_BITS) - 1), (high, 64 - FILTER_BITS, -1)):
                         bit = hashes & np.uint64(keep) if keep > 0 else hashes >> np.uint64(shift)
                         passes = (part[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         at, hashes = at[passes], hashes[passes]
                     if len(at):
-                        same = np.append(False, (hashes[1:] == hashes[:-1]) & (at[1:] == at[:-1] + 1))
-                        keep = ~(same & np.append(same[1:], False))
+                        new = np.append(True, (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1] + 1) | (g.owner[at[1:]] != g.owner[at[:-1]]))
+                        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+                        place, ends = np.arange(len(at)), np.append(starts[1:], len(at))
+                        keep = (place - starts[run] < window) | (ends[run] - place <= window)
                         at, hashes = at[keep], hashes[keep]
                         own = g.owner[at]
                         hit[own] = True
@@ -110,7 +141,8 @@ def contaminated(
     Words are runs of letters and digits, without regard to case. A masked hash that stands in both lays the item over
     the document; the pair counts if some `window` words of the item (all, if it has fewer) lie on the document with
     at least `identity` of them equal, so words may be substituted, also at the ignored places. Of several shifts of a
-    pair the one with most matches is returned. Items of fewer than eight words are never found. Null and empty texts
+    pair the one with most matches is returned. The masks of an item are such that every overlay that counts has such a
+    hash (see masks_of). Items of fewer than LEAST words are never found. Null and empty texts
     hold nothing; rows that repeat an id count as one document; an empty table on either side gives no rows.
 
     Documents are read once. Their hashes meet a filter of fixed size first, and only what passes (true hits, and false
@@ -119,11 +151,12 @@ def contaminated(
     share of the documents.
     """
     spark = docs.sparkSession
-    made = seeds(items.select(F.col(item_col).alias("item_id"), F.lower(text_of(item_text_col)).cast("binary").alias("text"))).persist()
+    made = seeds(items.select(F.col(item_col).alias("item_id"), F.lower(text_of(item_text_col)).cast("binary").alias("text")), window, identity).persist()
     hashes = made.where("hash is not null").select("hash", "item_id", F.col("at").alias("item_at"))
     words = made.where("words is not null").select("item_id", F.col("words").alias("item_words"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).cast("binary").alias("text"))
-    found = stored(document_hits(plain, bitmaps(hashes)), "hits")
+    masks = [r["mask"] for r in made.where("mask is not null").select("mask").distinct().collect()]  # at most window + 2
+    found = stored(document_hits(plain, bitmaps(hashes), sorted(masks), window), "hits")
     laid = found.where("hash is not null").join(hashes, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     full = laid.join(words, "item_id").join(found.where("words is not null").select("doc_id", "words"), "doc_id")
 

@@ -167,6 +167,29 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_masks_hit_every_accepted_substitution():
+    for size in range(1, 17):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.masks_of(size, 0.8)]
+        looks = [{p + i for i in m} for m in masks for p in range(size - m[-1])]
+        wrong = size - math.ceil(size * 4 / 5)
+        assert all(any(not look & set(c) for look in looks) for c in itertools.combinations(range(size), wrong)), size
+
+
+def test_decontamination_finds_short_and_much_substituted_items(spark):
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(3, 17)]
+    docs = []
+    for n, text in items:
+        wrong = n - math.ceil(n * 4 / 5)
+        for places in itertools.combinations(range(n), wrong):
+            changed = [f"z{k}" if k in places else w for k, w in enumerate(text.split())]
+            docs.append((1000 * n + len(docs), "before it " + " ".join(changed) + " and after", n))
+    docs.append((1, "a " * 1000, 90))  # an item whose only equal words are a run of one word
+    bench = spark.createDataFrame([*items, (90, "x " + "a " * 8 + "y")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df.drop("item_id"), bench).collect()}
+    assert got == {(i, n) for i, _, n in docs}
+
+
 def test_near_pairs_that_share_one_template(spark):
     """Pairs alike at 0.8 and a little more, in hundreds of documents that share 0.7 of them with each other."""
     rng = np.random.default_rng(5)
