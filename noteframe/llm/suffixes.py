@@ -68,37 +68,44 @@ SPREAD = 0x1E3779B97F4A7C15
 
 
 def spread(key: Column) -> Column:
-    """The upper bits of a product that keeps 63 bits; the same as in `keyed`."""
+    """The upper bits of a product that keeps 63 bits; the same as in `of_keys`."""
     low, high = key.bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright(key, 31)
     mixed = (low * F.lit(SPREAD % (1 << 31)) + high * F.lit((SPREAD >> 13) % (1 << 31))).bitwiseAND(F.lit((1 << 31) - 1))
     return F.shiftleft(mixed, 32)
 
 
-def keyed(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """docs with `key`, the task and place of each row in the scan: the same each time the table is read. With `bits` only keys that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `key`, the task and place of each row in this scan. Another scan may be split in another way, so the result is stored and read from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        so_far, wanted = TaskContext.get().partitionId() << 32, shared.value
+        so_far = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = np.arange(len(batch), dtype=np.int64) + so_far
             so_far += len(batch)
-            out = pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *batch.schema.names])
-            if wanted is not None:
-                half = (1 << 31) - 1
-                mixed = (((keys & half) * (SPREAD % (1 << 31))) + (keys >> 31) * ((SPREAD >> 13) % (1 << 31))) & half
-                out = out.filter(pa.array(passes(wanted, (mixed << 32).astype(np.uint64))))
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *batch.schema.names])
 
     fields = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
     return docs.mapInArrow(run, f"key long, {fields}")
 
 
+def of_keys(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows of docs (with key) whose keys pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (1 << 31) - 1
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            mixed = (((keys & half) * (SPREAD % (1 << 31))) + (keys >> 31) * ((SPREAD >> 13) % (1 << 31))) & half
+            yield batch.filter(pa.array(passes(shared.value, (mixed << 32).astype(np.uint64))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def phrase_table(docs: DataFrame) -> DataFrame:
-    """key (as `keyed` gives it), n_bytes, sum (md5 of the text), phrases (hashes, eight bytes each) and sizes (one byte each, as WINDOW bounds them) of every text."""
+    """key, n_bytes, sum (md5 of the text), phrases (hashes, eight bytes each) and sizes (one byte each, as WINDOW bounds them) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 32
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), NOT_SPACE)
@@ -107,11 +114,10 @@ def phrase_table(docs: DataFrame) -> DataFrame:
                     starts = phrases_of(g, k, places)[1] if n >= LENGTH else np.zeros(1, np.int64)
                     found.append((span_hashes(g.prefix, starts[:-1], starts[1:]) >> np.uint64(1)).tobytes())
                     sizes.append(np.diff(starts).astype(np.uint8).tobytes())
-                columns = [pa.array(np.arange(len(sub)) + key), pa.array(g.bytes), sub.column("sum"), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())]
-                key += len(sub)
+                columns = [sub.column("key"), pa.array(g.bytes), sub.column("sum"), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "sum", "phrases", "sizes"])
 
-    return docs.select("text", F.md5("text").alias("sum")).mapInArrow(run, "key long, n_bytes long, sum string, phrases binary, sizes binary")
+    return docs.select("key", "text", F.md5("text").alias("sum")).mapInArrow(run, "key long, n_bytes long, sum string, phrases binary, sizes binary")
 
 
 def filter_of(values: DataFrame) -> np.ndarray:
@@ -438,12 +444,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each byte goes that lies in a string of LENGTH bytes which starts anywhere else as well, in the same text or another.
     Of equal texts one takes part, with their number; the others share its result, which is empty from LENGTH bytes on.
-    A null text is empty; texts under LENGTH bytes stay. Rows are told apart by their place in the scan, so ids may
-    repeat or be null. An empty table gives no rows. What is broadcast are filters of fixed size; as they fill they let
+    A null text is empty; texts under LENGTH bytes stay. Rows are told apart by keys that are
+    written with them once, so ids may repeat or be null. An empty table gives no rows. What is broadcast are filters of fixed size; as they fill they let
     more through, and lose nothing.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    docs = stored(keyed(docs), "keyed")
     phrases = stored(phrase_table(docs), "phrases")
     alike = phrases.groupBy("sum").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     texts = phrases.where(F.col("n_bytes") >= LENGTH).join(alike.select("key", "copies"), "key")
@@ -454,7 +461,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = F.struct((F.col("first") + F.col("i")).alias("place"), "shared")
     marks = shared.select("key", mark.alias("mark")).groupBy("key").agg(F.collect_list("mark").alias("marks"))
     marks = stored(marks.join(texts.select("key", "copies"), "key"), "marks")
-    some = keyed(docs.select("text"), filter_of(marks.select(spread(F.col("key")).alias("value"))))
+    some = of_keys(docs.select("key", "text"), filter_of(marks.select(spread(F.col("key")).alias("value"))))
     marked = stored(some.join(marks, "key"), "marked")
     opened = stored(open_windows(marked), "windows")
     others = answers(marked, filter_of(opened)).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("at"), "value", "check", "n")
@@ -463,7 +470,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = both.where("n > 1 and key is not null").groupBy("key").agg(F.collect_list("at").alias("hits"))
     done = removed(marked.where("copies = 1").join(hits, "key", "left"))
     whole = phrases.select("key", "n_bytes", "sum").join(alike.select("sum", "copies"), "sum").select("key", "n_bytes", "copies")
-    rows = keyed(docs.select("doc_id", F.sha2("text", 256).alias("own"))).join(whole, "key").join(done, "key", "left")
+    rows = docs.select("key", "doc_id", F.sha2("text", 256).alias("own")).join(whole, "key").join(done, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id",

@@ -70,3 +70,24 @@ def test_removal_against_brute_force(spark, texts):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df).collect())
     assert got - want == Counter() and want - got == Counter()
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_keys_do_not_depend_on_how_a_scan_is_split(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    block = " ".join(str(rng.random()) for _ in range(60))
+    rows = [(k, " ".join(str(rng.random()) for _ in range(5 + k)) + (block if k % 3 == 0 else "")) for k in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    read = lambda: sorted(map(tuple, suffixes.remove_repeats(spark.read.parquet(str(tmp_path / "docs"))).drop("kept").collect()))
+    name, once = "spark.sql.files.maxPartitionBytes", suffixes.stored
+    want, before = read(), spark.conf.get(name)
+
+    def then_split_anew(df, what):
+        out = once(df, what)
+        spark.conf.set(name, "64k")
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", then_split_anew)
+    try:
+        assert read() == want and sum(r[2] > 0 for r in want) == 8
+    finally:
+        spark.conf.set(name, before)
