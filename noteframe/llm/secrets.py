@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -44,67 +45,116 @@ ALLOWED = (
 )
 
 
+SPANS = "array<struct<start:int,end:int>>"
+#: Matches are placed, and windows slide, in parts of so many: a fold's state then stays small, however long the text or the candidate.
+PART = 256
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once. An expression that stands inside another's lambda is computed anew at every step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_parts(n: Column) -> Column:
+    """Numbers of the parts of n items; n is at least 1."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / PART).cast("int"))
+
+
 def located(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """Places of a pattern's leftmost non-overlapping matches, as array<struct<start, end>> in code points, end exclusive.
 
-    The text split at the matches gives the gaps between them, so places are running sums of lengths. `keep` is an
-    array of booleans, one a match; without it all matches count.
+    The text split at the matches gives the gaps between them, so places are running sums of lengths, within parts and
+    over parts. `keep` is an array of booleans, one a match; without it all matches count.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(F.transform(hits, F.length).alias("hit"), F.slice(F.transform(gaps, F.length), 1, F.size(hits)).alias("gap"), *([keep.alias("keep")] if keep is not None else [])), lambda x: x)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    empty = F.array().cast(SPANS)
+    zipped = F.arrays_zip(F.transform(hits, F.length).alias("hit"), F.slice(F.transform(gaps, F.length), 1, F.size(hits)).alias("gap"), *([keep.alias("keep")] if keep is not None else []))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        span = F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("end")))
-        spans = F.concat(acc["spans"], span)
+        spans = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("end"))))
         if keep is not None:
             spans = F.when(x["keep"], spans).otherwise(acc["spans"])
         return F.struct((start + x["hit"]).alias("at"), spans.alias("spans"))
 
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(hits) > 0, found).otherwise(empty)
+    def placed(all_: Column) -> Column:
+        part = lambda k: F.slice(all_, k * PART + 1, PART)
+        sums = F.transform(in_parts(F.size(all_)), lambda k: F.aggregate(part(k), F.lit(0), lambda n, x: n + x["hit"] + x["gap"]))
+        ahead = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        each = lambda offsets: F.transform(
+            in_parts(F.size(all_)), lambda k: F.aggregate(part(k), F.struct(F.get(offsets, k).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        )
+        return F.flatten(bound(ahead, each))
+
+    return bound(zipped, lambda z: F.when(F.size(z) > 0, placed(z)).otherwise(empty))
 
 
 #: c * log2(c) in millionths for each count in a window, so that entropies are compared as whole numbers.
 LOGS = [0, *(round(1e6 * c * math.log2(c)) for c in range(1, WINDOW + 1))]
 
 
+def touching(spans: Column) -> Column:
+    """Spans in the order of their starts and ends, those that touch or overlap joined."""
+
+    def joined(s: Column) -> Column:
+        firsts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["end"] < x["start"], F.lit(True)))
+        lasts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["start"] > x["end"], F.lit(True)))
+        return bound(lasts, lambda e: F.transform(firsts, lambda x, i: F.struct(x["start"].alias("start"), F.get(e, i)["end"].alias("end"))))
+
+    return bound(spans, joined)
+
+
 def high_entropy(candidate: Column, kind: CharClass) -> Column:
     """Spans in a candidate, where windows of WINDOW characters have at least kind.bits of Shannon entropy; joined where they overlap.
 
     The window slides by one character: one count goes up, one goes down, and the sum of c * log2(c) is corrected by
-    the two differences. Entropy is log2(WINDOW) less that sum over WINDOW.
+    the two differences. Entropy is log2(WINDOW) less that sum over WINDOW. Windows are taken PART at a time, so the work
+    grows with the candidate's length and not faster.
     """
     most = F.lit(int(1e6 * WINDOW * (math.log2(WINDOW) - kind.bits)))
     logs = F.array(*map(F.lit, LOGS))
-    chars = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(kind.alphabet), c))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    zero = F.struct(F.array_repeat(F.lit(0), len(kind.alphabet) + 1).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("at"), none.alias("spans"))
-
-    def step(acc: Column, enters: Column) -> Column:
-        leaves = F.when(acc["at"] >= WINDOW, F.get(chars, acc["at"] - WINDOW)).otherwise(F.lit(-1))
-        up, down = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        # the order is: leave, then enter; a character that leaves and enters changes nothing
-        change = (
-            F.when(enters == leaves, 0)
-            .when(leaves < 0, F.get(logs, up + 1) - F.get(logs, up))
-            .otherwise(F.get(logs, up + 1) - F.get(logs, up) + F.get(logs, down - 1) - F.get(logs, down))
-        )
-        counts = F.when(enters == leaves, acc["counts"]).otherwise(
-            F.transform(acc["counts"], lambda c, i: c + F.when(i == enters, 1).when(i == leaves, -1).otherwise(0))
-        )
-        total, at = acc["sum"] + change, acc["at"] + 1
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        span = F.struct((at - WINDOW).alias("start"), at.alias("end"))
-        joined = F.when(
-            last.isNotNull() & (last["end"] >= at - WINDOW),
-            F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), at.alias("end")))),
-        ).otherwise(F.concat(acc["spans"], F.array(span)))
-        spans = F.when((at >= WINDOW) & (total <= most), joined).otherwise(acc["spans"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), at.alias("at"), spans.alias("spans"))
-
-    return F.aggregate(chars, zero, step, lambda acc: acc["spans"])
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(kind.alphabet), c))
+    none = F.array().cast(SPANS)
+
+    def slid(chars: Column, ahead: Column) -> Column:
+        """Spans of the windows in one part's characters, which begin `ahead` characters into the candidate."""
+        zero = F.struct(F.array_repeat(F.lit(0), len(kind.alphabet) + 1).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("at"), none.alias("spans"))
+
+        def step(acc: Column, enters: Column) -> Column:
+            leaving = F.when(acc["at"] >= WINDOW, F.get(chars, acc["at"] - WINDOW)).otherwise(F.lit(-1))
+            return bound(leaving, lambda leaves: moved(acc, enters, leaves))
+
+        def moved(acc: Column, enters: Column, leaves: Column) -> Column:
+            up, down = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+            # the order is: leave, then enter; a character that leaves and enters changes nothing
+            change = (
+                F.when(enters == leaves, 0)
+                .when(leaves < 0, F.get(logs, up + 1) - F.get(logs, up))
+                .otherwise(F.get(logs, up + 1) - F.get(logs, up) + F.get(logs, down - 1) - F.get(logs, down))
+            )
+            counts = F.when(enters == leaves, acc["counts"]).otherwise(
+                F.transform(acc["counts"], lambda c, i: c + F.when(i == enters, 1).when(i == leaves, -1).otherwise(0))
+            )
+            return bound(acc["sum"] + change, lambda total: flagged(acc, counts, total))
+
+        def flagged(acc: Column, counts: Column, total: Column) -> Column:
+            at = acc["at"] + 1
+            last = F.try_element_at(acc["spans"], F.lit(-1))
+            start, end = ahead + at - WINDOW, ahead + at
+            joined = F.when(
+                last.isNotNull() & (last["end"] >= start),
+                F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end")))),
+            ).otherwise(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))))
+            spans = F.when((at >= WINDOW) & (total <= most), joined).otherwise(acc["spans"])
+            return F.struct(counts.alias("counts"), total.alias("sum"), at.alias("at"), spans.alias("spans"))
+
+        return F.aggregate(chars, zero, step, lambda acc: acc["spans"])
+
+    def every(all_: Column) -> Column:
+        part = lambda k: F.slice(all_, k * PART + 1, PART + WINDOW - 1)
+        return F.flatten(F.transform(in_parts(F.size(all_) - (WINDOW - 1)), lambda k: bound(part(k), lambda chars: slid(chars, k * PART))))
+
+    return touching(bound(codes, every))
 
 
 def entropy_spans(text: Column, kind: CharClass) -> Column:
@@ -115,7 +165,7 @@ def entropy_spans(text: Column, kind: CharClass) -> Column:
         return ~reduce(or_, (x.rlike(p) for p in ALLOWED))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    places = located(text, pattern, F.transform(hits, wanted))
+    places = located(text, pattern, F.transform(hits, wanted))  # candidates have WINDOW characters at least
     each = F.transform(
         places,
         lambda p: F.transform(
@@ -123,7 +173,7 @@ def entropy_spans(text: Column, kind: CharClass) -> Column:
             lambda s: F.struct((p["start"] + s["start"]).alias("start"), (p["start"] + s["end"]).alias("end")),
         ),
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast(SPANS)
     return F.when(F.exists(hits, wanted), F.flatten(each)).otherwise(none)
 
 
@@ -139,7 +189,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     groups = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     staged = df.withColumns(
         {
-            "_assign": F.when(F.size(groups) > 0, located(text, ASSIGN, F.transform(groups, lambda g: F.length(g) >= 12))).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
+            "_assign": F.when(F.size(groups) > 0, located(text, ASSIGN, F.transform(groups, lambda g: F.length(g) >= 12))).otherwise(F.array().cast(SPANS)),
             "_access": located(text, ACCESS),
             "_hex": located(text, HEX),
             "_entropy": F.array_distinct(F.concat(*(entropy_spans(text, k) for k in CLASSES))),
