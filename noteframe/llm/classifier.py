@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteframe.llm.common import table, text_of
+from noteframe.llm.common import stored, table, text_of
 from noteframe.llm.tokens import NOT_SPACE, Group, groups
 
 #: A passage is so many words in a row; the last of a text may be shorter.
@@ -19,7 +20,7 @@ PASSAGE = 64
 BUCKETS = 32
 #: Hidden sizes of the passage encoder and of its attention.
 ENCODED, ATTENTION = 16, 8
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 256_000
 
 #: Character classes counted in passages, by byte.
 KINDS = {
@@ -161,11 +162,13 @@ def is_held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, passages: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, passages: int = 200_000) -> Model:
     """Learn from labelled rows that are not held out, at most `sample` of them, those of the smallest hashes of their ids.
 
-    `sample` bounds what the driver holds: that many bags of at most `passages` passages, evenly spaced in longer texts.
-    Labels that are null or without a document are not used; without labels every score is one half.
+    `sample` and `passages` bound what the driver holds: rows are taken whole, in the order of their hashes, as long as
+    they hold `passages` passages in all (40 MB); a row of over a hundredth of that is not learnt from. Labels that are null or
+    without a document are not used; without labels every score is one half. Where ids repeat, each row counts; the
+    order does not depend on how the tables are split, so neither does the model.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     chosen = chosen.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"))
@@ -176,13 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 x, counts = features(sub.column("text").to_pylist())
-                bags = []
-                for b in np.split(x, np.cumsum(counts)[:-1]):
-                    bags.append(b[np.unique(np.linspace(0, len(b) - 1, passages).astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([sub.column("doc_id"), sub.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
-
-    found = rows.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, label double, bag binary")
-    found = sorted(found.limit(2 * sample).collect(), key=lambda r: (str(r["doc_id"]), r["label"], bytes(r["bag"])))
+                bags = [b.tobytes() for b in np.split(x, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([sub.column("turn"), sub.column("label"), pa.array(counts, pa.int64()), pa.array(bags, pa.binary())], ["turn", "label", "passages", "bag"])
+
+    turn = F.struct(F.xxhash64("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = stored(rows.select(turn.alias("turn"), "label", "text").mapInArrow(run, "turn struct<id: long, text: long>, label double, passages long, bag binary"), "bags")
+    found = found.where(F.col("passages") <= passages // 100)
+    first = found.select("turn", "label", "passages").orderBy("turn", "label").limit(sample)
+    first = first.withColumn("upto", F.sum("passages").over(W.orderBy("turn", "label").rowsBetween(W.unboundedPreceding, 0)))  # `sample` rows at most
+    last = first.where(F.col("upto") <= passages).agg(F.max(F.struct("turn", "label")).alias("m")).first()["m"]
+    fits = F.struct("turn", "label") <= F.struct(F.struct(F.lit(last["turn"]["id"]).alias("id"), F.lit(last["turn"]["text"]).alias("text")).alias("turn"), F.lit(last["label"]).alias("label")) if last else F.lit(False)
+    found = sorted(found.where(fits).select("turn", "label", "bag").collect(), key=lambda r: (r["turn"], r["label"]))
     width = 10 + len(KINDS) + BUCKETS
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, width) for r in found], np.array([r["label"] for r in found]))
 
