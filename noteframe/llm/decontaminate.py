@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteframe.llm.common import stored, table, text_of
+from noteframe.llm.common import digest_of, stored, table, text_of
 from noteframe.llm.tokens import LETTERS, Group, groups
 
 #: Fixed masks: words at ones are hashed, words at zeros are ignored. Wherever up to three of 16 words are substituted,
@@ -17,9 +18,11 @@ from noteframe.llm.tokens import LETTERS, Group, groups
 MASKS = ("111111", "1111011", "10110000000111")
 #: Items of fewer words are never found: a test of the repository holds that an item of two words is not.
 LEAST = 3
+#: Test hashes are sent to all tasks up to so many (about 20 MB); more are joined by a shuffle.
+MAX_SENT = 500_000
 #: The filter of test hashes has two bitmaps of so many bits, whatever the size of the tables: 4 MB are broadcast.
 FILTER_BITS = 24
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 256_000
 
 
 def masks_of(size: int, identity: float) -> tuple[str, ...]:
@@ -61,7 +64,7 @@ def seeds(df: DataFrame, window: int, identity: float) -> DataFrame:
                     own = g.owner[at]
                     columns = [pa.array(hashes.view(np.int64)), pa.array([mask] * len(at), pa.string()), ids.take(pa.array(own)), pa.array(at - g.first[own]), pa.nulls(len(at), pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names)
-                words = [w.astype("<u4").tobytes() for w in np.split(g.words, g.first[1:])]
+                words = [w.tobytes() for w in np.split(g.words, g.first[1:])]
                 columns = [pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.string()), ids, pa.array([-1] * len(words), pa.int64()), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -82,20 +85,24 @@ def bitmaps(hashes: DataFrame) -> np.ndarray:
 
 
 def document_hits(docs: DataFrame, bits: np.ndarray, masks: list[str], window: int) -> DataFrame:
-    """Hashes of the documents (doc_id, text as binary) by the masks that pass the filter: doc_id, hash, at; and the words of these documents.
+    """Hashes of the documents (doc_id, digest, text as binary) by the masks that pass the filter: row, hash, at; and once for each of these documents row, doc_id, digest, words.
+
+    `row` is the task and place of a row in this scan, whose result is stored: ids may be null or repeat.
 
     In a run of equal hashes (text that repeats one word) only `window` places at both ends are kept: at those between
     them `window` words line up with the same words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names = ["doc_id", "hash", "at", "words"]
+    names = ["row", "doc_id", "digest", "hash", "at", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.split(shared.value, 2)
+        so_far = TaskContext.get().partitionId() << 32
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), LETTERS)
-                ids, hit = sub.column("doc_id"), np.zeros(len(sub), bool)
+                rows, hit = np.arange(len(sub)) + so_far, np.zeros(len(sub), bool)
+                so_far += len(sub)
                 for mask in masks:
                     salt, offsets = salted(mask)
                     at, hashes = g.combined(offsets, salt)
@@ -111,15 +118,15 @@ def document_hits(docs: DataFrame, bits: np.ndarray, masks: list[str], window: i
                         at, hashes = at[keep], hashes[keep]
                         own = g.owner[at]
                         hit[own] = True
-                        columns = [ids.take(pa.array(own)), pa.array(hashes.view(np.int64)), pa.array(at - g.first[own]), pa.nulls(len(at), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names)
+                        none = [pa.nulls(len(at), sub.column(c).type) for c in ("doc_id", "digest", "text")]
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[own]), *none[:2], pa.array(hashes.view(np.int64)), pa.array(at - g.first[own]), none[2]], names)
                 which = np.flatnonzero(hit)
                 if len(which):
-                    words = [g.words[g.first[k] : g.first[k] + g.count[k]].astype("<u4").tobytes() for k in which]
-                    columns = [ids.take(pa.array(which)), pa.nulls(len(which), pa.int64()), pa.nulls(len(which), pa.int64()), pa.array(words, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    words = [g.words[g.first[k] : g.first[k] + g.count[k]].tobytes() for k in which]
+                    own, none = [sub.column(c).take(pa.array(which)) for c in ("doc_id", "digest")], pa.nulls(len(which), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[which]), *own, none, none, pa.array(words, pa.binary())], names)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, hash long, at long, words binary")
+    return docs.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, digest string, hash long, at long, words binary")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, identity: float) -> tuple[int, int, int] | None:
@@ -136,50 +143,52 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, identity
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 16, identity: float = 0.8
 ) -> DataFrame:
-    """Pairs of a document and a test item that it holds: doc_id, item_id, shift, matched, compared, best.
+    """Pairs of a document and a test item that it holds: doc_id, digest (md5 of its text), item_id, shift, matched, compared, best.
 
     Words are runs of letters and digits, without regard to case. A masked hash that stands in both lays the item over
     the document; the pair counts if some `window` words of the item (all, if it has fewer) lie on the document with
     at least `identity` of them equal, so words may be substituted, also at the ignored places. Of several shifts of a
     pair the one with most matches is returned. The masks of an item are such that every overlay that counts has such a
     hash (see masks_of). Items of fewer than LEAST words are never found. Null and empty texts
-    hold nothing; rows that repeat an id count as one document; an empty table on either side gives no rows.
+    hold nothing; each row is searched by itself, also if its id is null or repeats; an empty table on either side gives
+    no rows. Words are compared by hashes of 64 bits.
 
     Documents are read once. Their hashes meet a filter of fixed size first, and only what passes (true hits, and false
     ones as the filter fills) is written and joined with the test hashes; a larger benchmark fills the filter and makes
     the join larger, but loses nothing. Pairs are distinct before words are joined to them, so an item may stand in any
-    share of the documents.
+    share of the documents; up to MAX_SENT test hashes go to the tasks, so that such an item's hashes don't meet in one.
     """
     spark = docs.sparkSession
-    made = seeds(items.select(F.col(item_col).alias("item_id"), F.lower(text_of(item_text_col)).cast("binary").alias("text")), window, identity).persist()
+    made = stored(seeds(items.select(F.col(item_col).alias("item_id"), F.lower(text_of(item_text_col)).cast("binary").alias("text")), window, identity), "seeds")
     hashes = made.where("hash is not null").select("hash", "item_id", F.col("at").alias("item_at"))
     words = made.where("words is not null").select("item_id", F.col("words").alias("item_words"))
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).cast("binary").alias("text"))
+    send = F.broadcast if hashes.count() <= MAX_SENT else (lambda df: df)
+    plain = docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.lower(text_of(text_col)).cast("binary").alias("text"))
     masks = [r["mask"] for r in made.where("mask is not null").select("mask").distinct().collect()]  # at most window + 2
     found = stored(document_hits(plain, bitmaps(hashes), sorted(masks), window), "hits")
-    laid = found.where("hash is not null").join(hashes, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    full = laid.join(words, "item_id").join(found.where("words is not null").select("doc_id", "words"), "doc_id")
+    laid = found.where("hash is not null").join(send(hashes), "hash").select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    full = laid.join(send(words), "item_id").join(found.where("words is not null").select("row", "doc_id", "digest", "words"), "row")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
             columns = [batch.column(x).to_pylist() for x in ("words", "item_words", "shift")]
             for k, (doc, item, shift) in enumerate(zip(*columns, strict=True)):
-                if got := overlap(np.frombuffer(doc, "<u4"), np.frombuffer(item, "<u4"), shift, window, identity):
+                if got := overlap(np.frombuffer(doc, "<u8"), np.frombuffer(item, "<u8"), shift, window, identity):
                     keep.append(k)
                     out.append(got)
-            ids = [batch.column(x).take(pa.array(keep, pa.int64())) for x in ("doc_id", "item_id", "shift")]
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], [])))], ["doc_id", "item_id", "shift", "matched", "compared", "best"])
+            ids = [batch.column(x).take(pa.array(keep, pa.int64())) for x in ("row", "doc_id", "digest", "item_id", "shift")]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], [])))], ["row", "doc_id", "digest", "item_id", "shift", "matched", "compared", "best"])
 
     kinds = dict(full.dtypes)
-    pairs = full.select("doc_id", "item_id", "shift", "words", "item_words").mapInArrow(
-        verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, shift long, matched long, compared long, best long"
+    pairs = full.select("row", "doc_id", "digest", "item_id", "shift", "words", "item_words").mapInArrow(
+        verify, f"row long, doc_id {kinds['doc_id']}, digest string, item_id {kinds['item_id']}, shift long, matched long, compared long, best long"
     )
     best = F.max(F.struct("matched", "best", (-F.col("shift")).alias("near"), "compared")).alias("m")
-    out = pairs.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", (-F.col("m.near")).alias("shift"), "m.matched", "m.compared", "m.best")
+    out = pairs.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), best)
+    return out.select("doc_id", "digest", "item_id", (-F.col("m.near")).alias("shift"), "m.matched", "m.compared", "m.best")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the overlap in words."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
