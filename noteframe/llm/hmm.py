@@ -19,7 +19,7 @@ from noteframe.llm.tokens import groups
 STATES, ROUNDS = 8, 3
 #: Words that are observed as themselves; all others are observed as one of TAILS classes, by their last two bytes.
 OWN_CLASS, TAILS = 4095, 256
-#: Words whose counts every task holds, at most; the counts of all rarer ones are joined.
+#: Words whose counts every task holds, about; the counts of all rarer ones are joined.
 FREQUENT = 250_000
 #: Distinct words that a task gathers before it passes their counts on.
 GATHERED = 300_000
@@ -85,12 +85,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals over all words, and the words of at least the count that at most FREQUENT words reach."""
+    """Totals over all words, and the FREQUENT most frequent words; where the last of them share a count, the first by a hash."""
     spread = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count"))
     totals = counts.agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    so_far = spread.withColumn("upto", F.sum("n").over(_descending()))
-    least = so_far.where(F.col("upto") <= FREQUENT).agg(F.min("count")).first()[0]
-    rows = counts.where(F.col("count") >= (least if least is not None else 2**62)).toArrow()
+    least, share, upto = 0, 1.0, 0
+    for r in spread.toLocalIterator():  # sorted, and left at the FREQUENT'th word: every row stands for a word at least
+        if upto + r["n"] > FREQUENT:
+            least, share = r["count"], (FREQUENT - upto) / r["n"]
+            break
+        upto += r["n"]
+    edge = (F.col("count") == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = counts.where((F.col("count") > least) | edge).toArrow()
     words, numbers = rows.column("word").to_pylist(), rows.column("count").to_numpy()
     order = sorted(range(len(words)), key=lambda k: (-numbers[k], words[k]))
     words, numbers = [words[k] for k in order], numbers[order] if len(order) else np.zeros(0, np.int64)
@@ -114,12 +119,6 @@ def _byte(column: str, back: int) -> Column:
     return F.conv(F.hex(F.substring(F.col(column), F.length(column) - back, F.lit(1))), 16, 10).cast("int")
 
 
-def _descending():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def read_tokens(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """One row a text (`word` is null): doc_id, held_out, n_tokens, classes (two bytes each), known, logs (sum over
     frequent words of log10(count + 0.5)); and one row for each rarer word of it: key, word, times."""
