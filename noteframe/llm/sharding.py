@@ -14,7 +14,7 @@ BUCKETS = 4096
 
 def seeded(column: Column, seed: int) -> Column:
     """A shuffle key that depends on the row's id and the seed alone; 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("null"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
 
 
 def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -26,13 +26,13 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     earlier buckets are added, so that a source with any share of the rows never meets in one task. All columns of `df` are
     moved and, once ranked, written to the shared folder, so callers select what they need and join texts afterwards.
 
-    Null ids share one shuffle key, null sources form one source of their own. Rows that are alike in id and source
+    Rows without an id are told apart by their other columns, null sources form one source of their own. Rows that are alike in id and source
     are told apart arbitrarily; their shards are still balanced. An empty frame gives an empty result. The columns
     `_key`, `_stratum` ... used inside begin with an underscore; columns of `df` of other names pass through.
     """
     keyed = df.withColumns(
         {
-            "_key": seeded(F.col(id_col), seed),
+            "_key": seeded(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.xxhash64(*df.columns).cast("string"))), seed),
             "_stratum": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")),
         }
     ).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
