@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from noteframe.llm.common import stored, table, text_of
 
-#: Words kept with their ids in a worker, so that frequent words are not merged anew; the store is emptied when full.
-CACHED_WORDS = 800_000
-#: Documents of more sources than this share queues by a hash of the source, so that what the driver holds stays bounded.
-MAX_QUEUES = 1024
+#: Words kept with their ids in a task, so that frequent words are not merged anew; the store is emptied when full.
+CACHED_WORDS = 600_000
+#: Totals of up to so many queues are held by the driver and by every task; the places of more are joined.
+MAX_QUEUES = 512
 #: Totals of tasks' queues are sent to all tasks up to so many rows (about 5 MB).
 MAX_BASES = 100_000
-#: Texts are tokenised in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+#: Texts are tokenised in groups of about so many characters, and packed in groups of about so many tokens.
+GROUP_CHARS, GROUP_TOKENS = 2_000_000, 20_000_000
 
 
 class Words:
@@ -32,8 +32,8 @@ class Words:
     only unseen ones are encoded. A comma or full stop behind a letter is a token by itself and case does not matter, so
     such forms share the ids of the bare word; that is used within Latin-1 only, where lower case has no exceptions.
     Bare words are encoded many at a time and told apart by the ids that end a word. Texts that hold a special token's
-    opening "<|" are encoded whole, as special tokens are found before words are. One instance serves a worker process;
-    it is made again where a process is lost.
+    opening "<|" are encoded whole, as special tokens are found before words are. A worker process keeps its tokenizer,
+    and a task its words: most of the next task's are new, so they are forgotten at its end.
     """
 
     made: dict[str, Words] = {}
@@ -45,6 +45,7 @@ class Words:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"  # what ids are stored as
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
@@ -71,7 +72,7 @@ class Words:
         bare = list(bare)
         for at in range(0, len(bare), 1000):
             part = bare[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(part):
                 data = ids.tobytes()
@@ -106,11 +107,13 @@ def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", queue: Column | None = None) -> DataFrame:
-    """doc_id, queue, doc_tokens, ids (two bytes an id), part and ahead: the tokens of the same queue before it in its task."""
+    """doc_id, queue, doc_tokens, ids (two bytes an id, four for vocabularies beyond that), part and ahead: the tokens of the same queue before it in its task."""
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), (queue if queue is not None else F.lit("")).alias("queue"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, so_far = Words.at(tokenizer), TaskContext.get().partitionId(), {}
+        words.known.clear()
+        kind = "<u4" if end >= 1 << 16 else words.kind
         for batch in batches:
             lengths = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             group = np.cumsum(lengths) // GROUP_CHARS
@@ -126,11 +129,12 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
                     sub.column("doc_id"),
                     sub.column("queue"),
                     pa.array(counts),
-                    binaries(np.frombuffer(data, "<u4").astype("<u2"), counts),
+                    binaries(np.frombuffer(data, "<u4").astype(kind), counts),
                     pa.array([part] * len(counts), pa.int32()),
                     pa.array(ahead, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "doc_tokens", "ids", "part", "ahead"])
+        words.known.clear()
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, queue string, doc_tokens long, ids binary, part int, ahead long")
@@ -163,6 +167,21 @@ class Schedule:
         return np.asarray(out, np.int64)
 
 
+def token_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about GROUP_TOKENS tokens (doc_tokens) at a time; none is empty."""
+    for batch in batches:
+        number = np.cumsum(batch.column("doc_tokens").to_numpy()) // GROUP_TOKENS
+        starts = np.flatnonzero(np.diff(number, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+            yield batch.slice(int(a), int(b - a))
+
+
+def all_ids(batch: pa.RecordBatch) -> np.ndarray:
+    """Ids of the batch's documents end to end, four bytes each, however they are stored."""
+    data, n = b"".join(batch.column("ids").to_pylist()), int(batch.column("doc_tokens").to_numpy().sum())
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+
+
 def pack(docs: DataFrame, schedule: Schedule, window: int) -> DataFrame:
     """Pieces of the tokenised documents (with `start_in_queue`) and the sequences that hold them; ids: four bytes each."""
 
@@ -189,14 +208,12 @@ def pack(docs: DataFrame, schedule: Schedule, window: int) -> DataFrame:
         return doc[piece], begin[piece], stop[np.append(piece[1:], len(doc)) - 1], at[piece]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in token_groups(batches):
             start, length = (batch.column(x).to_numpy() for x in ("start_in_queue", "doc_tokens"))
             queue = np.array([schedule.number[x] for x in batch.column("queue").to_pylist()])
             doc, begin, stop, at = cut(start, length, queue)
             # pieces in this order lie end to end in the documents' ids
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4")
+            ids = all_ids(batch)
             which = pa.array(doc)
             columns = [
                 batch.column("doc_id").take(which),
@@ -216,6 +233,44 @@ def pack(docs: DataFrame, schedule: Schedule, window: int) -> DataFrame:
     )
 
 
+def pack_by_join(docs: DataFrame, quantum: int, window: int) -> DataFrame:
+    """As pack(), for any number of queues: docs have `start_in_queue` and their queue's total `_total`.
+
+    Every quantum is one row, made where its first token is, with the time at which it leaves. Rows are sorted by time
+    (ties by queue), their tokens added up within tasks and over tasks, and the sums joined to the quanta's pieces.
+    """
+    stop = F.col("start_in_queue") + F.col("doc_tokens")
+    first, last = F.ceil(F.col("start_in_queue") / quantum), F.ceil(stop / quantum) - 1
+    begun = docs.where(first <= last).select("queue", "_total", F.explode(F.sequence(first, last)).alias("c"))
+    quanta = begun.select("queue", "c", F.least(F.lit(quantum), F.col("_total") - F.col("c") * quantum).alias("n"), ((2 * F.col("c") + 1) / (2 * F.ceil(F.col("_total") / quantum))).alias("time"))
+    ranked = stored(quanta.orderBy("time", "queue", "c").withColumn("_m", F.monotonically_increasing_id()), "quanta")
+    ranked = ranked.withColumn("_block", F.shiftright("_m", 33))  # the task that it was sorted in
+    blocks = ranked.groupBy("_block").agg(F.sum("n").alias("_size"))
+    blocks = blocks.select("_block", (F.sum("_size").over(W.orderBy("_block")) - F.col("_size")).alias("_before"))  # a row a task
+    within = F.sum("n").over(W.partitionBy("_block").orderBy("_m")) - F.col("n")
+    places = ranked.withColumn("_within", within).join(blocks, "_block").select("queue", "c", (F.col("_before") + F.col("_within")).alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in token_groups(batches):
+            start, length = (batch.column(x).to_numpy() for x in ("start_in_queue", "doc_tokens"))
+            counts = (start + length - 1) // quantum - start // quantum + 1
+            doc = np.repeat(np.arange(len(batch)), counts)
+            c = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + (start // quantum)[doc]
+            begin, end = np.maximum(c * quantum, start[doc]), np.minimum((c + 1) * quantum, (start + length)[doc])
+            which = pa.array(doc)
+            columns = [batch.column("doc_id").take(which), batch.column("queue").take(which), pa.array(c), pa.array(begin - c * quantum), pa.array(begin - start[doc]), binaries(all_ids(batch), end - begin), batch.column("doc_tokens").take(which)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "c", "lead", "start", "ids", "doc_tokens"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    pieces = docs.select("doc_id", "queue", "doc_tokens", "ids", "start_in_queue").mapInArrow(run, f"doc_id {kind}, queue string, c long, lead long, start long, ids binary, doc_tokens long")
+    pieces = pieces.join(places, ["queue", "c"]).withColumn("at", F.col("place") + F.col("lead"))
+    room, size = F.lit(window) - F.col("at") % window, (F.octet_length("ids") / 4).cast("long")
+    part = lambda skip, n: F.struct((F.col("start") + skip).alias("start"), n.alias("length"), F.substring(F.col("ids"), (skip * 4 + 1).cast("int"), (n * 4).cast("int")).alias("ids"), (F.col("at") + skip).alias("at"))
+    two = F.filter(F.array(part(F.lit(0).cast("long"), F.least(size, room)), part(room, size - room)), lambda x: x["length"] > 0)
+    cut = pieces.select("doc_id", "queue", "doc_tokens", F.inline(two))
+    return cut.select("doc_id", "queue", "start", "length", "ids", "doc_tokens", F.floor(F.col("at") / window).alias("sequence_id"), (F.col("at") % window).alias("offset"))
+
+
 def pack_documents(
     df: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, quantum: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -227,23 +282,25 @@ def pack_documents(
     time. A piece is one row: doc_id, source queue, start, length, ids, doc_tokens, sequence_id, offset.
 
     Documents are tokenised once, in place, into a table in the shared folder; a queue is read in the order of that
-    table's tasks, so texts and ids are never shuffled. The driver holds one total for each of at most MAX_QUEUES
-    queues. An empty table gives no rows.
+    table's tasks, so texts and ids are not shuffled. The driver holds one total for each of at most MAX_QUEUES
+    queues; places in more are found by a sort of all quanta and a join (`pack_by_join`), by the same rule. An empty table
+    gives no rows.
     """
     spark = df.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    if df.agg(F.approx_count_distinct(name).alias("n")).first()["n"] > MAX_QUEUES // 2:
-        name = F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string")
     docs = stored(tokenize(df, tokenizer, end, id_col, text_col, name), "tokens")
     parts = docs.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("_n"))
     parts = parts.withColumn("_base", F.sum("_n").over(W.partitionBy("queue").orderBy("part")) - F.col("_n"))
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("_n").alias("n")).collect()}
+    known = parts.groupBy("queue").agg(F.sum("_n").alias("n")).limit(MAX_QUEUES + 1).collect()
+    totals = {r["queue"]: r["n"] for r in known}
     if not totals:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    bases = parts.drop("_n")
+    bases = parts.withColumn("_total", F.sum("_n").over(W.partitionBy("queue"))).drop("_n")
     if parts.count() <= MAX_BASES:  # else joined by a shuffle
         bases = F.broadcast(bases)
     placed = docs.join(bases, ["queue", "part"]).withColumn("start_in_queue", F.col("_base") + F.col("ahead"))
+    if len(totals) > MAX_QUEUES:
+        return pack_by_join(placed, min(quantum, window), window)
     return pack(placed, Schedule(totals, min(quantum, window)), window)
 
 
