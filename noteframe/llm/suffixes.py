@@ -5,7 +5,8 @@ wherever they stand. Phrases that stand once cannot lie in a repeat; runs of the
 phrase hashes. Those are sorted by the difference cover modulo 3 (positions 1 and 2 modulo 3 first, by names of their
 triples, recursively; then the rest, by their first phrase and the rank behind it; then merged), and each suffix is
 compared with its neighbours. What a repeat of LENGTH bytes must share in whole phrases is known, so the comparison
-tells which byte windows can be repeated at all; those that neighbours do not already prove are looked up exactly.
+tells which byte windows can be repeated at all. Those that neighbours do not already prove lie at the ends of what is
+shared: all that begin before one phrase start are taken together, and compared with those whose bytes behind it are the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from noteframe.llm.common import stored, table, text_of
 from noteframe.llm.packing import binaries
-from noteframe.llm.tokens import NOT_SPACE, Group, groups, mix, span_hashes
+from noteframe.llm.tokens import BASE, NOT_SPACE, Group, groups, mix, powers, prefix_hashes, span_hashes
 
 #: A string of so many bytes that stands twice is removed.
 LENGTH = 400
@@ -36,7 +37,7 @@ SHARED = LAST - WINDOW + 1
 ROUNDS = 1
 #: Bits of the fixed-size filters for phrases and windows.
 FILTER_BITS = 26
-GROUP_BYTES = 600_000
+GROUP_BYTES = 128_000
 
 
 def cuts(g: Group) -> np.ndarray:
@@ -159,8 +160,8 @@ def runs_of(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 # the suffix sort
 
 
-def in_order(df: DataFrame, *keys: str) -> tuple[DataFrame, int, int]:
-    """df in the order of its keys with `n`, the place of each row, and `zeros`, the rows of side 0 before it; and both totals.
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df with `n`, the place of each row in the order of its keys, and `zeros`, the rows of side 0 before it.
 
     Spark sorts by ranges of the keys; a task numbers its own rows, and the counts of the tasks before it are added,
     which are as many numbers as there are tasks. Keys end with the row's own identity, so no range can be heavy.
@@ -178,15 +179,10 @@ def in_order(df: DataFrame, *keys: str) -> tuple[DataFrame, int, int]:
 
     fields = ", ".join(f"{n} {k}" for n, k in df.dtypes)
     out = stored(df.orderBy(*keys).mapInArrow(run, f"{fields}, part long, n long, zeros long"), "sorted")
-    counts = sorted(tuple(r) for r in out.groupBy("part").agg(F.count(F.lit(1)), F.count_if(F.col("side") == 0)).collect())
-    width = counts[-1][0] + 1 if counts else 1
-    ahead = np.zeros((2, width + 1), np.int64)
-    for part, n, zeros in counts:
-        ahead[:, part + 1] = n, zeros
-    ahead = np.cumsum(ahead, axis=1)
-    at = lambda k: F.get(F.array(*map(F.lit, ahead[k, :-1].tolist())), F.col("part").cast("int"))
-    placed = out.withColumns({"n": F.col("n") + at(0), "zeros": F.col("zeros") + at(1)}).drop("part")
-    return placed, int(ahead[0, -1]), int(ahead[1, -1])
+    counts = out.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("side") == 0).alias("_zeros"))
+    ahead = lambda c: (F.sum(c).over(W.orderBy("part")) - F.col(c)).alias(f"{c}_ahead")  # noqa: E731  as many rows as tasks
+    placed = out.join(counts.select("part", ahead("_n"), ahead("_zeros")), "part")
+    return placed.withColumns({"n": F.col("n") + F.col("_n_ahead"), "zeros": F.col("zeros") + F.col("_zeros_ahead")}).drop("part", "_n_ahead", "_zeros_ahead")
 
 
 def listed(df: DataFrame, value: str) -> DataFrame:
@@ -211,12 +207,12 @@ def suffix_ranks(strings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     triple = F.transform(places, lambda i: F.struct(i.alias("i"), get("symbols", i).alias("a"), get("symbols", i + 1).alias("b"), get("symbols", i + 2).alias("c")))
     samples = padded.select("run", F.inline(triple))
     if rounds == 0:
-        ranked, _, _ = in_order(samples.withColumn("side", F.lit(0)), "a", "b", "c", "run", "i")
+        ranked = in_order(samples.withColumn("side", F.lit(0)), "a", "b", "c", "run", "i")
         lists = listed(ranked.select("run", "i", "n"), "n")
         pick = lambda k: F.transform(F.filter("items", lambda x: x["i"] % 3 == k), lambda x: x["v"])
         ranks = lists.select("run", pick(1).alias("r1"), pick(2).alias("r2"))
     else:
-        names, _, _ = in_order(samples.select("a", "b", "c").distinct().withColumn("side", F.lit(0)), "a", "b", "c")
+        names = in_order(samples.select("a", "b", "c").distinct().withColumn("side", F.lit(0)), "a", "b", "c")
         named = listed(samples.join(names.select("a", "b", "c", F.col("n").alias("name")), ["a", "b", "c"]), "name")
         part = lambda k: F.struct((F.col("run") * 2 + (k - 1)).alias("run"), F.transform(F.filter("items", lambda x: x["i"] % 3 == k), lambda x: x["v"]).alias("symbols"))
         below = stored(named.select(F.inline(F.array(part(1), part(2)))).where(F.size("symbols") > 0), "names")
@@ -237,8 +233,8 @@ def suffix_ranks(strings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     everywhere = F.sequence(F.lit(0), F.col("length") - 1)
     kind = lambda k: both.select("run", F.inline(F.transform(F.filter(everywhere, lambda i: (i % 3 == 0) | (i % 3 == k)), lambda i: row(i, k))))
-    first, _, _ = in_order(kind(1), "a", "b", "c", "side", "run", "i")
-    second, _, _ = in_order(kind(2), "a", "b", "c", "side", "run", "i")
+    first = in_order(kind(1), "a", "b", "c", "side", "run", "i")
+    second = in_order(kind(2), "a", "b", "c", "side", "run", "i")
     sampled = F.col("zeros") + F.col("own")
     counts = first.select("run", "i", F.when(F.col("side") == 0, F.col("n")).otherwise(sampled).alias("v"))
     counts = counts.union(second.select("run", "i", F.when(F.col("side") == 0, F.col("n") - F.col("zeros")).otherwise(sampled).alias("v")))
@@ -331,116 +327,217 @@ def common(prefix: list[bytes]) -> np.ndarray:
 
 
 class Marked:
-    """One text with what the suffix array says about it: proven cover, and windows that may be repeated."""
+    """Texts of a group, all of LENGTH bytes at least, with what the suffix array says about them: proven cover, and windows that may be repeated.
 
-    def __init__(self, g: Group, k: int, places: np.ndarray, marks: list[dict]):
-        self.first, self.size = int(g.begin[k]), int(g.bytes[k])
-        own, starts = phrases_of(g, k, places)
+    Places are those of the group. `anchor` is the first phrase start of each window that may be repeated.
+    """
+
+    def __init__(self, sub: pa.RecordBatch):
+        self.group = g = Group(sub.column("text").to_pylist(), NOT_SPACE)
+        places = cuts(g)
+        ranges = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) + np.repeat(g.begin - (np.cumsum(n) - n), n))
+        text, at = ranges(g.bytes - (K + WINDOW - 2))
+        own = places[at]
+        new = np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))
+        starts, owner = own[new], text[new]
+        number = np.zeros(len(g.data), np.int64)  # of the phrase start that a place gives
+        number[at] = np.cumsum(new) - 1
+        first = np.searchsorted(owner, np.arange(len(g.bytes)))
+        last = np.append(first[1:], len(owner)) - 1
+        marks = sub.column("marks")
+        place, n = (marks.flatten().field(c).to_numpy().astype(np.int64) for c in ("place", "shared"))
         shared = np.zeros(len(starts), np.int64)
-        np.maximum.at(shared, [m["place"] for m in marks], [m["shared"] for m in marks])
-        reach = starts[np.minimum(np.arange(len(starts)) + shared, len(starts) - 1)] - starts
+        np.maximum.at(shared, first[np.repeat(np.arange(len(sub)), np.diff(marks.offsets.to_numpy()))] + place, n)
+        reach = starts[np.minimum(np.arange(len(starts)) + shared, last[owner])] - starts
         # suffixes are in order as far as names reach; beyond that a neighbour may share less than another suffix would
-        far = np.where(shared >= 3 ** (ROUNDS + 1), self.size, reach)
-        edge = np.zeros(self.size + 1, np.int64)
+        far = np.where(shared >= 3 ** (ROUNDS + 1), g.bytes[owner], reach)
         proven = np.flatnonzero(reach >= LENGTH)
-        np.add.at(edge, starts[proven] - self.first, 1)
-        np.add.at(edge, starts[proven] - self.first + reach[proven], -1)
-        self.cover = np.cumsum(edge[:-1]) > 0
-        windows = self.size - LENGTH + 1
-        number = np.cumsum(np.append(False, own[1:] != own[:-1]))
-        may = far[number[:windows]] >= own[LAST : LAST + windows] - own[:windows]
-        self.may = np.flatnonzero(may)
+        self.cover = self.within(starts[proven], starts[proven] + reach[proven])
+        text, at = ranges(g.bytes - (LENGTH - 1))
+        may = far[number[at]] >= places[at + LAST] - places[at]
+        self.text, self.may = text[may], at[may]
+        self.anchor = places[self.may]
         so_far = np.append(0, np.cumsum(self.cover))
-        open_ = so_far[self.may + LENGTH] - so_far[self.may] < LENGTH
-        self.open = self.may[open_]
+        self.open = so_far[self.may + LENGTH] - so_far[self.may] < LENGTH
 
+    def within(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each place of the group whether it lies in one of the spans."""
+        edge = np.zeros(len(self.group.data) + 1, np.int64)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
+        return np.cumsum(edge[:-1]) > 0
 
-_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-def window_hashes(g: Group, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """127 bits of the LENGTH bytes from each place of the group, as two columns."""
-    from noteframe.llm.tokens import BASE, powers
 
+def hashes_of(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """127 bits of `size` bytes from each place, as two columns."""
     base = (BASE * BASE + 2) % 2**64 | 1
-    other = np.zeros(len(g.data) + 1, np.uint64)
-    np.cumsum(_OTHER[g.data] * powers(base, len(g.data)), out=other[1:])
-    back = powers(pow(base, -1, 2**64), len(g.data))
-    return span_hashes(g.prefix, at, at + LENGTH) >> np.uint64(1), mix((other[at + LENGTH] - other[at]) * back[at])
+    other = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OTHER[data] * powers(base, len(data)), out=other[1:])
+    back = powers(pow(base, -1, 2**64), len(data))
+    return span_hashes(prefix, at, at + size) >> np.uint64(1), mix((other[at + size] - other[at]) * back[at])
 
 
-def each_marked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Group, list[Marked]]]:
-    for sub in groups(batch, GROUP_BYTES):
-        g = Group(sub.column("text").to_pylist(), NOT_SPACE)
-        places = cuts(g)
-        marks = sub.column("marks").to_pylist()
-        yield sub, g, [Marked(g, k, places, ms) for k, ms in enumerate(marks)]
+#: Windows of one anchor begin up to WINDOW - 1 bytes before it, so all of them hold so many bytes from it on.
+CORE = LENGTH - WINDOW + 1
+#: Anchors of one core that are compared in one task; the windows of more are dealt out by their own hashes.
+TOGETHER = 10_000
+ANCHORS = "value long, check long, key long, at long, times long, bytes binary"
 
 
-def open_windows(marked: DataFrame) -> DataFrame:
-    """key, at, value and check (the hash) of windows that may be repeated and are not all proven."""
+def anchors_of(marked: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """Runs of windows that may be repeated and have their anchor in common: its core's hash (value, check), key, at (of the first window), times (copies of the text) and their bytes.
+
+    Without `bits` those of which some window is not proven; else all others whose core passes the filter.
+    """
+    shared = marked.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub, g, marks in each_marked(batch):
-                at = np.concatenate([m.open for m in marks])
-                owner = np.repeat(np.arange(len(marks)), [len(m.open) for m in marks])
-                value, check = window_hashes(g, at + g.begin[owner])
-                columns = [sub.column("key").take(pa.array(owner)), pa.array(at), pa.array(value.view(np.int64)), pa.array(check.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "at", "value", "check"])
+            for sub in groups(batch, GROUP_BYTES):
+                m = Marked(sub)
+                copies = sub.column("copies").to_numpy()
+                first = np.flatnonzero(np.append(True, (m.anchor[1:] != m.anchor[:-1]) | (m.text[1:] != m.text[:-1]))[: len(m.may)])
+                if not len(first):
+                    continue
+                begin, end = m.may[first], m.may[np.append(first[1:], len(m.may)) - 1] + LENGTH
+                text, anchor = m.text[first], m.anchor[first]
+                asks = np.add.reduceat(m.open, first, dtype=np.int64) > 0
+                asks &= copies[text] == 1  # copies are removed whole, but others may be like them
+                value, check = hashes_of(m.group.data, m.group.prefix, anchor, CORE)
+                keep = np.flatnonzero(asks if shared.value is None else ~asks & passes(shared.value, value))
+                text, begin, end = text[keep], begin[keep], end[keep]
+                width = end - begin
+                at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin, width)
+                own = pa.array(text)
+                columns = [pa.array(value[keep].view(np.int64)), pa.array(check[keep].view(np.int64)), sub.column("key").take(own), pa.array(begin - m.group.begin[text]), pa.array(copies[text]), binaries(m.group.data[at], width)]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "check", "key", "at", "times", "bytes"])
+
+    return marked.select("key", "text", "marks", "copies").mapInArrow(run, ANCHORS)
+
+
+class Windows:
+    """All windows of some anchors' bytes: whose they are, where they begin there, and their hashes. They are hashed some hundred anchors at a time."""
+
+    def __init__(self, anchors: pa.RecordBatch):
+        found = [self.of(anchors.slice(a, 500)) for a in range(0, len(anchors), 500)]
+        self.owner = np.concatenate([x[0] + 500 * k for k, x in enumerate(found)])
+        self.lead, self.value, self.check = (np.concatenate([x[c] for x in found]) for c in (1, 2, 3))
+
+    @staticmethod
+    def of(anchors: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = anchors.column("bytes").to_pylist()
+        sizes = np.array([len(x) for x in parts], np.int64)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        n = sizes - (LENGTH - 1)
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), n)
+        lead = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        value, check = hashes_of(data, prefix_hashes(data), lead + (np.cumsum(sizes) - sizes)[owner], LENGTH)
+        return owner, lead.astype(np.int32), value, check
+
+
+def repeated_spans(anchors: pa.RecordBatch) -> pa.RecordBatch:
+    """key, begin and end of what windows cover that stand twice among the anchors, all of whose cores' anchors are there."""
+    w = Windows(anchors)
+    times = anchors.column("times").to_numpy()[w.owner]
+    order = np.lexsort((w.check, w.value))
+    value, check = w.value[order], w.check[order]
+    new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (check[1:] != check[:-1]))[: len(order)])
+    n = np.add.reduceat(times[order], new) if len(new) else times
+    hit = np.zeros(len(order), bool)
+    hit[order] = np.repeat(n, np.diff(new, append=len(order))) > 1
+    edge = np.diff((hit * (w.owner + 1)), prepend=0, append=0) != 0  # hits of one anchor that follow each other are one span
+    at = np.flatnonzero(edge)
+    at = at[:-1][hit[at[:-1]]], (at[1:] - 1)[hit[at[:-1]]]
+    own, start = w.owner[at[0]], anchors.column("at").to_numpy()
+    return pa.RecordBatch.from_arrays([anchors.column("key").take(pa.array(own)), pa.array(start[own] + w.lead[at[0]]), pa.array(start[own] + w.lead[at[1]] + LENGTH)], ["key", "begin", "end"])
+
+
+def compared(anchors: DataFrame) -> DataFrame:
+    """key, begin, end of repeated bytes in anchors whose cores have TOGETHER anchors at most: those of one core meet in one task, one core after the other."""
 
-    return marked.where("copies = 1").select("key", "text", "marks").mapInArrow(run, "key long, at long, value long, check long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            if not part:
+                continue
+            part = part[0]
+            value = part.column("value").to_numpy()
+            # some hundred rows at a time, never cutting a core
+            new = np.flatnonzero(value[1:] != value[:-1]) + 1
+            edges = new[np.flatnonzero(np.diff(new // 500, prepend=0))].tolist()
+            last = int(new[-1]) if len(new) else 0
+            for a, b in zip([0, *edges], [*edges, last], strict=True):
+                if b > a:
+                    yield repeated_spans(part.slice(a, b - a))
+            rest = part.slice(last)
+        if rest is not None and len(rest):
+            yield repeated_spans(rest)
+
+    dealt = anchors.repartition("value").sortWithinPartitions("value")
+    return dealt.mapInArrow(run, "key long, begin long, end long")
+
+
+def looked_up(anchors: DataFrame) -> DataFrame:
+    """As compared(), for cores with any number of anchors: each window is a row, counted by its own hash, so no two tasks' work depends on the core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                w = Windows(part)
+                own = pa.array(w.owner)
+                begin = part.column("at").to_numpy()[w.owner] + w.lead
+                yield pa.RecordBatch.from_arrays([pa.array(w.value.view(np.int64)), pa.array(w.check.view(np.int64)), part.column("key").take(own), pa.array(begin), part.column("times").take(own)], ["value", "check", "key", "begin", "times"])
 
+    rows = stored(anchors.mapInArrow(run, "value long, check long, key long, begin long, times long"), "windows")
+    # stored before the join, so that adaptive execution can split a window that many texts share
+    twice = stored(rows.groupBy("value", "check").agg(F.sum("times").alias("n")).where("n > 1").select("value", "check"), "twice")
+    return rows.join(twice, ["value", "check"], "left_semi").select("key", "begin", (F.col("begin") + LENGTH).alias("end"))
 
-def answers(marked: DataFrame, bits: np.ndarray) -> DataFrame:
-    """value, check and n: how often windows that pass the filter stand among those that may be repeated and are not open themselves."""
-    shared = marked.sparkSession.sparkContext.broadcast(bits)
+
+def passing(anchors: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+    """Anchors whose core's hash passes the filter, or does not."""
+    shared = anchors.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub, g, marks in each_marked(batch):
-                copies = sub.column("copies").to_numpy()
-                rest = [m.may if n > 1 else np.setdiff1d(m.may, m.open, assume_unique=True) for m, n in zip(marks, copies, strict=True)]
-                at = np.concatenate([r + g.begin[k] for k, r in enumerate(rest)])
-                times = np.repeat(copies, [len(r) for r in rest])
-                hit = passes(shared.value, span_hashes(g.prefix, at, at + LENGTH) >> np.uint64(1))
-                value, check = window_hashes(g, at[hit])
-                order = np.lexsort((check, value))
-                value, check, times = value[order], check[order], times[hit][order]
-                new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (check[1:] != check[:-1]))[: len(value)])
-                n = np.add.reduceat(times, new) if len(new) else times
-                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(check[new].view(np.int64)), pa.array(n)], ["value", "check", "n"])
+            yield batch.filter(pa.array(passes(shared.value, batch.column("value").to_numpy().view(np.uint64)) == wanted))
 
-    return marked.select("key", "text", "marks", "copies").mapInArrow(run, "value long, check long, n long")
+    return anchors.mapInArrow(run, ANCHORS)
 
 
 OUT = "key long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def removed(marked: DataFrame) -> DataFrame:
-    """The bytes that stay of texts with their marks and the open windows (`hits`) that proved repeated."""
+def removed(marked: DataFrame, bytes_too: bool) -> DataFrame:
+    """The bytes that stay of texts with their marks and the spans (`gone`) that proved repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub, g, marks in each_marked(batch):
-                kept, spans, hashes = [], [], []
-                for m, hits in zip(marks, sub.column("hits").to_pylist(), strict=True):
-                    edge = np.zeros(m.size + 1, np.int64)
-                    if hits:
-                        np.add.at(edge, hits, 1)
-                        np.add.at(edge, np.array(hits) + LENGTH, -1)
-                    gone = m.cover | (np.cumsum(edge[:-1]) > 0)
-                    kept.append(g.data[m.first : m.first + m.size][~gone].tobytes())
-                    spans.append(int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()))
-                    hashes.append(hashlib.sha256(kept[-1]).hexdigest())
-                gone = [m.size - len(x) for m, x in zip(marks, kept, strict=True)]
-                yield pa.RecordBatch.from_arrays([sub.column("key"), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return marked.select("key", "text", "marks", "hits").mapInArrow(run, OUT)
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null where all or none do) of every text.
+            for sub in groups(batch, GROUP_BYTES):
+                m = Marked(sub)
+                g, gone = m.group, sub.column("gone")
+                text = np.repeat(np.arange(len(sub)), np.diff(gone.offsets.to_numpy()))
+                begin, end = (gone.flatten().field(c).to_numpy() + g.begin[text] for c in ("begin", "end"))
+                cover = m.cover | m.within(begin, end)
+                so_far, rise = np.append(0, np.cumsum(cover)), np.append(0, np.cumsum(np.diff(cover.view(np.int8), prepend=0) == 1))
+                stay = g.data[~cover].tobytes()
+                n = so_far[g.begin + g.bytes] - so_far[g.begin]
+                stop = np.cumsum(g.bytes - n + 1) - 1  # each text is followed by a blank that stays
+                kept = [stay[b - k : b] for b, k in zip(stop.tolist(), (g.bytes - n).tolist(), strict=True)]
+                hashes = [hashlib.sha256(x).hexdigest() for x in kept]
+                columns = [sub.column("key"), pa.array(n), pa.array(rise[g.begin + g.bytes] - rise[g.begin]), pa.array(hashes, pa.string()), pa.array(kept, pa.binary()) if bytes_too else pa.nulls(len(sub), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return marked.select("key", "text", "marks", "gone").mapInArrow(run, OUT)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_too: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null where all or none do, and without `bytes_too`) of every text.
 
     Each byte goes that lies in a string of LENGTH bytes which starts anywhere else as well, in the same text or another.
     Of equal texts one takes part, with their number; the others share its result, which is empty from LENGTH bytes on.
@@ -448,11 +545,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     written with them once, so ids may repeat or be null. An empty table gives no rows. What is broadcast are filters of fixed size; as they fill they let
     more through, and lose nothing.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     docs = stored(keyed(docs), "keyed")
     phrases = stored(phrase_table(docs), "phrases")
-    alike = phrases.groupBy("sum").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
+    # stored before it is joined, so that adaptive execution can split a large group of copies
+    alike = stored(phrases.groupBy("sum").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "alike")
     texts = phrases.where(F.col("n_bytes") >= LENGTH).join(alike.select("key", "copies"), "key")
     repeated = phrase_rows(texts).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     runs = runs_of(texts, filter_of(repeated)).withColumn("run", F.monotonically_increasing_id())
@@ -463,12 +560,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = stored(marks.join(texts.select("key", "copies"), "key"), "marks")
     some = of_keys(docs.select("key", "text"), filter_of(marks.select(spread(F.col("key")).alias("value"))))
     marked = stored(some.join(marks, "key"), "marked")
-    opened = stored(open_windows(marked), "windows")
-    others = answers(marked, filter_of(opened)).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("at"), "value", "check", "n")
-    both = opened.withColumn("n", F.lit(1).cast("long")).unionByName(others)
-    both = both.withColumn("n", F.sum("n").over(W.partitionBy("value", "check")))
-    hits = both.where("n > 1 and key is not null").groupBy("key").agg(F.collect_list("at").alias("hits"))
-    done = removed(marked.where("copies = 1").join(hits, "key", "left"))
+    asking = stored(anchors_of(marked), "anchors")
+    anchors = asking.union(stored(anchors_of(marked, filter_of(asking.select("value"))), "anchors"))
+    cores = anchors.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times")).where("times > 1")
+    anchors, many = passing(anchors, filter_of(cores)), filter_of(cores.where(F.col("n") > TOGETHER))
+    spans = compared(passing(anchors, many, False))
+    if many.any():
+        spans = spans.union(looked_up(passing(anchors, many)))
+    gone = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    done = removed(marked.where("copies = 1").join(gone, "key", "left").withColumn("gone", F.coalesce("gone", none)), bytes_too)
     whole = phrases.select("key", "n_bytes", "sum").join(alike.select("sum", "copies"), "sum").select("key", "n_bytes", "copies")
     rows = docs.select("key", "doc_id", F.sha2("text", 256).alias("own")).join(whole, "key").join(done, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
@@ -495,4 +596,4 @@ def phrase_rows(texts: DataFrame) -> DataFrame:
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes removed from every whole text of documents."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), bytes_too=False).drop("kept")

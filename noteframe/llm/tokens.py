@@ -89,3 +89,4 @@ def groups(batch: pa.RecordBatch, size: int, column: str = "text"):
     starts = np.flatnonzero(np.diff(number, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()  # workers stay, and what they don't use others need

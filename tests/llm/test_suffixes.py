@@ -72,6 +72,15 @@ def test_removal_against_brute_force(spark, texts):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [0, 3])
+def test_cores_of_many_anchors_give_the_same(spark, texts, monkeypatch, together):
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: x for k, x in enumerate(brute([(t or "").encode() for t in texts]))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, bytes_too=False).collect()}
+    assert got == want
+
+
 def test_keys_do_not_depend_on_how_a_scan_is_split(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     block = " ".join(str(rng.random()) for _ in range(60))
