@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteframe.llm.common import cut, stored, table, text_of
+from noteframe.llm.common import cut, digest_of, stored, table, text_of
 from noteframe.llm.graph import components
 from noteframe.llm.tokens import LETTERS, Group, groups, mix
 
@@ -28,9 +30,13 @@ ALL_PAIRS, NEXT = 12, 3
 MAX_ENDS = 200_000
 #: A bucket is spread over cells of about so many rows.
 CELL = 2048
-#: Document frequencies are counted for words hashed to so many buckets: a table of fixed size.
-DF_BUCKETS = 1 << 16
-GROUP_BYTES = 1_000_000
+#: Shingles in this share of the documents have document frequencies of their own; all others count as if they were just below it.
+FREQUENT = 1 / 1000
+#: The least weight of a frequent shingle, as a share of a rare one's.
+LEAST_WEIGHT = 0.7
+#: Frequent shingles that tasks hold at most (16 bytes each), and bits of the table that sets rare ones aside.
+MAX_FREQUENT, SKETCH_BITS = 500_000, 21
+GROUP_BYTES = 256_000
 #: Shingles of rows in large buckets are counted in a table of 2**ORDER_BITS; it only sets in which order they are looked at.
 ORDER_BITS, ORDER_BLOCK = 20, 1 << 14
 #: What sums of weights may be off by.
@@ -56,54 +62,98 @@ LOG_C = np.log(_rng.permutation(_gamma_quantiles()))
 SALTS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_buckets(g: Group) -> np.ndarray:
-    return (g.words >> np.uint64(48)).astype(np.int64)
+@dataclass
+class Frequencies:
+    """How many of `documents` hold each of the frequent shingles, those that `least` documents hold at least."""
 
+    documents: int
+    least: int
+    hashes: np.ndarray  # ascending
+    counts: np.ndarray
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """For each bucket of words the number of documents with a word of it, and last the number of documents. Over all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_BUCKETS + 1, np.int64)
-        for batch in batches:
-            for sub in groups(batch, GROUP_BYTES):
-                g = Group(sub.column("text").to_pylist(), LETTERS)
-                both = np.unique(g.owner * DF_BUCKETS + word_buckets(g))
-                total[:-1] += np.bincount(both % DF_BUCKETS, minlength=DF_BUCKETS)
-                total[-1] += len(sub)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
-
-    out = np.zeros(DF_BUCKETS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+@dataclass
+class Idf:
+    """Inverse document frequencies: of the frequent shingles their own, of all others that of the rarest frequent ones."""
 
+    hashes: np.ndarray
+    values: np.ndarray
+    rest: float
 
-def idf_of(frequencies: np.ndarray) -> np.ndarray:
-    return np.log((frequencies[-1] + 1.0) / (frequencies[:-1] + 0.5)).clip(0.05)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), self.rest)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.values[at], self.rest)
 
 
-def shingles(g: Group, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: which text (ascending), the shingle's hash (ascending in it), its TF-IDF weight.
+def document_frequencies(docs: DataFrame) -> Frequencies:
+    """Exact document frequencies of all shingles in FREQUENT of the documents or more, over all documents (column text, binary).
 
-    A shingle is five words in a row; its weight is how often it stands in the text times the sum of its words' inverse
-    document frequencies. A text of one to four words is one shingle of them all.
+    A first pass adds up how often shingles of each of 2**SKETCH_BITS buckets stand in all texts, which is no less than
+    any one's document frequency; a second counts the documents of those whose bucket reaches the bound. So what is
+    shuffled and sent to tasks follows from FREQUENT, and not from how many shingles the corpus has. Should more than
+    MAX_FREQUENT reach it all the same, as texts are very long, the bound is doubled until they don't.
     """
+    documents = docs.count()
+    least = max(2, math.ceil(documents * FREQUENT))
+    sketch = shingle_counts(docs, SKETCH_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch >= least, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - SKETCH_BITS)
+        for batch in batches:
+            seen = []
+            for sub in groups(batch, GROUP_BYTES):
+                owner, hashes = all_shingles(Group(sub.column("text").to_pylist(), LETTERS))
+                bit = hashes >> shift
+                may = (shared.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                order = np.lexsort((owner[may], hashes[may]))
+                owner, hashes = owner[may][order], hashes[may][order]
+                seen.append(hashes[np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]])
+            hashes, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    while counts.where(F.col("n") >= least).count() > MAX_FREQUENT:
+        least *= 2
+    rows = counts.where(F.col("n") >= least).toArrow()
+    hashes, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return Frequencies(documents, least, hashes[order], n[order])
+
+
+def idf_of(frequencies: Frequencies) -> Idf:
+    """Logarithms of the inverse frequencies, but no less than LEAST_WEIGHT of that of rare shingles.
+
+    A large group of near copies makes its own shingles frequent. Without a bound each copy's few edits would weigh more
+    than all that the group shares, and the larger the group, the less alike its copies would be.
+    """
+    value = lambda n: np.log((frequencies.documents + 1.0) / (n + 0.5))
+    rest = max(float(value(np.float64(frequencies.least - 1))), 0.05)
+    return Idf(frequencies.hashes, value(frequencies.counts).clip(LEAST_WEIGHT * rest, rest), rest)
+
+
+def all_shingles(g: Group) -> tuple[np.ndarray, np.ndarray]:
+    """Which text and the hash of every shingle where it stands: five words in a row. A text of one to four words is one shingle of them all."""
     at, hashes = g.combined(list(range(SHINGLE)), 0)
-    weight = idf[word_buckets(g)]
-    so_far = np.append(0, np.cumsum(weight))
-    owner, weights = g.owner[at], so_far[at + SHINGLE] - so_far[at]
+    owner = g.owner[at]
     short = np.flatnonzero((g.count > 0) & (g.count < SHINGLE))
     if len(short):
         few = [mix(np.add.reduce(g.words[a : a + n] * np.arange(3, 3 + n, dtype=np.uint64), keepdims=True))[0] for a, n in zip(g.first[short], g.count[short], strict=True)]
         owner, hashes = np.append(owner, short), np.append(hashes, np.array(few, np.uint64))
-        weights = np.append(weights, so_far[g.first[short] + g.count[short]] - so_far[g.first[short]])
+    return owner, hashes
+
+
+def shingles(g: Group, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: which text (ascending), the shingle's hash (ascending in it), its TF-IDF weight: how often it stands in the text times its inverse document frequency."""
+    owner, hashes = all_shingles(g)
     order = np.lexsort((hashes, owner))
-    owner, hashes, weights = owner[order], hashes[order], weights[order]
-    new = np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)]
-    first = np.flatnonzero(new)
-    return owner[first], hashes[first], np.add.reduceat(weights, first) if len(first) else weights
+    owner, hashes = owner[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)])
+    owner, hashes, times = owner[first], hashes[first], np.diff(first, append=len(owner))
+    return owner, hashes, times * idf.of(hashes)
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -136,8 +186,8 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np
     return out
 
 
-def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """key (of the row), doc_id, same (equal for texts of equal words), signature (null without words)."""
+def signed(docs: DataFrame, idf: Idf) -> DataFrame:
+    """key (of the row), doc_id, digest, same (equal for texts of equal words), signature (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +202,12 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         found[k] = s.tobytes()
                 total = [b"%x.%x.%d" % (int(a), int(b), n) for a, b, n in zip(*sums(g), g.count, strict=True)]
                 # texts without words are alike only if their bytes are
-                same = [t if n else b"=" + x for t, n, x in zip(total, g.count, sub.column("raw").to_pylist(), strict=True)]
+                same = [t if n else b"=" + x.encode() for t, n, x in zip(total, g.count, sub.column("digest").to_pylist(), strict=True)]
                 keys = pa.array(np.arange(len(sub)) + (key + so_far))
                 so_far += len(sub)
-                yield pa.RecordBatch.from_arrays([keys, sub.column("doc_id"), pa.array(same, pa.binary()), pa.array(found, pa.binary())], ["key", "doc_id", "same", "signature"])
+                yield pa.RecordBatch.from_arrays([keys, sub.column("doc_id"), sub.column("digest"), pa.array(same, pa.binary()), pa.array(found, pa.binary())], ["key", "doc_id", "digest", "same", "signature"])
 
-    return docs.select("doc_id", "text", "raw").mapInArrow(run, f"key long, doc_id {dict(docs.dtypes)['doc_id']}, same binary, signature binary")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, f"key long, doc_id {dict(docs.dtypes)['doc_id']}, digest string, same binary, signature binary")
 
 
 def sums(g: Group) -> list[np.ndarray]:
@@ -226,33 +276,38 @@ def hub_pairs(large: DataFrame, signs: DataFrame, links: DataFrame, roots: DataF
     return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
-def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """For each of 2**ORDER_BITS buckets of shingles how often its shingles stand in the texts (key, root, text); added up by Spark in blocks."""
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
+def shingle_counts(texts: DataFrame, bits: int) -> np.ndarray:
+    """For each of 2**bits buckets of shingles how often its shingles stand in the texts; added up by Spark in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
-                hashes = shingles(Group(sub.column("text").to_pylist(), LETTERS), shared.value)[1]
-                total += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
-        blocks = total.reshape(-1, ORDER_BLOCK)
-        seen = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([blocks[k].tobytes() for k in seen], pa.binary())], ["block", "n"])
+                at, n = np.unique(all_shingles(Group(sub.column("text").to_pylist(), LETTERS))[1] >> np.uint64(64 - bits), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
+        for k, block in enumerate(total.reshape(-1, ORDER_BLOCK)):
+            at = np.flatnonzero(block)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([block[at].astype(np.int64).tobytes()], pa.binary())], names)
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(ORDER_BLOCK, np.int64)
-        for n in part.column("n"):
-            total += np.frombuffer(n.as_py(), np.int64)
-        return pa.table({"block": part.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(1 << ORDER_BITS, np.int64).reshape(-1, ORDER_BLOCK)
-    for r in texts.select("text").mapInArrow(run, "block long, n binary").groupBy("block").applyInArrow(add, "block long, n binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["n"], np.int64)
+        for at, n in zip(part.column("at"), part.column("n"), strict=True):
+            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int64)
+        at = np.flatnonzero(total)
+        return pa.table([part.column("block").slice(0, 1), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names)
+
+    # blocks hold their counts that are not zero; a block's parts meet in two steps, so that none of many tasks' is large
+    names, schema = ["block", "at", "n"], "block long, at binary, n binary"
+    parts = texts.select("text").mapInArrow(run, schema).withColumn("turn", F.spark_partition_id() % F.lit(32))
+    some = parts.groupBy("block", "turn").applyInArrow(add, schema)
+    out = np.zeros(1 << bits, np.int64).reshape(-1, ORDER_BLOCK)
+    for r in some.groupBy("block").applyInArrow(add, schema).toLocalIterator():
+        out[r["block"], np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.int64)
     return out.ravel().clip(max=2**32 - 1).astype(np.uint32)
 
 
-def rare_shingles(texts: DataFrame, idf: np.ndarray, counts: np.ndarray, similar: float) -> DataFrame:
+def rare_shingles(texts: DataFrame, idf: Idf, counts: np.ndarray, similar: float) -> DataFrame:
     """shingle, key, root, total, rest, short: the first shingles of each text (key, root, text) in the order of their counts.
 
     `total` is the weight of the text and `rest` that of this shingle and all later ones. Two texts whose similarity is
@@ -297,7 +352,7 @@ def joined_pairs(rare: DataFrame, similar: float) -> DataFrame:
     return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
-def weighted_jaccard(g: Group, idf: np.ndarray) -> np.ndarray:
+def weighted_jaccard(g: Group, idf: Idf) -> np.ndarray:
     """Similarities of the texts 0 and 1, 2 and 3, and so on."""
     owner, hashes, weights = shingles(g, idf)
     pair = owner // 2
@@ -310,7 +365,7 @@ def weighted_jaccard(g: Group, idf: np.ndarray) -> np.ndarray:
     return least / np.maximum(total - least, 1e-12)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similar: float) -> DataFrame:
     """Pairs (a, b) whose weighted Jaccard similarity, computed from their whole texts, is at least `similar`."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     full = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -329,7 +384,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (smallest id of its class), kept (one row of each class), copies (rows with its words) for every row.
+    """doc_id, digest (md5 of the text), class_id (smallest id of its class), kept (one row of each class), copies (rows with its words) for every row.
 
     Words are runs of letters and digits without regard to case. Texts of equal words are one class and are carried by
     one of them; texts without words are alike if equal. Classes are the connected components of verified links. Pairs
@@ -339,24 +394,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hold several classes are then joined by their rarest shingles, which finds every pair of them that is alike.
 
     A null text is empty. Rows that repeat an id keep one row each and one class if alike; rows without an id have class
-    null if no row of their class has one. An empty table gives no rows. Frequencies of words are a table of fixed size.
+    null if no row of their class has one. An empty table gives no rows. Texts are fetched by id and digest, so it does
+    not matter how another scan of the table is split.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("raw"), F.lower(text_of(text_col)).cast("binary").alias("text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.lower(text_of(text_col)).cast("binary").alias("text"))
     idf = idf_of(document_frequencies(docs))
     rows = stored(signed(docs, idf), "signed")
-    alike = rows.groupBy("same").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("copies"))
-    member = stored(rows.select("key", "doc_id", "same").join(alike, "same").select("key", "doc_id", "leader", "copies"), "members")
+    # stored before they are joined, so that adaptive execution can split a large group of copies
+    alike = stored(rows.groupBy("same").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("copies")), "alike")
+    member = stored(rows.select("key", "doc_id", "digest", "same").join(alike, "same").select("key", "doc_id", "digest", "leader", "copies"), "members")
     leaders = rows.where("signature is not null").join(alike.select(F.col("leader").alias("key")), "key", "left_semi").select("key", "signature")
-    repeated_ids = not member.where("key = leader").groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
     def texts_of(ends: DataFrame) -> DataFrame:
         few = ends.count() <= MAX_ENDS  # else whole texts are shuffled to the keys
         send = F.broadcast if few else (lambda x: x)
-        if repeated_ids:
-            return keyed_again(docs, idf).join(send(ends), "key", "left_semi")
-        # a row's key is not in the given table, its id is
-        wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", "doc_id")
-        return docs.select("doc_id", "text").join(send(wanted), "doc_id")
+        # a row's key is not in the given table, its id and text are; equal rows give a text twice, which changes nothing
+        wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        found = docs.select("doc_id", "digest", "text").join(send(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+        return found.select("key", "text")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         texts = texts_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
@@ -382,7 +437,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
     if not open_rows.isEmpty():
         texts = stored(texts_of(open_rows.select("key")).select("key", "text").join(open_rows, "key"), "open")
-        rare = stored(rare_shingles(texts, idf, shingle_counts(texts, idf), similar), "rare")
+        rare = stored(rare_shingles(texts, idf, shingle_counts(texts, ORDER_BITS), similar), "rare")
         further = joined_pairs(rare, similar).join(pairs, ["a", "b"], "left_anti")
         one, other = (leaders.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab")
         further = cut(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
@@ -394,23 +449,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not new.isEmpty():
             roots = components(cut(links.union(new)))
     tied = member.join(roots.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
-    named = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    tied = stored(tied, "tied")
+    named = stored(tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")), "classes")
     out = tied.join(named, "root")
-    return out.select("doc_id", "class_id", (F.col("best.key") == F.col("key")).alias("kept"), "copies")
-
-
-def keyed_again(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """key and text of every row, by the same scan that gave the keys; for tables whose ids are not unique."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, so_far = TaskContext.get().partitionId() << 36, 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch)) + (key + so_far)), batch.column("text")], ["key", "text"])
-            so_far += len(batch)
-
-    return docs.select("doc_id", "text", "raw").mapInArrow(run, "key long, text binary")
+    return out.select("doc_id", "digest", "class_id", (F.col("best.key") == F.col("key")).alias("kept"), "copies")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
