@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 #: A word of letters, digits, underscore, apostrophe and hyphen with at least one of the first three; means the same in RE2.
 WORD = r"[\p{L}\p{N}_'-]*[\p{L}\p{N}_][\p{L}\p{N}_'-]*"
 ASCII_WORD = r"[A-Za-z0-9_'-]*[A-Za-z0-9_][A-Za-z0-9_'-]*"
+#: The same words for engines that backtrack: a run of marks without a letter is given up at once, and not from each of its marks again.
+FAST_WORD = r"(?<!['-])['-]*+[\p{L}\p{N}_][\p{L}\p{N}_'-]*+"
+FAST_ASCII_WORD = r"(?<!['-])['-]*+[A-Za-z0-9_][A-Za-z0-9_'-]*+"
+#: All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: HTML escapes in the order in which they apply.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;"))
 
@@ -28,7 +33,7 @@ def first_filled(*columns: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(filled(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(filled(c), F.lit(WHITE))
 
 
 def clean_ws(c: Column | str) -> Column:
@@ -37,11 +42,11 @@ def clean_ws(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(filled(c), F.lit(WORD))
+    return F.regexp_count(filled(c), F.lit(FAST_WORD))
 
 
 def ascii_word_count(c: Column | str) -> Column:
-    return F.regexp_count(filled(c), F.lit(ASCII_WORD))
+    return F.regexp_count(filled(c), F.lit(FAST_ASCII_WORD))
 
 
 def token_count(c: Column | str) -> Column:
@@ -126,19 +131,22 @@ def username_slug(name: Column | str, email: Column | str) -> Column:
     return F.lower(F.replace(F.coalesce(first_filled(name), F.substring_index(col(email), "@", 1)), F.lit(" "), F.lit("_")))
 
 
+#: What formulas and highlights look like.
+SHOWN_FORMULA = r"\$\$([\s\S]*?)\$\$"
+INLINE_FORMULA = r"(?<!\$)\$(?!\$)((?:[^$\\]|\\.)+?)\$(?!\$)"
+HIGHLIGHT = r"""(?is)<span[^>]*style=["'][^"'>]*background(?:-color)?:\s*+(?!transparent|rgba\(0,\s*0,\s*0,\s*0\))[^"'>]*["'][^>]*>(.*?)</span>"""
+
+
 def extract_formulas(c: Column | str) -> Column:
     """Display formulas ($$...$$) and then inline ones ($...$), trimmed."""
-    shown = r"\$\$([\s\S]*?)\$\$"
-    inline = r"(?<!\$)\$(?!\$)((?:[^$\\]|\\.)+?)\$(?!\$)"
-    rest = F.regexp_replace(filled(c), shown, "")
-    both = F.concat(F.regexp_extract_all(filled(c), F.lit(shown), F.lit(1)), F.regexp_extract_all(rest, F.lit(inline), F.lit(1)))
+    rest = F.regexp_replace(filled(c), SHOWN_FORMULA, "")
+    both = F.concat(F.regexp_extract_all(filled(c), F.lit(SHOWN_FORMULA), F.lit(1)), F.regexp_extract_all(rest, F.lit(INLINE_FORMULA), F.lit(1)))
     return F.transform(both, lambda x: F.trim(x))
 
 
 def extract_highlights(c: Column | str) -> Column:
     """Texts of spans with a background that is not transparent: trimmed, not empty, each once, in their order."""
-    span = r"""(?is)<span[^>]*style=["'][^"'>]*background(?:-color)?:\s*+(?!transparent|rgba\(0,\s*0,\s*0,\s*0\))[^"'>]*["'][^>]*>(.*?)</span>"""
-    texts = F.transform(F.regexp_extract_all(filled(c), F.lit(span), F.lit(1)), strip_html)
+    texts = F.transform(F.regexp_extract_all(filled(c), F.lit(HIGHLIGHT), F.lit(1)), strip_html)
     return F.array_distinct(F.filter(texts, lambda x: x != ""))
 
 

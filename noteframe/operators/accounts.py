@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteframe.functions import text as T
+from noteframe.sources.storage import kept
 
 
 def resolve_identity(logins: DataFrame, users: DataFrame) -> DataFrame:
@@ -29,32 +30,46 @@ def check_registration(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """candidate_id and outcome: email_taken, username_taken or ok. In a batch the first of equals (by id) wins."""
     mails, names = (users.select(c, F.lit(True).alias(f"_{c}")).distinct() for c in ("email", "username"))
     rows = candidates.join(mails, "email", "left").join(names, "username", "left")
-    rows = rows.withColumn("_mail_turn", F.row_number().over(W.partitionBy("email").orderBy("candidate_id")))
-    rows = rows.withColumn("_name_turn", F.row_number().over(W.partitionBy("username").orderBy("candidate_id")))
-    outcome = F.when(F.col("_email").isNotNull() | (F.col("_mail_turn") > 1), "email_taken").when(F.col("_username").isNotNull() | (F.col("_name_turn") > 1), "username_taken").otherwise("ok")
+    # the first of equals by an aggregate, so that a name that everyone wants is not sorted in one task
+    for c in ("email", "username"):
+        rows = rows.join(candidates.groupBy(c).agg(F.min("candidate_id").alias(f"_first_{c}")), c, "left")
+    later = lambda c: F.col(c).isNotNull() & (F.col("candidate_id") > F.col(f"_first_{c}"))
+    outcome = F.when(F.col("_email").isNotNull() | later("email"), "email_taken").when(F.col("_username").isNotNull() | later("username"), "username_taken").otherwise("ok")
     return rows.select("candidate_id", outcome.alias("outcome"))
 
 
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Add `turn`, the place of each row in its group from 1, in the given order.
+
+    Rows are sorted by ranges of group and order, so a large group lies in many tasks; the counts of a group's earlier
+    ranges are added. The sorted rows are written to a shared folder, so ranges stay as they are.
+    """
+    rows = kept(df.orderBy(group, order).withColumn("_block", F.spark_partition_id()), "turns")
+    sizes = rows.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.withColumn("_ahead", F.sum("_n").over(W.partitionBy(group).orderBy("_block")) - F.col("_n")).drop("_n")
+    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy(group, "_block").orderBy(order)))
+    return rows.join(ahead, [group, "_block"]).withColumn("turn", F.col("turn") + F.col("_ahead")).drop("_block", "_ahead")
+
+
 def assign_usernames(new: DataFrame, users: DataFrame, rounds: int = 20) -> DataFrame:
     """login_id and username: the slug, or the first free of slug_1, slug_2, ..., in the order of login_id.
 
-    A slug's newcomers and its free candidates are numbered and meet by number: as many candidates are made as it has
-    newcomers and taken names, so no group needs a loop. A slug can itself look like another's candidate (a_1); where
+    A slug's newcomers and its free candidates are numbered and meet by number: each newcomer and each taken name of a
+    slug makes one candidate, so no group needs a loop or a list. A slug can itself look like another's candidate (a_1); where
     two logins get one name the later ones are numbered again, until none is left or `rounds` are over, which raises.
     """
     waiting = new.select("login_id", T.username_slug("name", "email").alias("slug"))
     taken, done = users.select("username").distinct(), None
     for _ in range(rounds):
-        turns = waiting.withColumn("turn", F.row_number().over(W.partitionBy("slug").orderBy("login_id")))
+        turns = numbered(waiting, "slug", "login_id")
         heads = turns.groupBy("slug").agg(F.count(F.lit(1)).alias("need"))
         stems = taken.withColumn("slug", F.explode(F.array_distinct(F.array("username", F.regexp_replace("username", r"_[0-9]+$", "")))))
-        used = stems.groupBy("slug").agg(F.count(F.lit(1)).alias("used"))
-        sizes = heads.join(used, "slug", "left").select("slug", (F.col("need") + F.coalesce("used", F.lit(0))).alias("n"))
-        names = sizes.select("slug", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("k"))
+        used = numbered(stems.join(heads, "slug"), "slug", "username").select("slug", (F.col("need") + F.col("turn") - 1).alias("k"))
+        names = turns.select("slug", (F.col("turn") - 1).alias("k")).union(used)
         names = names.withColumn("username", F.when(F.col("k") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), F.col("k").cast("string"))))
-        free = names.join(taken, "username", "left_anti").withColumn("turn", F.row_number().over(W.partitionBy("slug").orderBy("k")))
+        free = numbered(names.join(taken, "username", "left_anti"), "slug", "k")
         got = turns.join(free, ["slug", "turn"]).select("login_id", "slug", "username")
-        first = got.withColumn("_n", F.row_number().over(W.partitionBy("username").orderBy("login_id"))).cache()
+        first = kept(got.withColumn("_n", F.row_number().over(W.partitionBy("username").orderBy("login_id"))), "named")
         settled = first.where("_n = 1").select("login_id", "username")
         done = settled if done is None else done.union(settled)
         again = first.where("_n > 1")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from noteframe.functions import text as T
 from noteframe.operators import library
+from noteframe.sources.storage import kept
 
 PATCHABLE = ("title", "structured_text", "subject", "topic", "tags")
 #: Fixed value: the colour of a notebook that names none.
@@ -20,23 +22,60 @@ def set_audit(df: DataFrame, as_of: Column, *columns: str) -> DataFrame:
 
 
 def next_ids(new: DataFrame, old: DataFrame, order: str) -> DataFrame:
-    """Number new rows on from the largest old id, in the given order.
+    """Number new rows on from the largest old id, in the given order; rows that tie in it by their other columns.
 
     Rows are sorted by ranges of the order; a row's number is its place in its range and the counts of the ranges before.
-    The sorted rows are kept, as numbers and counts have to come from the same ranges.
+    The sorted rows are written to a shared folder, as numbers and counts have to come from the same ranges, also when
+    an executor is lost.
     """
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ranked = new.orderBy(order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    ties = [f.name for f in new.schema.fields if f.name != order and not isinstance(f.dataType, Ty.MapType | Ty.VariantType)]
+    ranked = kept(new.orderBy(order, *ties).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     block = F.shiftright("_m", 33)
     sizes = ranked.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(W.orderBy("_block")) - F.col("_size")).drop("_size")
-    rows = ranked.withColumn("_block", block).join(before, "_block").join(F.broadcast(top))  # one row
+    rows = ranked.withColumn("_block", block).join(before, "_block")  # as many rows as tasks
     place = F.col("_m") - F.shiftleft("_block", 33)
-    return rows.withColumn("id", F.col("_top") + F.col("_before") + place + 1).drop("_m", "_block", "_before", "_top")
+    return rows.withColumn("id", F.lit(top) + F.col("_before") + place + 1).drop("_m", "_block", "_before")
 
 
-def insert_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
-    return notes.unionByName(new, allowMissingColumns=True)
+def begin_notes(notes: DataFrame, uploads: DataFrame, as_of: Column) -> DataFrame:
+    """New rows for uploads (upload_id, title, image_filename, owner_id), numbered on from the notes in the order of upload_id: processing, without a text."""
+    rows = next_ids(uploads, notes, "upload_id")
+    return rows.select("id", "upload_id", T.note_title("title", "image_filename").alias("title"), F.coalesce(T.first_filled("image_filename"), F.lit("uploaded_image")).alias("image_filename"), "owner_id", F.lit("processing").alias("status"), as_of.alias("created_at"))
+
+
+def finish_notes(began: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of begin_notes with what their extraction gave (upload_id, raw_text, structured_text, error).
+
+    With an error they are failed and hold it as their message, without a text or time; else they are completed. A row
+    without a result is still processing.
+    """
+    got = results.select("upload_id", "raw_text", "structured_text", F.nullif("error", F.lit("")).alias("_error"), F.lit(True).alias("_got"))
+    rows = began.join(got, "upload_id", "left")
+    failed, done = F.col("_error").isNotNull(), F.col("_got") & F.col("_error").isNull()
+    return rows.withColumns(
+        {
+            "status": F.when(failed, "failed").when(done, "completed").otherwise(F.col("status")),
+            "error_message": F.col("_error"),
+            "processed_at": F.when(done, as_of),
+            "raw_text": F.when(done, F.col("raw_text")),
+            "structured_text": F.when(done, F.col("structured_text")),
+        }
+    ).drop("_error", "_got")
+
+
+def insert_notes(notes: DataFrame, uploads: DataFrame, results: DataFrame, as_of: Column, categories: DataFrame | None = None) -> DataFrame:
+    """Notes with those of new uploads: begun, finished, and categorised (upload_id, subject, topic, tags) where that worked.
+
+    Only completed notes take categories, and whether they get any never changes a status.
+    """
+    new = finish_notes(begin_notes(notes, uploads, as_of), results, as_of)
+    if categories is not None:
+        made = new.where("status = 'completed'").select("id", "owner_id", "upload_id").join(categories, "upload_id").drop("upload_id")
+        bare = new.withColumns({c: F.lit(None).cast("string") for c in ("subject", "topic", "tags")})
+        new = store_categories(bare, made)
+    return notes.unionByName(new.drop("upload_id"), allowMissingColumns=True)
 
 
 def patch_notes(notes: DataFrame, patches: DataFrame) -> DataFrame:
@@ -140,7 +179,7 @@ def append_explanations(explanations: DataFrame, made: DataFrame, as_of: Column)
 
 
 def store_categories(notes: DataFrame, made: DataFrame) -> DataFrame:
-    """Write subject, topic and tags (id, subject, topic, tags) where a note got them; the status stays."""
-    new = made.select("id", *(F.col(c).alias(f"_{c}") for c in ("subject", "topic", "tags")), F.lit(True).alias("_hit"))
-    rows = notes.join(new, "id", "left")
+    """Write subject, topic and tags (id, owner_id, subject, topic, tags) where an owner's note got them; the status stays."""
+    new = made.select("id", "owner_id", *(F.col(c).alias(f"_{c}") for c in ("subject", "topic", "tags")), F.lit(True).alias("_hit"))
+    rows = notes.join(new, ["id", "owner_id"], "left")
     return rows.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("subject", "topic", "tags")}).drop("_subject", "_topic", "_tags", "_hit")

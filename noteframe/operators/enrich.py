@@ -34,8 +34,8 @@ NOTE_CHARS, CONTEXT_CHARS, HIGHLIGHT_CHARS = 4000, 2000, 500
 
 
 def latest_flashcard_set(sets: DataFrame) -> DataFrame:
-    """The newest set of each note and owner; of sets of one time the one with the larger id."""
-    order = W.partitionBy("note_id", "owner_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+    """The newest set of each note and owner, one without a time before all others; of sets of one time the one with the larger id."""
+    order = W.partitionBy("note_id", "owner_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc())
     return sets.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -58,6 +58,14 @@ def plan_summaries(requests: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.when(cached, "cached").otherwise("generate"))
 
 
+def plan_summaries_by_table(requests: DataFrame, summaries: DataFrame) -> DataFrame:
+    """As plan_summaries, where summaries are a table of their own (note_id, owner_id, summary): what it holds is cached, empty or not."""
+    have = summaries.select("note_id", "owner_id").distinct().withColumn("_have", F.lit(True))
+    rows = requests.join(have, ["note_id", "owner_id"], "left")
+    cached = ~F.coalesce("regenerate", F.lit(False)) & F.col("_have").isNotNull()
+    return rows.withColumn("action", F.when(cached, "cached").otherwise("generate")).drop("_have")
+
+
 def plan_explanations(requests: DataFrame, explanations: DataFrame) -> DataFrame:
     """Requests (owner_id, note_id, highlighted_text): cached if exactly that trimmed text of that note is explained. Without a note never."""
     keys = ["owner_id", "note_id", "highlighted_text"]
@@ -66,6 +74,15 @@ def plan_explanations(requests: DataFrame, explanations: DataFrame) -> DataFrame
     return rows.withColumn("action", F.when(F.col("explanation_id").isNotNull(), "cached").otherwise("generate"))
 
 
+def plan_explanations_anywhere(requests: DataFrame, explanations: DataFrame) -> DataFrame:
+    """As plan_explanations, but a request without a note is answered by the explanation of that text in any of the owner's notes."""
+    keys = ["owner_id", "highlighted_text"]
+    anywhere = first_match(explanations, *keys).select(*keys, F.col("id").alias("_any"))
+    rows = plan_explanations(requests, explanations).join(anywhere, keys, "left")
+    found = F.coalesce("explanation_id", F.when(F.col("note_id").isNull(), F.col("_any")))
+    return rows.withColumns({"explanation_id": found, "action": F.when(found.isNotNull(), "cached").otherwise("generate")}).drop("_any")
+
+
 def plan_categories(requests: DataFrame, notes: DataFrame) -> DataFrame:
     full = (T.filled("subject") != "") & (T.filled("topic") != "") & (T.filled("tags") != "")
     rows = requests.join(notes.select(F.col("id").alias("note_id"), "owner_id", full.alias("_full")), ["note_id", "owner_id"])

@@ -114,7 +114,7 @@ def extracted_text() -> Column:
 
 
 def is_likely_incomplete(text: Column) -> Column:
-    return (text != "") & (T.ascii_word_count(text) < 18) & (F.length(text) < 120)
+    return (text != "") & (F.length(text) < 120) & (T.ascii_word_count(text) < 18)  # words of short texts only are counted
 
 
 def upload_feedback(notes: DataFrame) -> DataFrame:

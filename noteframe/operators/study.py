@@ -30,5 +30,5 @@ def missed_only(events: DataFrame) -> DataFrame:
 
 def shuffle_cards(cards: DataFrame, seed: int) -> DataFrame:
     """Add `position`: a permutation of each set's cards that depends on the seed and the card alone."""
-    order = W.partitionBy("set_id").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    order = W.partitionBy("set_id").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id")
     return cards.withColumn("position", F.row_number().over(order))

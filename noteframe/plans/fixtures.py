@@ -41,12 +41,16 @@ select p_partkey as id, p_name as name, p_partkey % 50 as owner_id,
 from part
 """,
     "note_notebooks": r"""
-select n.id as note_id, b.id as notebook_id from notes n join notebooks b on n.owner_id = b.owner_id
-where cast(floor(n.id / 50) + floor(b.id / 50) as bigint) % 3 = 0
+select n.id as note_id, b.id as notebook_id from
+ (select id, owner_id + 50 * cast((floor(id / 50) * 7 + k * 3) % (select greatest(1, count(*) / 50) from notebooks) as bigint) as book
+  from (select id, owner_id, 0 as k from notes union all select id, owner_id, 1 as k from notes where id % 2 = 0) a) n
+join notebooks b on n.book = b.id
 """,
     "ocr_passes": r"""
-select doc_id as page_id, pass, case pass when 1 then substr(text, 1, cast((doc_id * 37) % 400 as int))
-  when 2 then substr(text, 1, cast((doc_id * 53) % 600 as int)) else substr(text, 1, cast((doc_id * 71) % 800 as int)) end as raw_text,
+select doc_id as page_id, pass, case pass
+  when 1 then case doc_id % 3 when 0 then text when 1 then replace(text, ' ', '') else replace(text, chr(10), ' ') end
+  when 2 then case doc_id % 4 when 0 then replace(text, ' ', '') when 1 then replace(text, '. ', '.x') else text end
+  else case doc_id % 5 when 0 then '' else text end end as raw_text,
  case pass when 1 then doc_id % 5 when 2 then doc_id % 4 else 0 end as n_elements,
  case when pass = 1 and doc_id % 17 = 0 then 'timeout' when pass = 2 and doc_id % 7 = 0 then 'JSON parse failed'
       when pass = 3 and doc_id % 19 = 0 then 'timeout' end as error
@@ -58,13 +62,16 @@ select event_id, user_id as session_id, event_id % 20 as card_idx, ts,
 """,
     "flashcard_sets": r"""
 select conv_id * 10 + v as id, conv_id as note_id, conv_id % 50 as owner_id, concat('Flashcards for Note ', conv_id) as title,
- timestamp '2024-02-01 00:00:00' + ((conv_id * 31 + v * 17) % 1000) * interval '1' hour as created_at
+ case when (conv_id + v) % 7 = 0 then null else timestamp '2024-02-01 00:00:00' + ((conv_id * 31 + v * 17) % 1000) * interval '1' hour end as created_at
 from (select distinct conv_id, 0 as v from conversations union all select distinct conv_id, 1 as v from conversations) c where (conv_id + v) % 3 <> 0
 """,
     "flashcards": r"""
 select s.id * 100 + q.turn as id, s.id as set_id, q.text as question, a.text as answer
 from flashcard_sets s join conversations q on s.note_id = q.conv_id and q.role = 'user'
 join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 and a.role = 'assistant'
+""",
+    "ai_summaries": r"""
+select doc_id as id, doc_id as note_id, (doc_id + case when doc_id % 20 = 0 then 1 else 0 end) % 50 as owner_id, concat('about ', doc_id) as summary from documents where doc_id % 4 = 0
 """,
     "ai_explanations": r"""
 select doc_id as id, doc_id as note_id, doc_id % 50 as owner_id, trim(substr(text, 1, 12)) as highlighted_text, concat('about ', doc_id) as explanation,
@@ -77,7 +84,7 @@ select conv_id, kind, case kind
   when 2 then concat('{"cards": ', arr, '}')
   when 3 then concat('{"note": 1, "items": ', arr, '}') else 'no cards' end as response
 from (select conv_id, conv_id % 5 as kind, concat('[{"question": "', t, '", "answer": "a1"}, {"question": "q2", "answer": "', t, '"}]') as arr
- from (select conv_id, substr(regexp_replace(text, '[^A-Za-z ]', ''), 1, 40) as t from conversations where turn = 0) x) y
+ from (select conv_id, regexp_replace(text, '[^A-Za-z ]', '') as t from conversations where turn = 0) x) y
 """,
     "logins": r"""
 select c_custkey as login_id,
@@ -98,7 +105,7 @@ select doc_id as page_id, cast(floor(doc_id / 3) as bigint) as note_id, doc_id %
  text as raw_text, case when doc_id % 12 = 5 or doc_id % 30 in (9, 10, 11) then 'timeout' end as error from documents
 """,
     "html_notes": r"""
-select doc_id as note_id, concat('<p>', substr(text, 1, 50), '&nbsp;<span style="background-color: rgb(255, 255, 0);">', substr(text, case when doc_id % 2 = 0 then 1 else 51 end, 12),
+select doc_id as note_id, concat('<p>', replace(text, chr(10), '</p><p>'), '</p><p>&nbsp;<span style="background-color: rgb(255, 255, 0);">', substr(text, case when doc_id % 2 = 0 then 1 else 51 end, 12),
  '</span><br/><span style="background-color: transparent">plain</span> $x_', doc_id, '$ and $$sum_i x_i$$</p>') as html from documents
 """,
     "ocr_elements": r"""
@@ -124,7 +131,7 @@ select conv_id, kind, case kind
   when 2 then concat('{"cards": ', arr, '}')
   when 3 then concat('{"note": 1, "items": ', arr, '}') else 'no cards' end as response
 from (select conv_id, conv_id % 5 as kind, concat('[{"question": "', t, '", "answer": "a1"}, {"question": "q2", "answer": "', t, '"}]') as arr
- from (select conv_id, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) as t from conversations where turn = 0) x) y
+ from (select conv_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') as t from conversations where turn = 0) x) y
 """,
     "ocr_elements": r"""
 select page_id, ord, content,

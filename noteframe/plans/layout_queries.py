@@ -10,6 +10,8 @@ from noteframe.operators import extract as E
 from noteframe.operators import layout as L
 from noteframe.plans.define import query
 from noteframe.plans.fixtures import Tables
+from noteframe.sources import pages
+from noteframe.sources.storage import shared_folder
 
 WORD = T.WORD.replace("'", "''")
 META = L.METADATA
@@ -106,39 +108,97 @@ def grid_fractions(t: Tables) -> DataFrame:
     return stats.select("page_id", "band", widths["left_fr"].alias("left_fr"), widths["right_fr"].alias("right_fr"))
 
 
-@query()
+def _div(style: str, inner: str) -> str:
+    return f"concat('<div style=\"', '{style}', '\">', {inner}, '</div>')"
+
+
+def _tag(name: str, style: str) -> str:
+    return f"concat('<{name} style=\"', '{style}', '\">', {TEXT}, '</{name}>')"
+
+
+_HEADER, _P = f"font-size: 1.2em; {L.HEADER}", "margin:10px 0;line-height:1.75;font-weight:normal;"
+_PAIR = f"case when instr({TEXT}, ':') > 0 then concat('<span style=\"{L.KEY}\">', substr({TEXT}, 1, instr({TEXT}, ':') - 1), ':</span> ', substr({TEXT}, instr({TEXT}, ':') + 1)) else {TEXT} end"
+#: The HTML of an element of the view, which has no children, labels or descriptions and is neither large nor bold.
+ELEMENT_HTML = (
+    f"case type when 'header' then case container when 'box' then {_div(L.BOX, _tag('h2', _HEADER + ' margin:0;'))} when 'circled' then {_div(L.CIRCLED, _tag('h2', _HEADER + ' margin:0;'))} "
+    f"when 'underlined' then {_tag('h2', _HEADER + ' ' + L.UNDERLINED)} else {_tag('h2', _HEADER)} end "
+    f"when 'bullet_list' then case container when 'box' then {_div(L.BOX, chr(39) * 2)} when 'circled' then {_div(L.CIRCLED, chr(39) * 2)} else {_div('margin:12px 0;', chr(39) * 2)} end "
+    f"when 'key_value' then case container when 'box' then {_div(L.BOX, _PAIR)} else {_div('margin:8px 0;line-height:1.75;', _PAIR)} end "
+    f"when 'diagram' then {_div(L.DIAGRAM, f"concat('📊 ', {TEXT})")} "
+    f"else case container when 'box' then {_div(L.BOX + ' font-weight:normal;line-height:1.75;', TEXT)} when 'circled' then {_div(L.CIRCLED + ' font-weight:normal;line-height:1.75;', TEXT)} "
+    f"when 'underlined' then {_tag('p', _P + L.UNDERLINED)} else {_tag('p', _P)} end end"
+)
+
+
+def page_html_sql(pages: str, kept: str = "true") -> str:
+    """page_id and html of the pages of a statement (page_id, page_layout, raw_text, ...), of elements e that `kept` lets through."""
+    cleaned = f"select * from ({ORDERED}) e where not ({_CONNECTOR}) and not ({_DUPLICATE}) and {kept}"
+    found = (
+        r"select e.* exclude (place), e.place as o, p.page_layout, lower(regexp_replace(coalesce(p.raw_text, ''), '^\s+|\s+$', '', 'g')) as raw, "
+        rf"list_filter(regexp_split_to_array(lower(e.content), '\s+'), lambda x: x <> '') as ws from ({cleaned}) e join ({pages}) p on p.page_id = e.page_id"
+    )
+    placed = f"select *, case when page_layout = 'single_column' and raw <> '' then coalesce({', '.join(map(_try, (5, 4, 3, 2, 1)))}) end as pos from ({found})"
+    ordered = f"select * exclude (pos), row_number() over (partition by page_id order by pos nulls last, o) as place from ({placed})"
+    opened = f"select *, case when y_percent >= max(y_percent + height_percent) over (partition by page_id order by place rows between unbounded preceding and 1 preceding) + 5 then 1 else 0 end as opens from ({ordered})"
+    banded = f"select *, sum(opens) over (partition by page_id order by place rows unbounded preceding) as band from ({opened})"
+    items = f"select page_id, band, place, type, page_layout, y_percent, x_percent, contains(region, 'left') as l, contains(region, 'right') as r, {IS_META} as m, {WORDS} as w, {ELEMENT_HTML} as html from ({banded})"
+    side = lambda keep, order="place": f"coalesce(string_agg(html, '' order by {order}) filter ({keep}), '')"
+    bands = (
+        f"select page_id, band, any_value(page_layout) as page_layout, count(*) as elements, count(*) filter (l and not m) as left_content, count(*) filter (r and not m) as right_content, "
+        "coalesce(sum(w) filter (l and not m), 0) as left_words, coalesce(sum(w) filter (r and not m), 0) as right_words, max(y_percent) - min(y_percent) as y_span, count(*) filter (not l and not r) as centre_elements, "
+        "min(x_percent) filter (l) as left_x, min(x_percent) filter (r) as right_x, count(*) filter (m) as metas, coalesce(arg_min(type, place) filter (not m), '') as head_type, coalesce(arg_min(html, place) filter (not m), '') as head_html, "
+        f"{side('m')} as meta_html, {side('not m')} as contents, {side('l')} as lefts, {side('r')} as rights, {side('not l and not r', 'y_percent, place')} as centre from ({items}) group by page_id, band"
+    )
+    block = f"case when metas > 0 then concat('{L.META_BLOCK}', meta_html, '</div>') else '' end"
+    linear = f"case when metas > 0 and head_type = 'header' then concat(head_html, {block}, substr(contents, length(head_html) + 1)) else concat({block}, contents) end"
+    three = f"concat('{L.GRID_THREE}', lefts, '</div><div style=\"text-align:center;\">', centre, '</div><div style=\"text-align:right;\">', rights, '</div></div>')"
+    share = lambda x: f"cast(case when round_even({x}, 0) <= 0 then 50 else round_even({x}, 0) end as int)"
+    right = "greatest(20, least(80, right_x))"
+    two = (
+        f"concat('<div style=\"display:grid;grid-template-columns:', {share(right + ' - left_x')}, 'fr ', {share('100 - ' + right)}, "
+        "'fr;gap:24px;margin:12px 0;\"><div>', lefts, '</div><div>', rights, '</div></div>')"
+    )
+    rendered = f"select page_id, band, case when not coalesce({COLUMNS}, false) then {linear} when centre_elements > 0 then {three} else {two} end as html from ({bands})"
+    return f"select page_id, string_agg(html, '' order by band) as html from ({rendered}) group by page_id"
+
+
+@query(page_html_sql("select * from ocr_pages"))
 def page_html(t: Tables) -> DataFrame:
     ordered = L.raw_text_order(L.clean_elements(L.reading_order(t.ocr_elements)), t.ocr_pages)
     return L.build_page_html(ordered, t.ocr_pages)
 
 
-@query()
-def digitized_pages(t: Tables) -> DataFrame:
-    rows = E.digitize(t.ocr_pages, t.ocr_elements)
-    return rows.select("page_id", "note_id", "page_no", "reason", "status", "error_message", "structured_text")
+_TRIM = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
+_TO_TEXT = CLEAN.format(r"regexp_replace(replace(replace(replace(replace({0}, '<br>', ' '), '<br/>', ' '), '<br />', ' '), '&nbsp;', ' '), '<[^>]+>', ' ', 'g')")
 
 
-@query()
-def digitized_notes(t: Tables) -> DataFrame:
-    return E.digitize_multi(t.ocr_pages, t.ocr_elements)
+def structured_sql(pages: str) -> str:
+    """The rows of a statement (page_layout, raw: the trimmed transcript, html, ...) with `reason` and `structured`."""
+    return (
+        "select *, case when reason in ('layout', 'no_transcript') then html else replace(raw, chr(10), '<br>') end as structured from (select *, "
+        "case when html = '' then 'no_layout' when raw = '' then 'no_transcript' when rw >= 20 and sw < greatest(12, cast(floor(rw * 0.6::double) as int)) then 'few_words' "
+        "when rw >= 15 and sw >= 15 and spot > 0 and (spot - 1) / length(st) > case when page_layout = 'single_column' then 0.4 else 0.5 end then 'scrambled' else 'layout' end as reason from ("
+        "select *, instr(st, lower(anchor)) as spot from (select *, list_filter(list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '')[1:10], lambda x: length(x) > 4)[1] as anchor, "
+        f"len(regexp_extract_all(raw, '{WORD}')) as rw, len(regexp_extract_all({_TO_TEXT.format('html')}, '{WORD}')) as sw, lower({_TO_TEXT.format('html')}) as st from ({pages}))))"
+    )
 
 
-_TRIM = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
-_TO_TEXT = CLEAN.format(r"regexp_replace(replace(replace(replace(replace({0}, '<br>', ' '), '<br/>', ' '), '<br />', ' '), '&nbsp;', ' '), '<[^>]+>', ' ', 'g')")
+_LAYOUT_HTML = "case page_id % 4 when 0 then '' when 1 then raw_text when 2 then replace(raw_text, ' ', '') else concat('<p>', substr(raw_text, 101), '</p><br/>', substr(raw_text, 1, 100)) end"
 
 
-@query(
-    "select page_id, reason, case when reason in ('layout', 'no_transcript') then html else replace(raw, chr(10), '<br>') end as structured from (select page_id, raw, html, "
-    "case when html = '' then 'no_layout' when raw = '' then 'no_transcript' when rw >= 20 and sw < greatest(12, cast(floor(rw * 0.6::double) as int)) then 'few_words' "
-    "when rw >= 15 and sw >= 15 and spot > 0 and (spot - 1) / length(st) > case when page_layout = 'single_column' then 0.4 else 0.5 end then 'scrambled' else 'layout' end as reason from ("
-    "select *, instr(st, lower(anchor)) as spot from (select *, list_filter(list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '')[1:10], lambda x: length(x) > 4)[1] as anchor, "
-    f"len(regexp_extract_all(raw, '{WORD}')) as rw, len(regexp_extract_all({_TO_TEXT.format('html')}, '{WORD}')) as sw, lower({_TO_TEXT.format('html')}) as st from ("
-    f"select page_id, page_layout, {_TRIM.format('raw_text')} as raw, case page_id % 4 when 0 then '' when 1 then raw_text when 2 then substr(raw_text, 1, 80) else "
-    "concat('<p>', substr(raw_text, 101), '</p><br/>', substr(raw_text, 1, 100)) end as html from ocr_pages))))"
-)
+@query(f"select page_id, reason, structured from ({structured_sql(f'select page_id, page_layout, {_TRIM.format("raw_text")} as raw, {_LAYOUT_HTML} as html from ocr_pages')})")
 def select_structured(t: Tables) -> DataFrame:
-    html = F.expr("case page_id % 4 when 0 then '' when 1 then raw_text when 2 then substr(raw_text, 1, 80) else concat('<p>', substr(raw_text, 101), '</p><br/>', substr(raw_text, 1, 100)) end")
-    return E.select_structured(t.ocr_pages.withColumn("html", html)).select("page_id", "reason", "structured")
+    return E.select_structured(t.ocr_pages.withColumn("html", F.expr(_LAYOUT_HTML))).select("page_id", "reason", "structured")
+
+
+def digitized_sql(pages: str, kept: str = "true") -> str:
+    """All columns of the pages of a statement, and html, reason, structured and failed."""
+    full = f"select p.*, {_TRIM.format('p.raw_text')} as raw, coalesce(h.html, '') as html, coalesce(p.error, '') <> '' as failed from ({pages}) p left join ({page_html_sql(pages, kept)}) h on h.page_id = p.page_id"
+    return structured_sql(full)
+
+
+#: Pages as they are, digitised.
+DIGITIZED = digitized_sql("select * from ocr_pages")
 
 
 _PASS_WORDS = f"len(regexp_extract_all(coalesce(raw_text, ''), '{WORD}'))"
@@ -154,13 +214,17 @@ def needs_fallback(t: Tables) -> DataFrame:
 _BETTER = "case when bf then false when p1.failed or p1.words = 0 then bw > 0 else bw >= greatest(p1.words + 5, cast(floor(p1.words * 1.2::double) as bigint)) end"
 
 
-@query(
-    f"with p as (select page_id, pass, raw_text, coalesce(error, '') <> '' as failed, case when coalesce(error, '') <> '' then 0 else {_PASS_WORDS} end as words, {_WEAK} as weak from ocr_passes), "
+SELECTED = (
+    f"with p as (select page_id, pass, raw_text, error, coalesce(error, '') <> '' as failed, case when coalesce(error, '') <> '' then 0 else {_PASS_WORDS} end as words, {_WEAK} as weak from ocr_passes), "
     "j as (select p1.page_id, p1, p2, p3, case when p3.words > p2.words then p3.words else p2.words end as bw, case when p3.words > p2.words then p3.failed else p2.failed end as bf from p p1 join p p2 on p1.page_id = p2.page_id and p2.pass = 2 "
     "join p p3 on p1.page_id = p3.page_id and p3.pass = 3 where p1.pass = 1), "
     f"k as (select *, case when not p1.weak then 1 when not p2.weak then 2 when {_BETTER} then 3 else 1 end as pass, case when not p1.weak then 1 when not p2.weak then 2 when {_BETTER} then case when p3.words > p2.words then 3 else 2 end else 1 end as source_pass from j) "
-    "select page_id, pass, source_pass, case source_pass when 1 then p1.raw_text when 2 then p2.raw_text else p3.raw_text end as raw_text, case source_pass when 1 then p1.words when 2 then p2.words else p3.words end as words from k"
+    "select page_id, pass, source_pass, case source_pass when 1 then p1.raw_text when 2 then p2.raw_text else p3.raw_text end as raw_text, case source_pass when 1 then p1.error when 2 then p2.error else p3.error end as error, "
+    "case source_pass when 1 then p1.words when 2 then p2.words else p3.words end as words from k"
 )
+
+
+@query(f"select page_id, pass, source_pass, raw_text, words from ({SELECTED})")
 def select_pass(t: Tables) -> DataFrame:
     return E.select_pass(t.ocr_passes).select("page_id", "pass", "source_pass", "raw_text", F.col("words").cast("long").alias("words"))
 
@@ -180,7 +244,45 @@ def page_numbers(t: Tables) -> DataFrame:
     return E.page_numbers(files, "page_id").select("note_id", "page_no", "filename")
 
 
-@query()
+#: Pages with what their chosen pass gave.
+_CHOSEN = f"select o.page_id, o.note_id, o.page_no, o.page_layout, k.raw_text, k.error, k.pass, k.source_pass from ocr_pages o join ({SELECTED}) k on k.page_id = o.page_id"
+_PAGES = digitized_sql(_CHOSEN, f"exists (select 1 from ({SELECTED}) s where s.page_id = e.page_id and s.source_pass < 3)")
+_NOTES = (
+    "select note_id, max(pass) as pass, string_agg(case when failed then concat('[Page ', page_no, ' failed: ', error, ']') else coalesce(raw_text, '') end, chr(10) || chr(10) order by page_no) as raw_text, "
+    f"string_agg(case when failed then concat('<p style=\"color:#EF5350;font-style:italic;\">[Page ', page_no, ' extraction failed]</p>') else structured end, '{E.DIVIDER}' order by page_no) as structured_text, "
+    f"case when bool_and(failed) then 'failed' else 'completed' end as status, 'Pages ' || string_agg(cast(page_no as varchar), ', ' order by page_no) filter (failed) || ' failed' as error_message from ({_PAGES}) group by note_id"
+)
+
+
+@query(f"select page_id, note_id, page_no, pass, reason, case when failed then 'failed' else 'completed' end as status, case when failed then error end as error_message, case when not failed then structured end as structured_text from ({_PAGES})")
+def digitized_pages(t: Tables) -> DataFrame:
+    """Pages from their extraction passes to structured text."""
+    rows = E.digitize(t.ocr_pages, t.ocr_elements, passes=t.ocr_passes)
+    return rows.select("page_id", "note_id", "page_no", "pass", "reason", "status", "error_message", "structured_text")
+
+
+@query(_NOTES)
+def digitized_notes(t: Tables) -> DataFrame:
+    return E.digitize_multi(t.ocr_pages, t.ocr_elements, t.ocr_passes)
+
+
+_STRIP = r"regexp_replace(regexp_replace(coalesce(nullif({0}, ''), nullif({1}, ''), ''), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g')"
+_COUNT = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
+
+
+@query(
+    f"select n.id as note_id, cast({_COUNT.format(_STRIP.format('n.structured_text', 'n.raw_text'))} as int) as old_words, cast({_COUNT.format(_STRIP.format('m.structured_text', 'm.raw_text'))} as int) as new_words, m.pass, "
+    f"case when {_TRIM.format('m.raw_text')} = '' and {_TRIM.format('m.structured_text')} = '' then m.error_message end as error from notes n join ({_NOTES}) m on m.note_id = n.id"
+)
 def reprocess_diff(t: Tables) -> DataFrame:
-    new = E.digitize_multi(t.ocr_pages, t.ocr_elements).withColumn("error", F.col("error_message"))
-    return E.reprocess_diff(t.notes, new).select("note_id", "old_words", "new_words", "error")
+    new = E.digitize_multi(t.ocr_pages, t.ocr_elements, t.ocr_passes).withColumn("error", F.col("error_message"))
+    return E.reprocess_diff(t.notes, new).select("note_id", "old_words", "new_words", "pass", "error")
+
+
+@query(r"select page_id, coalesce(page_layout, 'unknown') as page_layout, regexp_replace(raw_text, '^\s+|\s+$', '', 'g') as raw_text, error from ocr_pages")
+def ocr_page_files(t: Tables) -> DataFrame:
+    """Pages as files of JSON text, a file a page, read and parsed."""
+    folder = shared_folder(t.spark, "pages")
+    t.ocr_pages.select("page_id", F.to_json(F.struct("page_layout", F.btrim("raw_text", F.lit(T.WHITE)).alias("raw_text"), "error")).alias("value")).write.partitionBy("page_id").text(folder)
+    rows = pages.read_ocr_pages(t.spark, f"{folder}/page_id=*/*.txt").withColumn("page_id", F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long"))
+    return pages.pages_of(rows, "page_id")

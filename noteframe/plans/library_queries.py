@@ -145,6 +145,16 @@ def shared_view(t: Tables) -> DataFrame:
     return L.shared_view(t.notes, t.users)
 
 
+@query(f"select id, owner_id, title, raw_text, structured_text, ai_summary, subject, topic, tags, {PUBLIC} as status, image_filename, share_token, created_at from notes")
+def full_view(t: Tables) -> DataFrame:
+    return L.full_view(t.notes)
+
+
+@query(f"select id, title, raw_text, structured_text, {PUBLIC} as status from notes")
+def text_view(t: Tables) -> DataFrame:
+    return L.text_view(t.notes)
+
+
 @query(f"select id, {DISPLAY.format('')} as body from notes")
 def display_body(t: Tables) -> DataFrame:
     return t.notes.select("id", L.display_body().alias("body"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteframe.functions import text as T
 from noteframe.operators import accounts, changes, enrich, integrity, study
 from noteframe.plans.define import query
 from noteframe.plans.fixtures import Tables
-from noteframe.sources import media
+from noteframe.plans.layout_queries import DIGITIZED
+from noteframe.sources import media, schemas
+from noteframe.sources.storage import shared_folder
 from noteframe.streaming import stream
 
 AS_OF_SQL = "timestamp '2024-06-01 00:00:00'"
@@ -27,7 +32,7 @@ def _requests(t: Tables) -> DataFrame:
     return t.notes.selectExpr("id as note_id", "owner_id", "id % 7 = 0 as regenerate")
 
 
-_LATEST = "select * from flashcard_sets qualify row_number() over (partition by note_id, owner_id order by created_at desc, id desc) = 1"
+_LATEST = "select * from flashcard_sets qualify row_number() over (partition by note_id, owner_id order by created_at desc nulls first, id desc) = 1"
 
 
 @query(f"select id, note_id, owner_id from ({_LATEST})")
@@ -45,6 +50,25 @@ def plan_summaries(t: Tables) -> DataFrame:
     return enrich.plan_summaries(_requests(t), t.notes).select("note_id", "action")
 
 
+@query(
+    "select n.id as note_id, n.owner_id, case when n.id % 7 <> 0 and exists (select 1 from ai_summaries s where s.note_id = n.id and s.owner_id = n.owner_id) then 'cached' else 'generate' end as action from notes n"
+)
+def plan_summaries_by_table(t: Tables) -> DataFrame:
+    return enrich.plan_summaries_by_table(_requests(t), t.ai_summaries).select("note_id", "owner_id", "action")
+
+
+@query(
+    "select r.id, r.owner_id, r.note_id, r.h as highlighted_text, coalesce(e.id, case when r.note_id is null then a.id end) as explanation_id, "
+    "case when coalesce(e.id, case when r.note_id is null then a.id end) is null then 'generate' else 'cached' end as action from "
+    f"(select id, owner_id, case when id % 5 <> 0 then id end as note_id, {TRIM.format('substr(raw_text, 1, 12)')} as h from notes) r "
+    "left join (select owner_id, note_id, highlighted_text, min(id) as id from ai_explanations group by all) e on e.owner_id = r.owner_id and e.note_id = r.note_id and e.highlighted_text = r.h "
+    "left join (select owner_id, highlighted_text, min(id) as id from ai_explanations group by all) a on a.owner_id = r.owner_id and a.highlighted_text = r.h"
+)
+def plan_explanations_anywhere(t: Tables) -> DataFrame:
+    requests = t.notes.selectExpr("id", "owner_id", "case when id % 5 <> 0 then id end as note_id", "substr(raw_text, 1, 12) as highlighted_text")
+    return enrich.plan_explanations_anywhere(requests, t.ai_explanations).select("id", "owner_id", "note_id", "highlighted_text", "explanation_id", "action")
+
+
 @query(
     "select r.owner_id, r.note_id, r.h as highlighted_text, e.id as explanation_id, case when e.id is null then 'generate' else 'cached' end as action from "
     f"(select owner_id, case when id % 5 <> 0 then id end as note_id, {TRIM.format('substr(raw_text, 1, 12)')} as h from notes) r "
@@ -94,7 +118,7 @@ def missed_only(t: Tables) -> DataFrame:
     return study.missed_only(t.study_events)
 
 
-@query()
+@query("select set_id, id, cast(row_number() over (partition by set_id order by md5(concat(id, ':11')), id) as int) as position from flashcards")
 def shuffle_cards(t: Tables) -> DataFrame:
     return study.shuffle_cards(t.flashcards, 11).select("set_id", "id", "position")
 
@@ -257,10 +281,10 @@ def _replaced(t: Tables) -> tuple[DataFrame, DataFrame]:
     return changes.replace_flashcards(made, t.flashcard_sets, t.flashcards, as_of())
 
 
-@query("select id, case when id % 6 = 0 then concat('about ', id) else ai_summary end as ai_summary, case when id % 4 = 1 then 'maths' else subject end as subject, case when id % 4 = 1 then 'a, b' else tags end as tags from notes")
+@query("select id, case when id % 6 = 0 then concat('about ', id) else ai_summary end as ai_summary, case when id % 4 = 1 and id % 16 <> 1 then 'maths' else subject end as subject, case when id % 4 = 1 and id % 16 <> 1 then 'a, b' else tags end as tags from notes")
 def stored_answers(t: Tables) -> DataFrame:
     summaries = t.notes.where("id % 6 = 0").selectExpr("id", "owner_id", "concat('about ', id) as summary")
-    categories = t.notes.where("id % 4 = 1").selectExpr("id", "'maths' as subject", "'' as topic", "'a, b' as tags")
+    categories = t.notes.where("id % 4 = 1").selectExpr("id", "owner_id + case when id % 16 = 1 then 1 else 0 end as owner_id", "'maths' as subject", "'' as topic", "'a, b' as tags")
     return changes.store_categories(changes.store_summary(t.notes, summaries), categories).select("id", "ai_summary", "subject", "tags")
 
 
@@ -308,20 +332,94 @@ def image_manifest(t: Tables) -> DataFrame:
     return media.image_manifest(t.image_blobs)
 
 
+@query("select page_id, cast(octet_length(encode(html)) + 1 as bigint) as length, 'image/jpeg' as media_type from pages")
+def image_files(t: Tables) -> DataFrame:
+    """Files of pages, read as binary files are: their bytes are no image's, so they count as the default kind."""
+    folder = shared_folder(t.spark, "images")
+    t.pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+    files = media.read_images(t.spark, f"{folder}/page_id=*/*.txt")
+    return files.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", media.sniff_media_type(F.col("content")).alias("media_type"))
+
+
+# tables
+
+
+@query("select id, title, subject, status, cast(null as varchar) as error_message, owner_id from notes where raw_text is not null")
+def read_tables(t: Tables) -> DataFrame:
+    """Notes written without some of their columns and read by the declared schema."""
+    folder = shared_folder(t.spark, "tables")
+    t.notes.where("raw_text is not null").select("id", "title", "subject", "status", "owner_id").write.parquet(f"{folder}/notes")
+    found = schemas.read_tables(t.spark, folder, ("notes",))["notes"]
+    return found.select("id", "title", "subject", "status", "error_message", "owner_id")
+
+
+@query("select 'notebooks' as tbl, count(*) as n, cast(sum(id) as bigint) as ids from notebooks union all select 'flashcards', count(*), cast(coalesce(sum(id), 0) as bigint) from flashcards union all select 'users', 0, 0")
+def created_tables(t: Tables) -> DataFrame:
+    """Tables created in a new database (twice: those that exist stay), then filled from the views."""
+    name = f"noteframe_{uuid.uuid4().hex}"
+    t.spark.sql(f"create database {name} location '{shared_folder(t.spark, 'database')}'")
+    schemas.create_tables(t.spark, name)
+    for table in ("notebooks", "flashcards"):
+        schemas.evolve_schema(getattr(t, table), schemas.schema_of(table)).select(*schemas.schema_of(table).names).write.insertInto(f"{name}.{table}")
+    schemas.create_tables(t.spark, name)
+    parts = [t.spark.table(f"{name}.{x}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids")).select(F.lit(x).alias("tbl"), "n", "ids") for x in ("notebooks", "flashcards", "users")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("select id, cast(null as varchar) as image_key, image_filename, raw_text, owner_id, cast(null as timestamp) as processed_at from notes")
+def evolved_notes(t: Tables) -> DataFrame:
+    return schemas.evolve_schema(t.notes, schemas.schema_of("notes")).select("id", "image_key", "image_filename", "raw_text", "owner_id", "processed_at")
+
+
+@query(f"select id, {AS_OF_SQL} as created_at, {AS_OF_SQL} as processed_at, title from notes")
+def audited_notes(t: Tables) -> DataFrame:
+    return changes.set_audit(t.notes, as_of(), "created_at", "processed_at").select("id", "created_at", "processed_at", "title")
+
+
+_NEW = (
+    "select page_id, coalesce(case when page_id % 3 > 0 then concat('Up ', page_id) end, concat('scan_', page_id, '.png')) as title, concat('scan_', page_id, '.png') as image_filename, page_id % 50 as owner_id, "
+    "page_id % 10 <> 9 as got, error is not null as bad, error, raw_text from ocr_pages"
+)
+
+
+@query(
+    "select id, owner_id, title, image_filename, status, cast(null as varchar) as error_message, subject, tags, raw_text, cast(null as timestamp) as processed_at from notes union all "
+    "select (select max(id) from notes) + row_number() over (order by page_id), owner_id, title, image_filename, case when not got then 'processing' when bad then 'failed' else 'completed' end, case when got and bad then error end, "
+    f"case when done and page_id % 4 = 1 then 'maths' end, case when done and page_id % 4 = 1 then 'a, b' end, case when done then raw_text end, case when done then {AS_OF_SQL} end from (select *, got and not bad as done from ({_NEW}))"
+)
+def insert_notes(t: Tables) -> DataFrame:
+    """Uploads, some still without a result, some failed, some categorised."""
+    uploads = t.ocr_pages.selectExpr("page_id as upload_id", "case when page_id % 3 > 0 then concat('Up ', page_id) end as title", "concat('scan_', page_id, '.png') as image_filename", "page_id % 50 as owner_id")
+    results = t.ocr_pages.where("page_id % 10 <> 9").select(F.col("page_id").alias("upload_id"), "raw_text", T.newline_to_br("raw_text").alias("structured_text"), "error")
+    categories = t.ocr_pages.where("page_id % 4 = 1").selectExpr("page_id as upload_id", "'maths' as subject", "'sets' as topic", "'a, b' as tags")
+    out = changes.insert_notes(t.notes, uploads, results, as_of(), categories)
+    return out.select("id", "owner_id", "title", "image_filename", "status", "error_message", "subject", "tags", "raw_text", "processed_at")
+
+
 # streams
 
 
-@query()
+@query(f"select page_id, reason, case when failed then 'failed' else 'completed' end as status, case when failed then error end as error_message, case when not failed then structured end as structured_text from ({DIGITIZED})")
 def stream_digitize(t: Tables) -> DataFrame:
     """Pages written as JSON, then digitised as a stream of files."""
+    return _streamed(t)[0].select("page_id", "reason", "status", "error_message", "structured_text")
+
+
+@query(f"select cast(page_id as varchar) as image_filename, 7::bigint as owner_id, case when failed then 'failed' else 'completed' end as status, case when failed then error end as error_message, case when not failed then structured end as structured_text, case when not failed then {AS_OF_SQL} end as processed_at from ({DIGITIZED})")
+def stream_notes(t: Tables) -> DataFrame:
+    """The notes that the same stream writes: begun, then completed or failed."""
+    return _streamed(t)[1].select("image_filename", "owner_id", "status", "error_message", "structured_text", "processed_at")
+
+
+def _streamed(t: Tables) -> tuple[DataFrame, DataFrame]:
     element = F.struct("type", "content", "container", F.struct("region", "x_percent", "y_percent", "width_percent", "height_percent").alias("position"), F.struct("shape").alias("diagram"))
     listed = t.ocr_elements.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", element.alias("e")))), lambda x: x["e"]).alias("elements"))
     pages = t.ocr_pages.join(listed, "page_id", "left").select("page_id", F.to_json(F.struct("page_layout", "raw_text", "error", "elements")).alias("value"))
     folder = stream.shared_folder(t.spark)
     pages.write.parquet(f"{folder}/landing")
     rows = t.spark.readStream.schema(pages.schema).parquet(f"{folder}/landing")
-    stream.stream_digitize(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select("page_id", "reason", "status", "error_message", "structured_text")
+    stream.stream_digitize(rows, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/notes", 7, as_of()).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out"), t.spark.read.parquet(f"{folder}/notes")
 
 
 @query(

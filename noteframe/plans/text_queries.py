@@ -41,12 +41,23 @@ def escape_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.escape_html("html").alias("escaped"))
 
 
-@query()
+@query(
+    r"select note_id, list_transform(list_concat(regexp_extract_all(html, '\$\$([\s\S]*?)\$\$', 1), list_filter(parts, lambda x, i: i % 2 = 0 and i < len(parts))), lambda x: trim(x)) as formulas "
+    r"from (select note_id, html, string_split(regexp_replace(html, '\$\$([\s\S]*?)\$\$', '', 'g'), '$') as parts from html_notes)"
+)
 def formulas(t: Tables) -> DataFrame:
     return t.html_notes.select("note_id", T.extract_formulas("html").alias("formulas"))
 
 
-@query()
+_SPAN = r"""(?is)<span[^>]*style=["''](background[^"''>]*)["''][^>]*>(.*?)</span>"""
+_CLEAR = r"(?i)background(-color)?:\s*(transparent|rgba\(0,\s*0,\s*0,\s*0\))"
+
+
+@query(
+    "select note_id, list_filter(texts, lambda x, i: x <> '' and list_position(texts, x) = i) as highlights from (select note_id, list_transform(list_filter(list_zip(styles, inner_html), "
+    f"lambda z: not regexp_matches(z[1], '{_CLEAR}')), lambda z: trim(regexp_replace(regexp_replace(regexp_replace(z[2], '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '\\s+', ' ', 'g'))) as texts "
+    f"from (select note_id, regexp_extract_all(html, '{_SPAN}', 1) as styles, regexp_extract_all(html, '{_SPAN}', 2) as inner_html from html_notes))"
+)
 def highlights(t: Tables) -> DataFrame:
     return t.html_notes.select("note_id", T.extract_highlights("html").alias("highlights"))
 
@@ -77,7 +88,18 @@ def titles(t: Tables) -> DataFrame:
     )
 
 
-@query()
+_SQL = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_BODY = "coalesce(nullif(structured_text, ''), nullif(raw_text, ''), '')"
+_SHOWN = f"case when contains({_BODY}, '<') and contains({_BODY}, '>') then {_BODY} else replace({_BODY}, chr(10), '<br>') end"
+_HEAD = "<!DOCTYPE html>\n<html>\n<head>\n  <title>"
+_STYLE = "</title>\n  <style>\n    body { font-family: Georgia, serif; max-width: 800px; margin: 40px auto; padding: 20px; line-height: 1.75; }\n    h1 { color: #5D4037; }\n  </style>\n</head>\n<body>\n  <h1>"
+_FOOT = "</div>\n</body>\n</html>"
+
+
+@query(
+    r"select id, regexp_replace(regexp_replace(regexp_replace(body, '(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr)>', chr(10), 'g'), '<[^>]+>', '', 'g'), '(?i)&nbsp;', ' ', 'g') as txt, "
+    f"concat({_SQL(_HEAD)}, coalesce(nullif(title, ''), 'Note'), {_SQL(_STYLE)}, coalesce(nullif(title, ''), 'Untitled Note'), {_SQL('</h1>' + chr(10) + '  <div>')}, body, {_SQL(_FOOT)}) as html from (select *, {_SHOWN} as body from notes)"
+)
 def exported_notes(t: Tables) -> DataFrame:
     """The files that the exports write, as rows."""
     return t.notes.select("id", export.export_text().alias("txt"), export.export_page().alias("html"))
@@ -105,16 +127,14 @@ def parse_flashcards(t: Tables) -> DataFrame:
 
 
 @query(
-    "select conv_id as note_id, s as subject, case when conv_id % 3 = 0 then '' else 'maths' end as topic, case when conv_id % 3 = 0 then '' else 'a, b' end as tags from (select conv_id, substr(regexp_replace(response, '[^A-Za-z ]', '', 'g'), 1, 20) as s from model_responses)"
+    "select conv_id as note_id, s as subject, case when conv_id % 3 = 0 then '' else 'maths' end as topic, case when conv_id % 3 = 0 then '' else 'a, b' end as tags from (select conv_id, regexp_replace(response, '[^A-Za-z ]', '', 'g') as s from model_responses)"
 )
 def parse_categories(t: Tables) -> DataFrame:
-    s = "substr(regexp_replace(response, '[^A-Za-z ]', ''), 1, 20)"
+    s = "regexp_replace(response, '[^A-Za-z ]', '')"
     made = t.model_responses.selectExpr("conv_id as note_id", f"""concat('```json\n{{"subject": "', {s}, case when conv_id % 3 = 0 then '"' else '", "topic": "maths", "tags": ["a", "b"]}}\n```' end) as response""")
     return enrich.read_categories(made)
 
 
-_SQL = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
 
 @query(
     f"select id as note_id, 'flashcards' as kind, {_SQL(enrich.SYSTEM['flashcards'])} as system, concat({_SQL(enrich.ASK['flashcards'])}, substr(raw_text, 1, 4000)) as \"user\" from notes where raw_text is not null and raw_text <> '' "
@@ -127,7 +147,10 @@ def build_requests(t: Tables) -> DataFrame:
     return enrich.build_requests(enrichable(t.notes), "flashcards").union(enrich.build_requests(explain, "explain"))
 
 
-@query()
+@query(
+    "select id as note_id, 'categories' as kind, case when n % 7 <> 0 then concat('{\"subject\": \"len ', n, '\", \"topic\": \"\", \"tags\": []}') end as response, case when n % 7 = 0 then 3 else 1 end as attempts, "
+    f"case when n % 7 = 0 then 'model unavailable' end as error from (select id, {len(enrich.ASK['categories'])} + least(4000, length(raw_text)) as n from notes where raw_text is not null)"
+)
 def enriched_notes(t: Tables) -> DataFrame:
     """The whole batch with a stand-in for the model that fails on every third note's first try and always on some."""
     requests = enrich.build_requests(t.notes.where("raw_text is not null"), "categories")
@@ -138,3 +161,22 @@ def _stub(system: str, user: str) -> str:
     if len(user) % 7 == 0:
         raise ValueError("model unavailable")
     return f'{{"subject": "len {len(user)}", "topic": "", "tags": []}}'
+
+
+@query("select id, array_to_string(list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda x: trim(x)), lambda x: x <> ''), ', ') as tags from notes")
+def joined_tags(t: Tables) -> DataFrame:
+    return t.notes.select("id", T.join_tags(T.split_tags("tags")).alias("tags"))
+
+
+@query(
+    "select n.note_id, list_filter(every, lambda x, i: list_position(every, x) = i) as highlights from (select h.note_id, list_concat(h.texts, coalesce(e.texts, [])) as every from "
+    f"(select note_id, list_filter(list_transform(list_filter(list_zip(regexp_extract_all(html, '{_SPAN}', 1), regexp_extract_all(html, '{_SPAN}', 2)), lambda z: not regexp_matches(z[1], '{_CLEAR}')), "
+    "lambda z: trim(regexp_replace(regexp_replace(regexp_replace(z[2], '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') as texts from html_notes) h "
+    "left join (select note_id, list(highlighted_text order by id) as texts from ai_explanations group by note_id) e on e.note_id = h.note_id) n"
+)
+def all_highlights(t: Tables) -> DataFrame:
+    """Highlights that a note has now, then those that were explained before and are no longer marked."""
+    stored = t.ai_explanations.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "highlighted_text"))), lambda x: x["highlighted_text"]).alias("cached"))
+    rows = t.html_notes.join(stored, "note_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("note_id", enrich.all_highlights(T.extract_highlights("html"), F.coalesce("cached", none)).alias("highlights"))
