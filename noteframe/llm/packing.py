@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from noteframe.llm.common import stored, table, text_of
 
 #: Words kept with their ids in a task, so that frequent words are not merged anew; the store is emptied when full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 #: Totals of up to so many queues are held by the driver and by every task; the places of more are joined.
 MAX_QUEUES = 512
 #: Totals of tasks' queues are sent to all tasks up to so many rows (about 5 MB).
 MAX_BASES = 100_000
 #: Texts are tokenised in groups of about so many characters, and packed in groups of about so many tokens.
-GROUP_CHARS, GROUP_TOKENS = 2_000_000, 20_000_000
+GROUP_CHARS, GROUP_TOKENS = 1_000_000, 5_000_000
 
 
 class Words:
