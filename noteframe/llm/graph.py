@@ -25,3 +25,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
         if moved.where("root != old").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, root) of components(), after further links (a, b): only the classes that these join are worked on again."""
+    ends = links
+    for x in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x)).drop(f"root_{x}")
+    ends = cut(ends.where("a != b").distinct())
+    if ends.isEmpty():
+        return labels
+    joined = components(ends)
+    moved = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
+    new = joined.join(labels, "node", "left_anti")
+    return cut(moved.select("node", F.coalesce("further", "root").alias("root")).union(new.select("node", "root")))

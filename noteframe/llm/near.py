@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteframe.llm.common import cut, digest_of, stored, table, text_of
-from noteframe.llm.graph import components
+from noteframe.llm.graph import components, merged
 from noteframe.llm.tokens import LETTERS, Group, groups, mix
 
 SHINGLE = 5
@@ -288,23 +288,31 @@ def shingle_counts(texts: DataFrame, bits: int) -> np.ndarray:
         for k, block in enumerate(total.reshape(-1, ORDER_BLOCK)):
             at = np.flatnonzero(block)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([block[at].astype(np.int64).tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays(counts_row(k, block), names)
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(ORDER_BLOCK, np.int64)
         for at, n in zip(part.column("at"), part.column("n"), strict=True):
-            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int64)
-        at = np.flatnonzero(total)
-        return pa.table([part.column("block").slice(0, 1), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names)
+            at, n = np.frombuffer(at.as_py(), np.uint16), n.as_py()
+            total[at] += np.frombuffer(n, f"<u{len(n) // len(at)}")
+        return pa.table(counts_row(part.column("block")[0].as_py(), total), names)
 
     # blocks hold their counts that are not zero; a block's parts meet in two steps, so that none of many tasks' is large
     names, schema = ["block", "at", "n"], "block long, at binary, n binary"
     parts = texts.select("text").mapInArrow(run, schema).withColumn("turn", F.spark_partition_id() % F.lit(32))
     some = parts.groupBy("block", "turn").applyInArrow(add, schema)
-    out = np.zeros(1 << bits, np.int64).reshape(-1, ORDER_BLOCK)
+    out = np.zeros((1 << bits) // ORDER_BLOCK * ORDER_BLOCK, np.uint32).reshape(-1, ORDER_BLOCK)
     for r in some.groupBy("block").applyInArrow(add, schema).toLocalIterator():
-        out[r["block"], np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.int64)
-    return out.ravel().clip(max=2**32 - 1).astype(np.uint32)
+        at = np.frombuffer(r["at"], np.uint16)
+        out[r["block"], at] = np.frombuffer(r["n"], f"<u{len(r['n']) // len(at)}").clip(max=2**32 - 1)
+    return out.ravel()
+
+
+def counts_row(block: int, counts: np.ndarray) -> list[pa.Array]:
+    """A block's places that have a count, two bytes each, and the counts in as few bytes as the largest needs."""
+    at = np.flatnonzero(counts)
+    kind = np.min_scalar_type(int(counts[at].max()))
+    return [pa.array([block], pa.int64()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].astype(kind).tobytes()], pa.binary())]
 
 
 def rare_shingles(texts: DataFrame, idf: Idf, counts: np.ndarray, similar: float) -> DataFrame:
@@ -414,7 +422,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return found.select("key", "text")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        texts = texts_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
         return cut(verified(pairs, texts, idf, similar).select("a", "b"))
 
     buckets = stored(buckets_of(leaders), "buckets")
@@ -430,8 +438,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = pairs.union(further)
         if new.isEmpty():
             break
-        links = cut(links.union(new))
-        roots = components(links)
+        links = links.union(new)
+        roots = merged(roots, new)
     tied = large.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_buckets = tied.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
     open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
@@ -441,13 +449,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         further = joined_pairs(rare, similar).join(pairs, ["a", "b"], "left_anti")
         one, other = (leaders.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab")
         further = cut(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
-        new = links_of(further)
-        # one link for each pair of classes joins them, however many of their rows are alike
-        for x in "ab":
-            new = new.join(open_rows.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}")), x)
-        new = cut(new.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
-        if not new.isEmpty():
-            roots = components(cut(links.union(new)))
+        roots = merged(roots, links_of(further))
     tied = member.join(roots.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
     tied = stored(tied, "tied")
     named = stored(tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")), "classes")
