@@ -41,10 +41,7 @@ def escape_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.escape_html("html").alias("escaped"))
 
 
-@query(
-    r"select note_id, list_transform(list_concat(regexp_extract_all(html, '\$\$([\s\S]*?)\$\$', 1), list_filter(parts, lambda x, i: i % 2 = 0 and i < len(parts))), lambda x: trim(x)) as formulas "
-    r"from (select note_id, html, string_split(regexp_replace(html, '\$\$([\s\S]*?)\$\$', '', 'g'), '$') as parts from html_notes)"
-)
+@query()
 def formulas(t: Tables) -> DataFrame:
     return t.html_notes.select("note_id", T.extract_formulas("html").alias("formulas"))
 
