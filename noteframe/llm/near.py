@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,9 +186,8 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np
     return out
 
 
-def signed(docs: DataFrame, idf: Idf) -> DataFrame:
+def signed(docs: DataFrame, shared: Broadcast[Idf]) -> DataFrame:
     """key (of the row), doc_id, digest, same (equal for texts of equal words), signature (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, so_far = TaskContext.get().partitionId() << 36, 0
@@ -315,7 +314,7 @@ def counts_row(block: int, counts: np.ndarray) -> list[pa.Array]:
     return [pa.array([block], pa.int64()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].astype(kind).tobytes()], pa.binary())]
 
 
-def rare_shingles(texts: DataFrame, idf: Idf, counts: np.ndarray, similar: float) -> DataFrame:
+def rare_shingles(texts: DataFrame, shared_idf: Broadcast[Idf], shared_counts: Broadcast[np.ndarray], similar: float) -> DataFrame:
     """shingle, key, root, total, rest, short: the first shingles of each text (key, root, text) in the order of their counts.
 
     `total` is the weight of the text and `rest` that of this shingle and all later ones. Two texts whose similarity is
@@ -323,10 +322,8 @@ def rare_shingles(texts: DataFrame, idf: Idf, counts: np.ndarray, similar: float
     rest of both at the first shingle that they share. So that shingle is among those with a rest of similar x total,
     which are returned, and for the text of smaller total among those with 2 x similar / (1 + similar) x total (`short`).
     """
-    shared = texts.sparkSession.sparkContext.broadcast((idf, counts))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, counts = shared.value
+        idf, counts = shared_idf.value, shared_counts.value
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 owner, hashes, weights = shingles(Group(sub.column("text").to_pylist(), LETTERS), idf)
@@ -373,9 +370,8 @@ def weighted_jaccard(g: Group, idf: Idf) -> np.ndarray:
     return least / np.maximum(total - least, 1e-12)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similar: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast[Idf], similar: float) -> DataFrame:
     """Pairs (a, b) whose weighted Jaccard similarity, computed from their whole texts, is at least `similar`."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
     full = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -406,7 +402,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not matter how another scan of the table is split.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.lower(text_of(text_col)).cast("binary").alias("text"))
-    idf = idf_of(document_frequencies(docs))
+    spark = df.sparkSession
+    idf = spark.sparkContext.broadcast(idf_of(document_frequencies(docs)))  # once for all rounds
     rows = stored(signed(docs, idf), "signed")
     # stored before they are joined, so that adaptive execution can split a large group of copies
     alike = stored(rows.groupBy("same").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("copies")), "alike")
@@ -445,11 +442,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
     if not open_rows.isEmpty():
         texts = stored(texts_of(open_rows.select("key")).select("key", "text").join(open_rows, "key"), "open")
-        rare = stored(rare_shingles(texts, idf, shingle_counts(texts, ORDER_BITS), similar), "rare")
+        counts = spark.sparkContext.broadcast(shingle_counts(texts, ORDER_BITS))
+        rare = stored(rare_shingles(texts, idf, counts, similar), "rare")
+        counts.destroy()
         further = joined_pairs(rare, similar).join(pairs, ["a", "b"], "left_anti")
         one, other = (leaders.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab")
         further = cut(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
         roots = merged(roots, links_of(further))
+    idf.destroy()  # all that needs it is written
     tied = member.join(roots.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
     tied = stored(tied, "tied")
     named = stored(tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")), "classes")
