@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from noteframe.llm.common import stored, table, text_of
 
-#: Words kept with their ids in a task, so that frequent words are not merged anew; the store is emptied when full.
-CACHED_WORDS = 300_000
+#: Words kept with their ids, so that frequent words are not merged anew: up to so many in a task (about 120 MB), of which
+#: those met first, most of them frequent ones, stay when the store is full and for the worker's next task (about 30 MB).
+CACHED_WORDS, KEPT_WORDS = 600_000, 150_000
 #: Totals of up to so many queues are held by the driver and by every task; the places of more are joined.
 MAX_QUEUES = 512
 #: Totals of tasks' queues are sent to all tasks up to so many rows (about 5 MB).
@@ -32,8 +34,8 @@ class Words:
     only unseen ones are encoded. A comma or full stop behind a letter is a token by itself and case does not matter, so
     such forms share the ids of the bare word; that is used within Latin-1 only, where lower case has no exceptions.
     Bare words are encoded many at a time and told apart by the ids that end a word. Texts that hold a special token's
-    opening "<|" are encoded whole, as special tokens are found before words are. A worker process keeps its tokenizer,
-    and a task its words: most of the next task's are new, so they are forgotten at its end.
+    opening "<|" are encoded whole, as special tokens are found before words are. A worker process keeps its tokenizer and
+    the words that it met first: most rarer ones of the next task are new, so they are forgotten at a task's end.
     """
 
     made: dict[str, Words] = {}
@@ -54,6 +56,10 @@ class Words:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def forget(self) -> None:
+        if len(self.known) > KEPT_WORDS:
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+
     def encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
@@ -88,9 +94,9 @@ class Words:
         """Ids of each text and `end`, four bytes each, end to end; and how many a text has."""
         split = [None if "<|" in x else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self.forget()
         known = self.known
-        self.learn(list({w for words in split if words for w in words} - known.keys()))
+        self.learn(list(set().union(*filter(None, split)).difference(known)))
         last = np.array([end], "<u4").tobytes()
         out = []
         for text, words in zip(texts, split, strict=True):
@@ -112,7 +118,7 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, so_far = Words.at(tokenizer), TaskContext.get().partitionId(), {}
-        words.known.clear()
+        words.forget()  # of a task that did not come to its end
         kind = "<u4" if end >= 1 << 16 else words.kind
         for batch in batches:
             lengths = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
@@ -134,7 +140,7 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
                     pa.array(ahead, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "doc_tokens", "ids", "part", "ahead"])
-        words.known.clear()
+        words.forget()
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, queue string, doc_tokens long, ids binary, part int, ahead long")
