@@ -253,3 +253,19 @@ def test_recall_of_near_copies_in_a_large_group(spark):
         rows.append((k, " ".join(own)))
     cls = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert Counter(cls.values()).most_common(1)[0] == (300, 600) and sum(cls[k] == k for k in range(300)) == 300
+
+
+def test_packing_words_kept_or_forgotten_give_the_same_ids(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    store = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    groups = [["The quick, brown fox.", "", "a1 don't $$$ Ärger"], ["fox the QUICK brown, jumped", "<|x|> over\nlines\t\r."], ["quick quick, over a1 the Brown fox."] * 2]
+    for texts in groups * 2:
+        counts, data = store.ids(texts, 2)
+        expected = [[*store.tokenizer.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert counts.tolist() == [len(x) for x in expected]
+        assert np.frombuffer(data, "<u4").tolist() == [i for x in expected for i in x]
+        store.forget()
+        assert len(store.known) <= 3
