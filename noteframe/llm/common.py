@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -57,3 +60,36 @@ def digest_of(column: str = "text") -> Column:
 def text_of(column: str = "text") -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def attached(rows: DataFrame, keyed: DataFrame, on: list[str], heavy: Column, how: str = "left") -> DataFrame:
+    """rows joined with `keyed`, which has one row a key; keys that many rows have are sent to all tasks, so none of them meets in one.
+
+    `heavy` (over keyed's columns) marks those keys. It must hold for a number of keys that does not grow with the data, as
+    a share of a total does: at most a thousand keys have a thousandth each.
+    """
+    many, few = F.broadcast(keyed.where(heavy)), keyed.where(~heavy)
+    return rows.join(many, on).unionByName(rows.join(F.broadcast(keyed.where(heavy).select(on)), on, "left_anti").join(few, on, how))
+
+
+def running(df: DataFrame, by: str, order: list[Column], **values: tuple[Callable, str]) -> DataFrame:
+    """Add running aggregates within each group, the row itself included: name=(F.sum or F.bit_xor, column without nulls).
+
+    Rows are sorted by ranges of the group and the order, and stored, so a group of any size lies in many tasks. Within a
+    range rows are added up as they come; a group that goes on from one range to the next also gets the total of its
+    earlier ranges. Only the first and the last group of a range can go on, so these totals are two rows a range at most.
+    """
+    rows = stored(df.orderBy(by, *order).withColumn("_block", F.spark_partition_id()), "running")
+    edges = rows.groupBy("_block").agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    parts = rows.join(F.broadcast(edges), "_block").where((F.col(by) == F.col("_low")) | (F.col(by) == F.col("_high")))
+    parts = parts.groupBy(by, "_block").agg(*(f(c).alias(f"_{n}") for n, (f, c) in values.items()))
+    before = W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ahead = parts.select(by, "_block", *(f(f"_{n}").over(before).alias(f"_{n}") for n, (f, _) in values.items()))
+    here = W.partitionBy("_block", by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    added = rows.withColumns({n: f(c).over(here) for n, (f, c) in values.items()}).join(F.broadcast(ahead), [by, "_block"], "left")
+
+    def both(n: str, f: Callable) -> Column:
+        old = F.coalesce(f"_{n}", F.lit(0))
+        return F.col(n).bitwiseXOR(old) if f is F.bit_xor else F.col(n) + old
+
+    return added.withColumns({n: both(n, f) for n, (f, _) in values.items()}).drop("_block", *(f"_{n}" for n in values))

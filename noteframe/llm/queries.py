@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import classifier, decontaminate, hmm, near, oracles, packing, rules, secrets, sharding, suffixes, warc
+from noteframe.llm import classifier, collocations, decontaminate, hmm, langid, near, oracles, packing, rules, secrets, sharding, suffixes, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_packing": packing.op9_packing,
         "op10_warc": warc.op10_warc,
+        "op11_trie": trie.op11_trie,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_language_id": langid.op13_language_id,
     }
 
 
