@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def filled(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once. An expression that stands inside another's lambda is computed anew at every step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_filled(*columns: Column | str) -> Column:
     """The first of the columns that is neither null nor empty."""
     return F.coalesce(*(F.when(col(c) != "", col(c)) for c in columns))
@@ -61,24 +67,38 @@ def newline_to_br(c: Column | str) -> Column:
     return F.replace(filled(c), F.lit("\n"), F.lit("<br>"))
 
 
+def without_tags(c: Column, instead: str) -> Column:
+    """Every tag, from a < to the next > with something between, gives way to `instead`.
+
+    The text is split at >, and each part looks for its first <, so the work is proportional to the text, whatever it holds.
+    """
+
+    def replaced(parts: Column) -> Column:
+        opens = lambda p: F.instr(p, "<")
+        is_tag = lambda p: (opens(p) > 0) & (opens(p) < F.length(p))
+        closed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.when(is_tag(p), F.concat(F.substring_index(p, "<", 1), F.lit(instead))).otherwise(F.concat(p, F.lit(">"))))
+        return F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
+
+    return F.when(F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")), bound(F.split(c, ">", -1), replaced)).otherwise(c)
+
+
 def html_to_text(c: Column | str) -> Column:
     """Breaks and hard blanks, then all tags, become blanks; only these spellings of a break count."""
     out = filled(c)
     for x in ("<br>", "<br/>", "<br />", "&nbsp;"):
         out = F.replace(out, F.lit(x), F.lit(" "))
-    return clean_ws(F.regexp_replace(out, "<[^>]+>", " "))
+    return clean_ws(without_tags(out, " "))
 
 
 def strip_html(c: Column | str) -> Column:
     """As html_to_text, without regard to case and with any spelling of a break."""
-    out = F.regexp_replace(filled(c), r"<[^>]+>", " ")
-    return clean_ws(F.regexp_replace(out, "(?i)&nbsp;", " "))
+    return clean_ws(F.regexp_replace(without_tags(filled(c), " "), "(?i)&nbsp;", " "))
 
 
 def plain_lines(c: Column | str) -> Column:
     """The text of HTML as a page shows it: breaks and ends of blocks are new lines, tags go."""
     out = F.regexp_replace(filled(c), r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr)>", "\n")
-    return F.regexp_replace(F.regexp_replace(out, "<[^>]+>", ""), "(?i)&nbsp;", " ")
+    return F.regexp_replace(without_tags(out, ""), "(?i)&nbsp;", " ")
 
 
 def escape_html(c: Column | str) -> Column:
@@ -131,17 +151,76 @@ def username_slug(name: Column | str, email: Column | str) -> Column:
     return F.lower(F.replace(F.coalesce(first_filled(name), F.substring_index(col(email), "@", 1)), F.lit(" "), F.lit("_")))
 
 
-#: What formulas and highlights look like.
-SHOWN_FORMULA = r"\$\$([\s\S]*?)\$\$"
-INLINE_FORMULA = r"(?<!\$)\$(?!\$)((?:[^$\\]|\\.)+?)\$(?!\$)"
+#: What highlights look like.
 HIGHLIGHT = r"""(?is)<span[^>]*style=["'][^"'>]*background(?:-color)?:\s*+(?!transparent|rgba\(0,\s*0,\s*0,\s*0\))[^"'>]*["'][^>]*>(.*?)</span>"""
+#: What ends a line within a formula; a backslash before one of these escapes nothing.
+LINE_ENDS = "\n\r\u2028\u2029"
+#: Codes of the formula scanner: \x01 itself, an escaped dollar sign, the backslash of an escape, an escaped backslash.
+CODE_MARK, CODE_DOLLAR, CODE_SLASH, CODE_PAIR = "\x01a", "\x01b", "\x01c", "\x01d"
+
+
+def _decoded(c: Column) -> Column:
+    for code, plain in ((CODE_PAIR, "\\\\"), (CODE_SLASH, "\\"), (CODE_DOLLAR, "$"), (CODE_MARK, "\x01")):
+        c = F.replace(c, F.lit(code), F.lit(plain))
+    return c
+
+
+def _inline_formulas(rest: Column) -> Column:
+    """Formulas between single dollar signs, without line ends after backslashes, in one pass over the parts of the text.
+
+    Split at its dollar signs, a text has parts; a sign after an odd number of backslashes is escaped and closes nothing. The
+    others cut it into segments (escapes in code). A segment can be a formula between the sign before and the one after it,
+    or from an escaped sign within it on. It is (A) one if the sign before did not close another, (M) one in any case, from its
+    escaped sign on, (N) one in any case, whole if the sign before is free, or (x) none. Which As follow a closing sign is told
+    by pairs in the string of these letters.
+    """
+    escapes = lambda p: (F.length(p) - F.length(F.rtrim(p, F.lit("\\")))) % 2 == 1
+    parts = F.split(F.replace(rest, F.lit("\x01"), F.lit(CODE_MARK)), r"\$", -1)
+    coded = F.array_join(F.transform(parts, lambda p: F.concat(p, F.when(escapes(p), CODE_DOLLAR).otherwise("$"))), "")
+    # the last part's own sign ends the text; a backslash before it would have taken that sign
+    coded = F.when(F.endswith(coded, F.lit("$")), F.substring(coded, F.lit(1), F.length(coded) - 1)).otherwise(F.substring(coded, F.lit(1), F.length(coded) - len(CODE_DOLLAR)))
+    coded = F.replace(coded, F.lit("\\\\"), F.lit(CODE_PAIR))
+    segments = F.split(F.regexp_replace(coded, rf"\\([^{LINE_ENDS}])", rf"{CODE_SLASH}$1"), r"\$", -1)
+
+    def scanned(s: Column) -> Column:
+        n = F.size(s) - 1
+        bad = lambda x: F.contains(x, F.lit("\\"))
+        late = lambda x: F.substring_index(x, "\\", -1)  # noqa: E731  behind the last backslash that escapes nothing
+        inner = lambda x: F.when(F.contains(late(x), F.lit(CODE_DOLLAR)), F.substring(late(x), F.instr(late(x), CODE_DOLLAR) + len(CODE_DOLLAR), F.length(x))).otherwise("")
+
+        def letter(x: Column, i: Column) -> Column:
+            closes = (F.get(s, i + 1) != "") | (i + 1 == n)
+            whole = (i > 0) & (x != "") & ((i == 1) | (F.get(s, i - 1) != "")) & ~F.endswith(F.get(s, i - 1), F.lit(CODE_DOLLAR)) & ~bad(x)
+            within = inner(x) != ""
+            return F.when(~closes, "x").when(within & whole, "N").when(within, "M").when(whole, "A").otherwise("x")
+
+        letters = F.array_join(F.transform(F.slice(s, 1, n), letter), "")
+        settled = F.replace(F.regexp_replace(letters, "([MN])A", "$1x"), F.lit("AA"), F.lit("Ax"))
+
+        def taken(found: Column) -> Column:
+            texts = F.transform(
+                F.slice(s, 1, n),
+                lambda x, i: F.when((F.get(found, i) == "A") | ((F.get(found, i) == "N") & (F.get(found, i - 1) == "x")), x).when(F.get(found, i) != "x", inner(x)),
+            )
+            return F.transform(F.filter(texts, lambda x: x.isNotNull()), _decoded)
+
+        return F.when(n > 0, bound(F.split(settled, ""), taken)).otherwise(F.array().cast("array<string>"))
+
+    return F.when(F.contains(rest, F.lit("$")), bound(segments, scanned)).otherwise(F.array().cast("array<string>"))
 
 
 def extract_formulas(c: Column | str) -> Column:
-    """Display formulas ($$...$$) and then inline ones ($...$), trimmed."""
-    rest = F.regexp_replace(filled(c), SHOWN_FORMULA, "")
-    both = F.concat(F.regexp_extract_all(filled(c), F.lit(SHOWN_FORMULA), F.lit(1)), F.regexp_extract_all(rest, F.lit(INLINE_FORMULA), F.lit(1)))
-    return F.transform(both, lambda x: F.trim(x))
+    """Display formulas ($$...$$) and then inline ones ($...$), trimmed. The work is proportional to the text."""
+
+    def found(parts: Column) -> Column:
+        n = F.size(parts)
+        shown = F.filter(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), lambda p, i: i % 2 == 1)
+        others = F.filter(parts, lambda p, i: (i % 2 == 0) | (i == n - 1))
+        # a last double sign without a partner stays
+        rest = F.when(n % 2 == 0, F.concat(F.array_join(F.slice(others, 1, F.size(others) - 1), ""), F.lit("$$"), F.element_at(parts, -1))).otherwise(F.array_join(others, ""))
+        return F.transform(F.concat(shown, bound(rest, _inline_formulas)), lambda x: F.btrim(x, F.lit(WHITE)))
+
+    return bound(F.split(filled(c), r"\$\$", -1), found)
 
 
 def extract_highlights(c: Column | str) -> Column:

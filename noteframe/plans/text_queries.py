@@ -41,7 +41,23 @@ def escape_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.escape_html("html").alias("escaped"))
 
 
-@query()
+_LATE = r"string_split(x, '\')[-1]"
+_INNER = f"case when contains({_LATE}, chr(1) || 'b') then substr({_LATE}, instr({_LATE}, chr(1) || 'b') + 2) else '' end"
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
+
+
+@query(
+    "with doubled as (select note_id, string_split(html, '$$') as p from html_notes), "
+    "shown as (select note_id, list_filter(p[1:len(p) - 1], lambda x, i: i % 2 = 0) as shown, array_to_string(list_filter(p, lambda x, i: i % 2 = 1), '') || case when len(p) % 2 = 0 then '$$' || p[-1] else '' end as rest from doubled), "
+    r"signs as (select *, array_to_string(list_transform(string_split(replace(rest, chr(1), chr(1) || 'a'), '$'), lambda x: x || case when (length(x) - length(rtrim(x, '\'))) % 2 = 1 then chr(1) || 'b' else '$' end), '') as coded from shown), "
+    r"segments as (select *, string_split(regexp_replace(replace(case when ends_with(coded, '$') then coded[:-2] else coded[:-3] end, '\\', chr(1) || 'd'), '\\([^\n\r\x{2028}\x{2029}])', chr(1) || 'c\1', 'g'), '$') as s from signs), "
+    "judged as (select *, list_transform(s[1:len(s) - 1], lambda x, i: case when s[i + 1] = '' and i + 1 < len(s) then 'x' "
+    rf"when i > 1 and x <> '' and (i = 2 or s[i - 1] <> '') and not ends_with(s[i - 1], chr(1) || 'b') and not contains(x, '\') then case when {_INNER} <> '' then 'N' else 'A' end when {_INNER} <> '' then 'M' else 'x' end) as letters from segments), "
+    r"settled as (select *, replace(regexp_replace(array_to_string(letters, ''), '([MN])A', '\1x', 'g'), 'AA', 'Ax') as f from judged), "
+    f"found as (select *, list_transform(s[1:len(s) - 1], lambda x, i: case when f[i] = 'A' or (f[i] = 'N' and f[i - 1] = 'x') then x when f[i] <> 'x' then {_INNER} end) as inline from settled) "
+    r"select note_id, list_transform(list_concat(shown, list_transform(list_filter(inline, lambda x: x is not null), lambda x: replace(replace(replace(replace(x, chr(1) || 'd', '\\'), chr(1) || 'c', '\'), chr(1) || 'b', '$'), chr(1) || 'a', chr(1)))), "
+    f"lambda x: trim(x, {_BLANKS})) as formulas from found"
+)
 def formulas(t: Tables) -> DataFrame:
     return t.html_notes.select("note_id", T.extract_formulas("html").alias("formulas"))
 
