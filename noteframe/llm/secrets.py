@@ -40,14 +40,18 @@ ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[/_-]?([A-Za-z]{2,}|[0-9]{1,4})([/_-]+([A-Za-z]{2,}|[0-9]{1,4}))*[/_=-]*$",
+    r"^[/_-]?(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]{2,}|[0-9]{1,4}))*[/_=-]*$",
     r"EXAMPLE",
 )
+#: The same for the JVM: a group that repeats gives nothing back, so it is matched in a loop and a candidate of any length needs no stack.
+ALLOWED_JVM = tuple(p.replace("))*[", "))*+[") for p in ALLOWED)
 
 
 SPANS = "array<struct<start:int,end:int>>"
 #: Matches are placed, and windows slide, in parts of so many: a fold's state then stays small, however long the text or the candidate.
 PART = 256
+#: Texts are cut into chunks of so many characters before pieces are taken from them, as a place in a text is found by counting from its start.
+CHUNK = 4096
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -93,15 +97,18 @@ def located(text: Column, pattern: str, keep: Column | None = None) -> Column:
 LOGS = [0, *(round(1e6 * c * math.log2(c)) for c in range(1, WINDOW + 1))]
 
 
-def touching(spans: Column) -> Column:
-    """Spans in the order of their starts and ends, those that touch or overlap joined."""
+def joined(spans: Column, reach: int) -> Column:
+    """Spans that overlap (reach 0) or also those that touch (reach 1) become one; starts and ends may each be sorted by themselves.
 
-    def joined(s: Column) -> Column:
-        firsts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["end"] < x["start"], F.lit(True)))
-        lasts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["start"] > x["end"], F.lit(True)))
+    The n-th end in order lies before the next start exactly where all n earlier spans have ended.
+    """
+
+    def ends(s: Column) -> Column:
+        firsts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["end"] + reach <= x["start"], F.lit(True)))
+        lasts = F.filter(s, lambda x, i: F.coalesce(x["end"] + reach <= F.get(s, i + 1)["start"], F.lit(True)))
         return bound(lasts, lambda e: F.transform(firsts, lambda x, i: F.struct(x["start"].alias("start"), F.get(e, i)["end"].alias("end"))))
 
-    return bound(spans, joined)
+    return bound(spans, ends)
 
 
 def high_entropy(candidate: Column, kind: CharClass) -> Column:
@@ -154,7 +161,7 @@ def high_entropy(candidate: Column, kind: CharClass) -> Column:
         part = lambda k: F.slice(all_, k * PART + 1, PART + WINDOW - 1)
         return F.flatten(F.transform(in_parts(F.size(all_) - (WINDOW - 1)), lambda k: bound(part(k), lambda chars: slid(chars, k * PART))))
 
-    return touching(bound(codes, every))
+    return joined(bound(codes, every), 1)
 
 
 def entropy_spans(text: Column, kind: CharClass) -> Column:
@@ -162,16 +169,13 @@ def entropy_spans(text: Column, kind: CharClass) -> Column:
     pattern = "[" + "".join(f"\\{c}" if c in "+/_=-" else c for c in kind.alphabet) + f"]{{{WINDOW},}}"
 
     def wanted(x: Column) -> Column:
-        return ~reduce(or_, (x.rlike(p) for p in ALLOWED))
+        return ~reduce(or_, (x.rlike(p) for p in ALLOWED_JVM))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     places = located(text, pattern, F.transform(hits, wanted))  # candidates have WINDOW characters at least
     each = F.transform(
-        places,
-        lambda p: F.transform(
-            high_entropy(F.substring(text, p["start"] + 1, p["end"] - p["start"]), kind),
-            lambda s: F.struct((p["start"] + s["start"]).alias("start"), (p["start"] + s["end"]).alias("end")),
-        ),
+        F.arrays_zip(places.alias("place"), F.filter(hits, wanted).alias("hit")),
+        lambda p: F.transform(high_entropy(p["hit"], kind), lambda s: F.struct((p["place"]["start"] + s["start"]).alias("start"), (p["place"]["start"] + s["end"]).alias("end"))),
     )
     none = F.array().cast(SPANS)
     return F.when(F.exists(hits, wanted), F.flatten(each)).otherwise(none)
@@ -206,13 +210,23 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
     """Replace every found span (overlapping ones together) by `mask`; expects `secrets` from scan() and drops it."""
     text = text_of(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        added = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), added.alias("out"))
+    def masked(chunks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """Characters a to b of the text; only its first and last chunk are cut."""
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+            head, tail = F.substring(F.get(chunks, first), a - first * CHUNK + 1, F.least(b - a, F.lit(CHUNK))), F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), b - last * CHUNK)
+            between = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            return F.when(a >= b, "").when(first == last, head).otherwise(F.concat(head, between, tail))
+
+        def pieces(spans: Column) -> Column:
+            before = F.transform(spans, lambda s, i: piece(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), s["start"]))
+            return F.concat(F.array_join(before, mask), F.lit(mask), piece(F.element_at(spans, -1)["end"], F.length(text)))
+
+        order = lambda c: F.array_sort(F.transform("secrets", lambda s: s[c]))
+        spans = F.zip_with(order("start"), order("end"), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+        return bound(joined(spans, 0), pieces)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    clean = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), masked)
     return df.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text_col))).drop("secrets")
 
 
