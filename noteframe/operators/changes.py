@@ -1,4 +1,10 @@
-"""Change sets: old snapshot and changes to new snapshot. Absent and null are told apart where the rules need it."""
+"""Change sets: old snapshot and changes to new snapshot. Absent and null are told apart where the rules need it.
+
+A batch may change one object many times. Changes carry a sequence number `seq`; they are folded by key, as they would have
+been applied one after the other, before they meet the snapshot, so an object stays one row. Folds are aggregates, partial
+ones first, so an object that most changes are about is no burden to one task. Changes with the same number, or without
+any, count in the order of what they say.
+"""
 
 from __future__ import annotations
 
@@ -78,23 +84,37 @@ def insert_notes(notes: DataFrame, uploads: DataFrame, results: DataFrame, as_of
     return notes.unionByName(new.drop("upload_id"), allowMissingColumns=True)
 
 
+def _turn(changes: DataFrame, *said: Column) -> Column:
+    """Sorts a change among those of its object."""
+    return F.struct((F.col("seq") if "seq" in changes.columns else F.lit(0)).alias("seq"), *said)
+
+
+def fold_patches(patches: DataFrame) -> DataFrame:
+    """Patches (id, owner_id, patch, seq) as one patch a note: for each field that any of them names, its last value, null included."""
+    turn = lambda c: F.when(F.map_contains_key("patch", c), _turn(patches, F.try_element_at("patch", F.lit(c)).alias("value")))
+    last = patches.groupBy("id", "owner_id").agg(*(F.max(turn(c)).alias(c) for c in PATCHABLE))
+    entries = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(f"{c}.value").alias("value"))) for c in PATCHABLE))
+    return last.select("id", "owner_id", F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("patch"))
+
+
 def patch_notes(notes: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches (id, owner_id, patch: map<string,string>) set the fields that they name, to null too; only an owner's patch counts."""
-    rows = notes.join(patches.select("id", "owner_id", "patch"), ["id", "owner_id"], "left")
+    """Patches (id, owner_id, patch: map<string,string>, seq) set the fields that they name, to null too; only an owner's patch counts."""
+    rows = notes.join(fold_patches(patches), ["id", "owner_id"], "left")
     empty = F.create_map().cast("map<string,string>")
     rows = rows.withColumn("patch", F.coalesce("patch", empty))
     return rows.withColumns({c: T.patched(F.col("patch"), c, F.col(c)) for c in PATCHABLE}).drop("patch")
 
 
 def accept_reprocess(notes: DataFrame, results: DataFrame) -> DataFrame:
-    """Write the structured text of accepted results (id, owner_id, structured_text); the transcript stays as it was."""
+    """Write the structured text of accepted results (id, owner_id, structured_text, seq), the last of a note's; the transcript stays as it was."""
     patch = F.create_map(F.lit("structured_text"), F.col("structured_text"))
-    return patch_notes(notes, results.select("id", "owner_id", patch.alias("patch")))
+    return patch_notes(notes, results.select(patch.alias("patch"), *(c for c in ("id", "owner_id", "seq") if c in results.columns)))
 
 
 def patch_notebooks(notebooks: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
-    """Patches (id, owner_id, name, color): null leaves a field as it is; the notebook counts as updated in any case."""
-    p = patches.select("id", "owner_id", F.col("name").alias("_name"), F.col("color").alias("_color"), F.lit(True).alias("_hit"))
+    """Patches (id, owner_id, name, color, seq): null leaves a field as it is; the notebook counts as updated in any case."""
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), _turn(patches, F.col(c).alias("value"))))["value"].alias(f"_{c}")
+    p = patches.groupBy("id", "owner_id").agg(last("name"), last("color"), F.lit(True).alias("_hit"))
     rows = notebooks.join(p, ["id", "owner_id"], "left")
     changed = {"name": F.coalesce("_name", "name"), "color": F.coalesce("_color", "color"), "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at"))}
     return rows.withColumns(changed).drop("_name", "_color", "_hit")
@@ -123,8 +143,9 @@ def remove_members(requests: DataFrame, notebooks: DataFrame, bridge: DataFrame,
 
 
 def share_notes(notes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (id, owner_id, token): a note that has a token keeps it."""
-    rows = notes.join(requests.select("id", "owner_id", "token"), ["id", "owner_id"], "left")
+    """Requests (id, owner_id, token, seq): a note that has a token keeps it, else it takes the first one."""
+    first = requests.where("token is not null").groupBy("id", "owner_id").agg(F.min(_turn(requests, F.col("token")))["token"].alias("token"))
+    rows = notes.join(first, ["id", "owner_id"], "left")
     token = F.when(F.col("token").isNotNull(), F.coalesce(T.first_filled("share_token"), F.col("token"))).otherwise(F.col("share_token"))
     return rows.withColumn("share_token", token).drop("token")
 
@@ -155,7 +176,13 @@ def delete_notebooks(keys: DataFrame, notebooks: DataFrame, bridge: DataFrame) -
 
 
 def replace_flashcards(made: DataFrame, sets: DataFrame, cards: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """New (sets, cards) from made sets (note_id, owner_id, note_title, regenerate, cards): older sets go only where regenerate is set."""
+    """New (sets, cards) from made sets (note_id, owner_id, note_title, regenerate, cards, seq): older sets go only where regenerate is set.
+
+    Sets of the same batch with a smaller number than a note's last regenerated one are older, too.
+    """
+    if "seq" in made.columns:
+        latest = made.where("regenerate").groupBy("note_id", "owner_id").agg(F.max("seq").alias("_latest"))
+        made = made.join(latest, ["note_id", "owner_id"], "left").where(F.coalesce(F.col("seq") >= F.col("_latest"), F.lit(True))).drop("_latest")
     again = made.where("regenerate").select("note_id", "owner_id").distinct()
     old = sets.join(again, ["note_id", "owner_id"], "left_semi").select(F.col("id").alias("set_id"))
     kept_sets = sets.join(old.withColumnRenamed("set_id", "id"), "id", "left_anti")
@@ -167,8 +194,9 @@ def replace_flashcards(made: DataFrame, sets: DataFrame, cards: DataFrame, as_of
 
 
 def store_summary(notes: DataFrame, made: DataFrame) -> DataFrame:
-    """Write summaries (id, owner_id, summary) over what the notes had."""
-    rows = notes.join(made.select("id", "owner_id", F.col("summary").alias("_new")), ["id", "owner_id"], "left")
+    """Write summaries (id, owner_id, summary, seq) over what the notes had, the last of each note's."""
+    last = made.where("summary is not null").groupBy("id", "owner_id").agg(F.max(_turn(made, F.col("summary")))["summary"].alias("_new"))
+    rows = notes.join(last, ["id", "owner_id"], "left")
     return rows.withColumn("ai_summary", F.coalesce("_new", "ai_summary")).drop("_new")
 
 
@@ -179,7 +207,8 @@ def append_explanations(explanations: DataFrame, made: DataFrame, as_of: Column)
 
 
 def store_categories(notes: DataFrame, made: DataFrame) -> DataFrame:
-    """Write subject, topic and tags (id, owner_id, subject, topic, tags) where an owner's note got them; the status stays."""
-    new = made.select("id", "owner_id", *(F.col(c).alias(f"_{c}") for c in ("subject", "topic", "tags")), F.lit(True).alias("_hit"))
-    rows = notes.join(new, ["id", "owner_id"], "left")
-    return rows.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("subject", "topic", "tags")}).drop("_subject", "_topic", "_tags", "_hit")
+    """Write subject, topic and tags (id, owner_id, subject, topic, tags, seq) where an owner's note got them, the last of each note's; the status stays."""
+    fields = ("subject", "topic", "tags")
+    last = made.groupBy("id", "owner_id").agg(F.max(_turn(made, *map(F.col, fields))).alias("_new"))
+    rows = notes.join(last, ["id", "owner_id"], "left")
+    return rows.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fields}).drop("_new")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteframe.functions import text as T
+from noteframe.operators.ordered import numbered
 
 SEARCHED = ("title", "raw_text", "subject", "topic", "tags")
 NOTE_TYPES = ("default", "lecture", "meeting")
@@ -162,19 +163,36 @@ def members(notebooks: DataFrame, bridge: DataFrame, notes: DataFrame) -> DataFr
     return bridge.join(books, "notebook_id").join(own, ["note_id", "owner_id"])
 
 
-def notebook_notes(notebooks: DataFrame, bridge: DataFrame, notes: DataFrame) -> DataFrame:
-    """Every notebook that has notes of its owner, with them as a list, newest first, and their number."""
-    rows = members(notebooks, bridge, notes)
-    item = F.struct("created_at", "note_id", "title", "status")
-    newest = F.reverse(F.array_sort(F.collect_list(item)))
-    return rows.groupBy("notebook_id", "owner_id").agg(F.first("notebook.name").alias("name"), newest.alias("notes")).withColumn("note_count", F.size("notes"))
+def notebook_notes(notebooks: DataFrame, bridge: DataFrame, notes: DataFrame, page_size: int = 100) -> DataFrame:
+    """Every notebook that has notes of its owner, as pages of up to `page_size` notes, newest first: page (from 0), notes, and the notebook's note_count.
 
+    Notes are placed by a sort over ranges, so a notebook of any size is many rows, and no task holds its list.
+    """
+    rows = members(notebooks, bridge, notes).select("notebook_id", "owner_id", F.col("notebook.name").alias("name"), "created_at", "note_id", "title", "status")
+    placed = numbered(rows, ["notebook_id"], [F.col("created_at").desc(), F.col("note_id").desc()], "place")
+    item = F.struct("place", "created_at", "note_id", "title", "status")
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("place"))
+    page = F.floor((F.col("place") - 1) / page_size).cast("long")
+    pages = placed.groupBy("notebook_id", page.alias("page")).agg(F.first("owner_id").alias("owner_id"), F.first("name").alias("name"), listed.alias("notes"))
+    counts = placed.groupBy("notebook_id").agg(F.count(F.lit(1)).alias("note_count"))
+    return pages.join(counts, "notebook_id").select("notebook_id", "owner_id", "name", "page", "notes", "note_count")
 
-def notes_not_in_notebook(notebooks: DataFrame, bridge: DataFrame, notes: DataFrame) -> DataFrame:
-    """(notebook_id, note_id) for every note of a notebook's owner that is not in it."""
+
+def notes_not_in_notebook(requests: DataFrame, notebooks: DataFrame, bridge: DataFrame, notes: DataFrame, block: int = 512) -> DataFrame:
+    """(notebook_id, note_id, title) for every note of the owner of a requested notebook (notebook_id, owner_id) that is not in it.
+
+    A request for another owner's notebook gives nothing. Notes are listed by owner and blocks of ids, of which each holds
+    `block` notes at most; a request meets the blocks of its owner, and each block loses what the notebook has in it. Rows
+    that are joined are requests times blocks, and what comes out is as long as the answer.
+    """
     books = notebooks.select(F.col("id").alias("notebook_id"), "owner_id")
-    pairs = books.join(notes.select(F.col("id").alias("note_id"), "owner_id", "title"), "owner_id")
-    return pairs.join(bridge, ["note_id", "notebook_id"], "left_anti")
+    asked = requests.select("notebook_id", "owner_id").distinct().join(books, ["notebook_id", "owner_id"], "left_semi")
+    of = lambda c: F.floor(F.col(c) / block)
+    blocks = notes.groupBy("owner_id", of("id").alias("block")).agg(F.collect_list(F.struct(F.col("id").alias("note_id"), "title")).alias("all"))
+    inside = bridge.join(asked.select("notebook_id"), "notebook_id", "left_semi").groupBy("notebook_id", of("note_id").alias("block")).agg(F.collect_set("note_id").alias("inside"))
+    met = asked.join(blocks, "owner_id").join(inside, ["notebook_id", "block"], "left")
+    left = F.when(F.col("inside").isNull(), F.col("all")).otherwise(F.filter("all", lambda n: ~F.array_contains("inside", n["note_id"])))
+    return met.select("notebook_id", F.inline(left)).select("notebook_id", "note_id", "title")
 
 
 def membership_to_add(requests: DataFrame, notebooks: DataFrame, notes: DataFrame, bridge: DataFrame) -> DataFrame:

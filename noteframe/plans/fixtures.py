@@ -189,4 +189,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{x} as ({DUCKDB.get(x, VIEWS[x]).strip()})" for x in found)
     body = sql.strip()
-    return f"with {head},\n{body[4:].strip()}" if body.lower().startswith("with ") else f"with {head}\n{body}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{head},\n{body[len(start) :].strip()}"
+    return f"with {head}\n{body}"

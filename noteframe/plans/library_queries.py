@@ -124,17 +124,20 @@ def notebook_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    "select b.id as notebook_id, b.owner_id, b.name, list(n.id order by n.created_at desc, n.id desc) as note_ids, cast(count(*) as int) as note_count "
-    "from note_notebooks m join notebooks b on m.notebook_id = b.id join notes n on m.note_id = n.id and n.owner_id = b.owner_id group by b.id, b.owner_id, b.name"
+    "select notebook_id, owner_id, name, (place - 1) // 5 as page, list(note_id order by place) as note_ids, any_value(n) as note_count from (select b.id as notebook_id, b.owner_id, b.name, n.id as note_id, count(*) over (partition by b.id) as n, "
+    "row_number() over (partition by b.id order by n.created_at desc, n.id desc) as place from note_notebooks m join notebooks b on m.notebook_id = b.id join notes n on m.note_id = n.id and n.owner_id = b.owner_id) group by all"
 )
 def notebook_notes(t: Tables) -> DataFrame:
-    rows = L.notebook_notes(t.notebooks, t.note_notebooks, t.notes)
-    return rows.select("notebook_id", "owner_id", "name", F.col("notes.note_id").alias("note_ids"), "note_count")
+    """Pages of five notes."""
+    rows = L.notebook_notes(t.notebooks, t.note_notebooks, t.notes, 5)
+    return rows.select("notebook_id", "owner_id", "name", "page", F.col("notes.note_id").alias("note_ids"), "note_count")
 
 
-@query("select b.id as notebook_id, n.id as note_id, b.owner_id, n.title from notebooks b join notes n on n.owner_id = b.owner_id where not exists (select 1 from note_notebooks m where m.note_id = n.id and m.notebook_id = b.id)")
+@query("select b.id as notebook_id, n.id as note_id, n.title from notebooks b join notes n on n.owner_id = b.owner_id where not exists (select 1 from note_notebooks m where m.note_id = n.id and m.notebook_id = b.id)")
 def notes_not_in_notebook(t: Tables) -> DataFrame:
-    return L.notes_not_in_notebook(t.notebooks, t.note_notebooks, t.notes).select("notebook_id", "note_id", "owner_id", "title")
+    """Every notebook is asked for, some also by a stranger."""
+    requests = t.notebooks.selectExpr("id as notebook_id", "owner_id").union(t.notebooks.where("id % 3 = 0").selectExpr("id", "owner_id + 1"))
+    return L.notes_not_in_notebook(requests, t.notebooks, t.note_notebooks, t.notes)
 
 
 @query(

@@ -138,52 +138,78 @@ def linked_users(t: Tables) -> DataFrame:
     return accounts.linked_users(t.users, t.logins).select("id", "google_id")
 
 
+_CANDIDATES = (
+    "select login_id as candidate_id, case when login_id % 6 = 0 then 'twin@example.org' when login_id % 10 = 3 then concat('pair', floor(login_id / 40), '@example.org') else email end as email, "
+    "case when login_id % 4 = 2 then concat('name', login_id % 30) when login_id % 5 = 3 then concat('other', floor(login_id / 30)) else concat('customer_', lpad(cast(login_id as {text}), 9, '0')) end as username from logins"
+)
+
+
 @query(
-    "select c as candidate_id, case when exists (select 1 from users u where u.email = r.email) or row_number() over (partition by email order by c) > 1 then 'email_taken' "
-    "when exists (select 1 from users u where u.username = r.username) or row_number() over (partition by username order by c) > 1 then 'username_taken' else 'ok' end as outcome "
-    "from (select login_id as c, case when login_id % 6 = 0 then 'twin@example.org' else email end as email, case when login_id % 4 = 2 then concat('name', login_id % 30) else concat('customer_', lpad(cast(login_id as varchar), 9, '0')) end as username from logins) r"
+    # one candidate after the other; who is accepted puts email and name on the lists
+    f"with recursive c as (select *, row_number() over (order by candidate_id) as k from ({_CANDIDATES.format(text='varchar')})), "
+    "known as (select c.*, exists (select 1 from users u where u.email = c.email) as e, exists (select 1 from users u where u.username = c.username) as n from c), "
+    "step as (select 0::bigint as k, null::bigint as candidate_id, null::varchar as outcome, []::varchar[] as mails, []::varchar[] as names union all "
+    "select x.k, x.candidate_id, x.outcome, case when x.outcome = 'ok' then list_append(x.mails, x.email) else x.mails end, case when x.outcome = 'ok' then list_append(x.names, x.username) else x.names end from "
+    "(select known.*, s.mails, s.names, case when e or list_contains(s.mails, email) then 'email_taken' when n or list_contains(s.names, username) then 'username_taken' else 'ok' end as outcome from step s join known on known.k = s.k + 1) x) "
+    "select candidate_id, outcome from step where k > 0"
 )
 def check_registration(t: Tables) -> DataFrame:
-    candidates = t.logins.selectExpr(
-        "login_id as candidate_id", "case when login_id % 6 = 0 then 'twin@example.org' else email end as email",
-        "case when login_id % 4 = 2 then concat('name', login_id % 30) else concat('customer_', lpad(cast(login_id as string), 9, '0')) end as username",
-    )
-    return accounts.check_registration(candidates, t.users)
+    """Candidates of whom some are refused by those who are refused themselves, if they counted."""
+    t.logins.createOrReplaceTempView("logins")
+    return accounts.check_registration(t.spark.sql(_CANDIDATES.format(text="string")), t.users)
+
+
+_TAKEN = "select username from users union select concat('user_', id % 7, '_', id % 40 + 1) from users where id % 3 = 0"
 
 
 @query(
-    "select login_id, case when n = 1 then slug else concat(slug, '_', n - 1) end as username from (select login_id, slug, row_number() over (partition by slug order by login_id) as n from "
-    f"(select l.login_id, lower(replace(coalesce(nullif(name, ''), string_split(email, '@')[1]), ' ', '_')) as slug from logins l join ({_RESOLVED}) r using (login_id) where r.action = 'created'))"
+    # free numbers of each slug, in order, against its newcomers in order
+    f"with taken as ({_TAKEN}), newcomers as (select login_id, slug, row_number() over (partition by slug order by login_id) as turn from "
+    f"(select l.login_id, lower(replace(coalesce(nullif(name, ''), string_split(email, '@')[1]), ' ', '_')) as slug from logins l join ({_RESOLVED}) r using (login_id) where r.action = 'created')), "
+    "numbers as (select slug, unnest(range(cast(count(*) + 50 as bigint))) as k from newcomers group by slug), "
+    "free as (select slug, name, row_number() over (partition by slug order by k) as turn from (select slug, k, case when k = 0 then slug else concat(slug, '_', k) end as name from numbers) where name not in (select username from taken)) "
+    "select login_id, name as username from newcomers join free using (slug, turn)"
 )
 def assign_usernames(t: Tables) -> DataFrame:
     new = t.logins.join(accounts.resolve_identity(t.logins, t.users).where("action = 'created'"), "login_id", "left_semi")
-    return accounts.assign_usernames(new, t.users).withColumn("login_id", F.col("login_id"))
+    t.users.createOrReplaceTempView("users")
+    return accounts.assign_usernames(new, t.spark.sql(_TAKEN))
 
 
 # change sets
 
 
 @query(
-    "select id, owner_id, case when id % 10 = 3 then concat('New ', id) when id % 10 = 4 then null else title end as title, case when id % 10 = 3 then 'x' else tags end as tags, subject from notes"
+    "select id, owner_id, case when id % 60 = 3 or id % 10 = 4 then null when id % 10 = 3 then concat('New ', id) else title end as title, case when id % 20 = 3 then 'y' when id % 10 = 3 then 'x' else tags end as tags, "
+    "case when id % 60 = 3 then 'late' when id % 20 = 3 then null else subject end as subject from notes"
 )
 def patch_notes(t: Tables) -> DataFrame:
-    patches = t.notes.where("id % 10 in (3, 4, 5)").selectExpr(
-        "id", "owner_id + case when id % 10 = 5 then 1 else 0 end as owner_id",
+    """Up to three patches of a note, the later ones first; one of a stranger."""
+    third = t.notes.where("id % 60 = 3").selectExpr("id", "owner_id", "3 as seq", "map('title', cast(null as string), 'subject', 'late') as patch")
+    second = t.notes.where("id % 20 = 3").selectExpr("id", "owner_id", "2 as seq", "map('tags', 'y', 'subject', cast(null as string)) as patch")
+    first = t.notes.where("id % 10 in (3, 4, 5)").selectExpr(
+        "id", "owner_id + case when id % 10 = 5 then 1 else 0 end as owner_id", "1 as seq",
         "case when id % 10 = 3 then map('title', concat('New ', id), 'tags', 'x') when id % 10 = 4 then map('title', cast(null as string)) else map('title', 'stolen') end as patch",
     )
-    return changes.patch_notes(t.notes, patches).select("id", "owner_id", "title", "tags", "subject")
+    return changes.patch_notes(t.notes, third.union(second).union(first)).select("id", "owner_id", "title", "tags", "subject")
 
 
-@query("select id, case when id % 10 = 6 then 'again' else structured_text end as structured_text, raw_text from notes")
+@query("select id, case when id % 20 = 6 then 'third' when id % 10 = 6 then 'again' else structured_text end as structured_text, raw_text from notes")
 def accept_reprocess(t: Tables) -> DataFrame:
-    results = t.notes.where("id % 10 = 6").selectExpr("id", "owner_id", "'again' as structured_text")
-    return changes.accept_reprocess(t.notes, results).select("id", "structured_text", "raw_text")
+    later = t.notes.where("id % 20 = 6").selectExpr("id", "owner_id", "'third' as structured_text", "2 as seq")
+    results = t.notes.where("id % 10 = 6").selectExpr("id", "owner_id", "'again' as structured_text", "1 as seq")
+    return changes.accept_reprocess(t.notes, later.union(results)).select("id", "structured_text", "raw_text")
 
 
-@query(f"select id, owner_id, case when id % 10 = 3 then 'Renamed' else name end as name, color, case when id % 10 in (3, 4) then {AS_OF_SQL} else updated_at end as updated_at from notebooks")
+@query(
+    "select id, owner_id, case when id % 60 = 3 then 'Again' when id % 10 = 3 then 'Renamed' else name end as name, case when id % 20 = 3 then '#000000' else color end as color, "
+    f"case when id % 10 in (3, 4) then {AS_OF_SQL} else updated_at end as updated_at from notebooks"
+)
 def patch_notebooks(t: Tables) -> DataFrame:
-    patches = t.notebooks.where("id % 10 in (3, 4, 5)").selectExpr("id", "owner_id + case when id % 10 = 5 then 1 else 0 end as owner_id", "case when id % 10 = 3 then 'Renamed' end as name", "cast(null as string) as color")
-    return changes.patch_notebooks(t.notebooks, patches, as_of()).select("id", "owner_id", "name", "color", "updated_at")
+    third = t.notebooks.where("id % 60 = 3").selectExpr("id", "owner_id", "'Again' as name", "cast(null as string) as color", "3 as seq")
+    second = t.notebooks.where("id % 20 = 3").selectExpr("id", "owner_id", "cast(null as string) as name", "'#000000' as color", "2 as seq")
+    first = t.notebooks.where("id % 10 in (3, 4, 5)").selectExpr("id", "owner_id + case when id % 10 = 5 then 1 else 0 end as owner_id", "case when id % 10 = 3 then 'Renamed' end as name", "cast(null as string) as color", "1 as seq")
+    return changes.patch_notebooks(t.notebooks, third.union(second).union(first), as_of()).select("id", "owner_id", "name", "color", "updated_at")
 
 
 @query(
@@ -218,10 +244,11 @@ def remove_members(t: Tables) -> DataFrame:
     return changes.remove_members(_adds(t), t.notebooks, t.note_notebooks, as_of())[1].select("note_id", "notebook_id")
 
 
-@query("select id, case when id % 3 = 0 then coalesce(share_token, concat('new-', id)) else share_token end as share_token from notes")
+@query("select id, case when id % 3 = 0 then coalesce(share_token, concat(case when id % 6 = 0 then 'early-' else 'new-' end, id)) else share_token end as share_token from notes")
 def share_notes(t: Tables) -> DataFrame:
-    requests = t.notes.where("id % 3 < 2").selectExpr("id", "owner_id + id % 3 as owner_id", "concat('new-', id) as token")
-    return changes.share_notes(t.notes, requests).select("id", "share_token")
+    requests = t.notes.where("id % 3 < 2").selectExpr("id", "owner_id + id % 3 as owner_id", "concat('new-', id) as token", "2 as seq")
+    early = t.notes.where("id % 6 = 0").selectExpr("id", "owner_id", "concat('early-', id) as token", "1 as seq")
+    return changes.share_notes(t.notes, requests.union(early)).select("id", "share_token")
 
 
 @query("select id, case when id % 16 = 0 then null else share_token end as share_token from notes")
@@ -281,11 +308,17 @@ def _replaced(t: Tables) -> tuple[DataFrame, DataFrame]:
     return changes.replace_flashcards(made, t.flashcard_sets, t.flashcards, as_of())
 
 
-@query("select id, case when id % 6 = 0 then concat('about ', id) else ai_summary end as ai_summary, case when id % 4 = 1 and id % 16 <> 1 then 'maths' else subject end as subject, case when id % 4 = 1 and id % 16 <> 1 then 'a, b' else tags end as tags from notes")
+@query(
+    "select id, case when id % 12 = 0 then concat('more about ', id) when id % 6 = 0 then concat('about ', id) else ai_summary end as ai_summary, case when id % 8 = 5 then 'physics' when id % 4 = 1 and id % 16 <> 1 then 'maths' else subject end as subject, "
+    "case when id % 8 = 5 then null when id % 4 = 1 and id % 16 <> 1 then 'a, b' else tags end as tags from notes"
+)
 def stored_answers(t: Tables) -> DataFrame:
-    summaries = t.notes.where("id % 6 = 0").selectExpr("id", "owner_id", "concat('about ', id) as summary")
-    categories = t.notes.where("id % 4 = 1").selectExpr("id", "owner_id + case when id % 16 = 1 then 1 else 0 end as owner_id", "'maths' as subject", "'' as topic", "'a, b' as tags")
-    return changes.store_categories(changes.store_summary(t.notes, summaries), categories).select("id", "ai_summary", "subject", "tags")
+    """Summaries and categories, some notes twice, the later answer first."""
+    later = t.notes.where("id % 12 = 0").selectExpr("id", "owner_id", "concat('more about ', id) as summary", "2 as seq")
+    summaries = t.notes.where("id % 6 = 0").selectExpr("id", "owner_id", "concat('about ', id) as summary", "1 as seq")
+    last = t.notes.where("id % 8 = 5").selectExpr("id", "owner_id", "'physics' as subject", "'' as topic", "cast(null as string) as tags", "2 as seq")
+    categories = t.notes.where("id % 4 = 1").selectExpr("id", "owner_id + case when id % 16 = 1 then 1 else 0 end as owner_id", "'maths' as subject", "'' as topic", "'a, b' as tags", "1 as seq")
+    return changes.store_categories(changes.store_summary(t.notes, later.union(summaries)), last.union(categories)).select("id", "ai_summary", "subject", "tags")
 
 
 @query(
@@ -402,24 +435,35 @@ def insert_notes(t: Tables) -> DataFrame:
 @query(f"select page_id, reason, case when failed then 'failed' else 'completed' end as status, case when failed then error end as error_message, case when not failed then structured end as structured_text from ({DIGITIZED})")
 def stream_digitize(t: Tables) -> DataFrame:
     """Pages written as JSON, then digitised as a stream of files."""
-    return _streamed(t)[0].select("page_id", "reason", "status", "error_message", "structured_text")
+    folder, pages = stream.shared_folder(t.spark), _pages(t)
+    pages.write.parquet(f"{folder}/landing")
+    rows = t.spark.readStream.schema(pages.schema).parquet(f"{folder}/landing")
+    stream.stream_digitize(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("page_id", "reason", "status", "error_message", "structured_text")
 
 
-@query(f"select cast(page_id as varchar) as image_filename, 7::bigint as owner_id, case when failed then 'failed' else 'completed' end as status, case when failed then error end as error_message, case when not failed then structured end as structured_text, case when not failed then {AS_OF_SQL} end as processed_at from ({DIGITIZED})")
+@query(
+    "select id, image_filename, owner_id, status, cast(null as varchar) as error_message, structured_text, cast(null as timestamp) as processed_at, -1::bigint as batch from notes union all "
+    "select (select max(id) from notes) + row_number() over (order by page_id % 3, cast(page_id as varchar)), cast(page_id as varchar), 7, case when failed then 'failed' else 'completed' end, case when failed then error end, "
+    f"case when not failed then structured end, case when not failed then {AS_OF_SQL} end, page_id % 3 from ({DIGITIZED})"
+)
 def stream_notes(t: Tables) -> DataFrame:
-    """The notes that the same stream writes: begun, then completed or failed."""
-    return _streamed(t)[1].select("image_filename", "owner_id", "status", "error_message", "structured_text", "processed_at")
-
-
-def _streamed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The notes table after a stream of three batches has added to it, the last of them twice."""
+    folder, pages = stream.shared_folder(t.spark), _pages(t)
+    table = f"{folder}/notes"
+    stream.start_notes(t.notes, table)
+    for k in range(3):
+        pages.where(F.col("page_id") % 3 == k).write.mode("append").parquet(f"{folder}/landing")
+        rows = t.spark.readStream.schema(pages.schema).parquet(f"{folder}/landing")
+        stream.stream_digitize(rows, f"{folder}/out", f"{folder}/checkpoint", table, 7, as_of()).awaitTermination()
+    stream.digitise_batch(t.spark.read.parquet(f"{folder}/landing").where("page_id % 3 = 2"), 2, f"{folder}/out", table, 7, as_of())
+    return stream.read_notes(t.spark, table).select("id", "image_filename", "owner_id", "status", "error_message", "structured_text", "processed_at", "batch")
+
+
+def _pages(t: Tables) -> DataFrame:
     element = F.struct("type", "content", "container", F.struct("region", "x_percent", "y_percent", "width_percent", "height_percent").alias("position"), F.struct("shape").alias("diagram"))
     listed = t.ocr_elements.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", element.alias("e")))), lambda x: x["e"]).alias("elements"))
-    pages = t.ocr_pages.join(listed, "page_id", "left").select("page_id", F.to_json(F.struct("page_layout", "raw_text", "error", "elements")).alias("value"))
-    folder = stream.shared_folder(t.spark)
-    pages.write.parquet(f"{folder}/landing")
-    rows = t.spark.readStream.schema(pages.schema).parquet(f"{folder}/landing")
-    stream.stream_digitize(rows, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/notes", 7, as_of()).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out"), t.spark.read.parquet(f"{folder}/notes")
+    return t.ocr_pages.join(listed, "page_id", "left").select("page_id", F.to_json(F.struct("page_layout", "raw_text", "error", "elements")).alias("value"))
 
 
 @query(

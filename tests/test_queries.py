@@ -13,7 +13,7 @@ from noteframe.plans.fixtures import Tables
 from noteframe.streaming import stream
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"stream_digitize", "stream_study"}
+STREAMS = {"stream_digitize", "stream_notes", "stream_study"}
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +70,8 @@ def test_adding_twice_is_adding_once(tables):
 
 def test_notes_in_and_not_in_a_notebook_are_all(tables):
     inside = library.members(tables.notebooks, tables.note_notebooks, tables.notes).select("notebook_id", "note_id")
-    outside = library.notes_not_in_notebook(tables.notebooks, tables.note_notebooks, tables.notes).select("notebook_id", "note_id")
+    requests = tables.notebooks.selectExpr("id as notebook_id", "owner_id")
+    outside = library.notes_not_in_notebook(requests, tables.notebooks, tables.note_notebooks, tables.notes).select("notebook_id", "note_id")
     every = tables.notebooks.selectExpr("id as notebook_id", "owner_id").join(tables.notes.selectExpr("id as note_id", "owner_id"), "owner_id").select("notebook_id", "note_id")
     assert inside.intersect(outside).isEmpty() and pairs(inside.union(outside)) == pairs(every)
 
