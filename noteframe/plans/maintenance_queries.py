@@ -13,7 +13,7 @@ from noteframe.plans.define import query
 from noteframe.plans.fixtures import Tables
 from noteframe.plans.layout_queries import DIGITIZED
 from noteframe.sources import media, schemas
-from noteframe.sources.storage import shared_folder
+from noteframe.sources.storage import kept, shared_folder
 from noteframe.streaming import stream
 
 AS_OF_SQL = "timestamp '2024-06-01 00:00:00'"
@@ -257,14 +257,14 @@ def unshare_notes(t: Tables) -> DataFrame:
 
 
 def _deleted(t: Tables) -> dict[str, DataFrame]:
-    names = ("notes", "note_notebooks", "flashcard_sets", "flashcards", "ai_explanations")
+    names = ("notes", "note_notebooks", "flashcard_sets", "flashcards", "ai_summaries", "ai_explanations")
     return changes.delete_notes(t.notes.where("id % 5 = 0").select("id", "owner_id"), {n: getattr(t, n) for n in names})
 
 
 @query(
     "select 'notes' as tbl, count(*) as rows_left, cast(sum(id) as bigint) as ids from notes where id % 5 <> 0 union all select 'note_notebooks', count(*), cast(sum(notebook_id) as bigint) from note_notebooks where note_id % 5 <> 0 or note_id not in (select id from notes) union all "
     "select 'flashcard_sets', count(*), cast(sum(id) as bigint) from flashcard_sets where note_id % 5 <> 0 or note_id not in (select id from notes) union all select 'flashcards', count(*), cast(sum(id) as bigint) from flashcards where set_id in (select id from flashcard_sets where note_id % 5 <> 0 or note_id not in (select id from notes)) union all "
-    "select 'ai_explanations', count(*), cast(sum(id) as bigint) from ai_explanations where note_id % 5 <> 0 or note_id not in (select id from notes)"
+    "select x.tbl, count(*), cast(sum(id) as bigint) from (select 'ai_explanations' as tbl, id, note_id from ai_explanations union all select 'ai_summaries', id, note_id from ai_summaries) x where note_id % 5 <> 0 or note_id not in (select id from notes) group by x.tbl"
 )
 def delete_notes_cascade(t: Tables) -> DataFrame:
     out = _deleted(t)
@@ -365,13 +365,14 @@ def image_manifest(t: Tables) -> DataFrame:
     return media.image_manifest(t.image_blobs)
 
 
-@query("select page_id, cast(octet_length(encode(html)) + 1 as bigint) as length, 'image/jpeg' as media_type from pages")
+@query("select page_id // 100 as part, cast(sum(octet_length(encode(html)) + 1) as bigint) as length, 'image/jpeg' as media_type from pages group by 1")
 def image_files(t: Tables) -> DataFrame:
-    """Files of pages, read as binary files are: their bytes are no image's, so they count as the default kind."""
+    """Files of a hundred pages each, read as binary files are: their bytes are no image's, so they count as the default kind."""
     folder = shared_folder(t.spark, "images")
-    t.pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
-    files = media.read_images(t.spark, f"{folder}/page_id=*/*.txt")
-    return files.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", media.sniff_media_type(F.col("content")).alias("media_type"))
+    part = F.floor(F.col("page_id") / 100).cast("long")
+    t.pages.select(part.alias("part"), F.col("html").alias("value")).repartition("part").write.partitionBy("part").text(folder)
+    files = media.read_images(t.spark, f"{folder}/part=*/*.txt")
+    return files.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "length", media.sniff_media_type(F.col("content")).alias("media_type"))
 
 
 # tables
@@ -388,7 +389,7 @@ def read_tables(t: Tables) -> DataFrame:
 
 @query("select 'notebooks' as tbl, count(*) as n, cast(sum(id) as bigint) as ids from notebooks union all select 'flashcards', count(*), cast(coalesce(sum(id), 0) as bigint) from flashcards union all select 'users', 0, 0")
 def created_tables(t: Tables) -> DataFrame:
-    """Tables created in a new database (twice: those that exist stay), then filled from the views."""
+    """Tables created in a new database (twice: those that exist stay), then filled from the views; the database goes at the end."""
     name = f"noteframe_{uuid.uuid4().hex}"
     t.spark.sql(f"create database {name} location '{shared_folder(t.spark, 'database')}'")
     schemas.create_tables(t.spark, name)
@@ -396,7 +397,9 @@ def created_tables(t: Tables) -> DataFrame:
         schemas.evolve_schema(getattr(t, table), schemas.schema_of(table)).select(*schemas.schema_of(table).names).write.insertInto(f"{name}.{table}")
     schemas.create_tables(t.spark, name)
     parts = [t.spark.table(f"{name}.{x}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids")).select(F.lit(x).alias("tbl"), "n", "ids") for x in ("notebooks", "flashcards", "users")]
-    return parts[0].union(parts[1]).union(parts[2])
+    found = kept(parts[0].union(parts[1]).union(parts[2]), "counts")
+    t.spark.sql(f"drop database {name} cascade")
+    return found
 
 
 @query("select id, cast(null as varchar) as image_key, image_filename, raw_text, owner_id, cast(null as timestamp) as processed_at from notes")

@@ -88,7 +88,7 @@ def highlight_context(t: Tables) -> DataFrame:
 @query(
     "select id, coalesce(nullif(title, ''), case when k > 1 then concat(image_filename, ' (+', k - 1, ' pages)') else image_filename end) as note_title, concat('Flashcards for ', coalesce(title, 'None')) as set_title, "
     "case when length(raw_text) > 80 then concat(substr(raw_text, 1, 80), '...') else raw_text end as short, case when contains(coalesce(image_filename, ''), '.') then regexp_extract(image_filename, '[^.]*$') else 'jpg' end as ext, "
-    "strftime(created_at, '%b %-d, %Y') as created from (select *, id % 3 as k from notes)"
+    "strftime(created_at, '%b %-d, %Y') as created, strftime(created_at, '%b %-d, %Y, %-I:%M %p') as created_time, strftime(created_at, '%B %-d, %Y') as created_long from (select *, id % 3 as k from notes)"
 )
 def titles(t: Tables) -> DataFrame:
     return t.notes.select(
@@ -98,6 +98,8 @@ def titles(t: Tables) -> DataFrame:
         T.ellipsis("raw_text", 80).alias("short"),
         T.file_ext("image_filename").alias("ext"),
         T.fmt_date("created_at").alias("created"),
+        T.fmt_date("created_at", "time").alias("created_time"),
+        T.fmt_date("created_at", "long").alias("created_long"),
     )
 
 
@@ -151,13 +153,15 @@ def parse_categories(t: Tables) -> DataFrame:
 
 @query(
     f"select id as note_id, 'flashcards' as kind, {_SQL(enrich.SYSTEM['flashcards'])} as system, concat({_SQL(enrich.ASK['flashcards'])}, substr(raw_text, 1, 4000)) as \"user\" from notes where raw_text is not null and raw_text <> '' "
+    f"union all select id, 'summary', {_SQL(enrich.SYSTEM['summary'])}, concat({_SQL(enrich.ASK['summary'])}, substr(raw_text, 1, 4000)) from notes where raw_text is not null and raw_text <> '' "
     f"union all select id, 'explain', {_SQL(enrich.SYSTEM['explain'])}, concat('Explain this: ''', substr(title, 1, 500), '''', chr(10), chr(10), 'Context from the note:', chr(10), substr(coalesce(raw_text, ''), 1, 2000)) from notes where title is not null"
 )
 def build_requests(t: Tables) -> DataFrame:
     from noteframe.operators.library import enrichable
 
     explain = t.notes.where("title is not null").select("id", F.col("title").alias("highlighted_text"), F.col("raw_text").alias("context"))
-    return enrich.build_requests(enrichable(t.notes), "flashcards").union(enrich.build_requests(explain, "explain"))
+    found = [enrich.build_requests(enrichable(t.notes), kind) for kind in ("flashcards", "summary")]
+    return found[0].union(found[1]).union(enrich.build_requests(explain, "explain"))
 
 
 @query(

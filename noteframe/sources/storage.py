@@ -18,8 +18,15 @@ def shared_folder(spark: SparkSession, what: str = "stream") -> str:
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """The file system removes the path when the application ends; until then tables read from it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """Written to a shared folder and read back: what is computed once stays as it is, whatever executors are lost."""
+    """Written to a shared folder and read back: what is computed once stays as it is, whatever executors are lost, until the application ends."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
