@@ -187,13 +187,15 @@ def _sides() -> tuple[Column, Column]:
     return F.contains(region_of(), F.lit("left")), F.contains(region_of(), F.lit("right"))
 
 
-def band_stats(banded: DataFrame) -> DataFrame:
-    """Per band: elements, words and elements left and right without metadata, span of y, elements at neither side, least x."""
+def _sided(banded: DataFrame) -> DataFrame:
     left, right = _sides()
     rows = banded if "_meta" in banded.columns else described(banded)
-    rows = rows.withColumns({"_left": left, "_right": right})
+    return rows.withColumns({"_left": left, "_right": right})
+
+
+def _band_aggregates() -> list[Column]:
     words = lambda side: F.coalesce(F.sum(F.when(F.col(side) & ~F.col("_meta"), F.col("_words"))), F.lit(0))
-    return rows.groupBy("page_id", "band").agg(
+    return [
         F.count(F.lit(1)).alias("elements"),
         F.count_if("_left").alias("left_elements"),
         F.count_if("_right").alias("right_elements"),
@@ -205,7 +207,12 @@ def band_stats(banded: DataFrame) -> DataFrame:
         F.count_if(~F.col("_left") & ~F.col("_right")).alias("centre_elements"),
         F.min(F.when(F.col("_left"), F.coalesce("x_percent", F.lit(0.0)))).alias("left_x"),
         F.min(F.when(F.col("_right"), F.coalesce("x_percent", F.lit(50.0)))).alias("right_x"),
-    )
+    ]
+
+
+def band_stats(banded: DataFrame) -> DataFrame:
+    """Per band: elements, words and elements left and right without metadata, span of y, elements at neither side, least x."""
+    return _sided(banded).groupBy("page_id", "band").agg(*_band_aggregates())
 
 
 def should_render_as_columns(layout: Column) -> Column:
@@ -220,13 +227,16 @@ def should_render_as_columns(layout: Column) -> Column:
 
 
 def build_page_html(elements: DataFrame, pages: DataFrame, escape: bool = False) -> DataFrame:
-    """page_id and html of every page that has elements, which come in their final order `ord`."""
-    left, right = _sides()
-    banded = assign_bands(described(elements))
-    stats = band_stats(banded).join(pages.select("page_id", F.coalesce("page_layout", F.lit("unknown")).alias("page_layout")), "page_id", "left")
-    stats = stats.select("page_id", "band", F.coalesce(should_render_as_columns(F.col("page_layout")), F.lit(False)).alias("columns"), "left_x", "right_x")
-    item = F.struct("ord", element_to_html(escape).alias("html"), F.col("_meta").alias("meta"), left.alias("left"), right.alias("right"), y_of().alias("y"), (T.filled("type") == "header").alias("header"))
-    bands = banded.groupBy("page_id", "band").agg(F.array_sort(F.collect_list(item)).alias("items")).join(stats, ["page_id", "band"])
+    """page_id and html of every page that has elements, which come in their final order `ord`.
+
+    A band's elements and what decides about its columns come out of one aggregate; bands, and then pages, are put together
+    where the windows by page left them, so the elements cross the network once.
+    """
+    rows = _sided(assign_bands(described(elements)))
+    item = F.struct("ord", element_to_html(escape).alias("html"), F.col("_meta").alias("meta"), F.col("_left").alias("left"), F.col("_right").alias("right"), y_of().alias("y"), (T.filled("type") == "header").alias("header"))
+    bands = rows.groupBy("page_id", "band").agg(F.array_sort(F.collect_list(item)).alias("items"), *_band_aggregates())
+    layout = pages.select("page_id", F.coalesce("page_layout", F.lit("unknown")).alias("page_layout"))
+    bands = bands.join(layout, "page_id", "left").withColumn("columns", F.coalesce(should_render_as_columns(F.col("page_layout")), F.lit(False)))
     joined = lambda c: F.array_join(F.transform(c, lambda e: e["html"]), "")
     side = lambda keep: joined(F.filter("items", keep))
     middle = F.transform(F.filter("items", lambda e: ~e["left"] & ~e["right"]), lambda e: F.struct(e["y"].alias("y"), e["ord"].alias("ord"), e["html"].alias("html")))
