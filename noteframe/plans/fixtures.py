@@ -84,7 +84,7 @@ select conv_id, kind, case kind
   when 2 then concat('{"cards": ', arr, '}')
   when 3 then concat('{"note": 1, "items": ', arr, '}') else 'no cards' end as response
 from (select conv_id, conv_id % 5 as kind, concat('[{"question": "', t, '", "answer": "a1"}, {"question": "q2", "answer": "', t, '"}]') as arr
- from (select conv_id, regexp_replace(text, '[^A-Za-z ]', '') as t from conversations where turn = 0) x) y
+ from (select conv_id * 1000 + turn as conv_id, regexp_replace(text, '[^A-Za-z ]', '') as t from conversations) x) y
 """,
     "logins": r"""
 select c_custkey as login_id,
@@ -131,7 +131,7 @@ select conv_id, kind, case kind
   when 2 then concat('{"cards": ', arr, '}')
   when 3 then concat('{"note": 1, "items": ', arr, '}') else 'no cards' end as response
 from (select conv_id, conv_id % 5 as kind, concat('[{"question": "', t, '", "answer": "a1"}, {"question": "q2", "answer": "', t, '"}]') as arr
- from (select conv_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') as t from conversations where turn = 0) x) y
+ from (select conv_id * 1000 + turn as conv_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') as t from conversations) x) y
 """,
     "ocr_elements": r"""
 select page_id, ord, content,
