@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from noteframe.llm.tokens import BASE, groups, mix, powers, prefix_hashes, span_
 
 #: Bytes that end a piece, and bytes that end a word within one.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
+#: Rows that a task gives to the JVM at once.
+ROWS = 65_536
 #: What is locally frequent is told to the counting tasks by two bitmaps of so many bits, whatever the size of the tables: 16 MB.
 FILTER_BITS = 26
 #: A part with one in SHARE of all words is sent to all tasks when parts are looked up; there are fewer than 2 * SHARE of them.
@@ -43,9 +45,10 @@ class Phrases:
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])])
         coded = words.dictionary_encode()
         self.words, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.langs, lang = np.unique(np.array(langs, object).astype(str), return_inverse=True)
+        named = pa.array(langs, pa.string()).dictionary_encode()
+        self.langs, lang = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False)
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-        self.lang = lang[text].astype(np.int64)
+        self.lang = lang.astype(np.int64)[text]
         self.longest = longest
 
     def hashes(self) -> np.ndarray:
@@ -54,63 +57,90 @@ class Phrases:
         stops = np.cumsum(sizes)
         return span_hashes(prefix_hashes(np.frombuffer(b"".join(self.words.to_pylist()), np.uint8)), stops - sizes, stops)
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each size: size, the place of one occurrence of each distinct phrase, its language's number, its count."""
-        n, v = len(self.code), max(1, len(self.words))
-        at, run = np.arange(n), self.lang  # where phrases begin, and the number of (language, words so far)
+    def levels(self, allowed: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size: keys of the distinct phrases, the place of one occurrence of each, its language's number, its count.
+
+        With `allowed`, a test of keys, only phrases whose words but the last and words but the first both pass are looked at.
+        """
+        n, v, hashes = len(self.code), max(1, len(self.words)), self.hashes()
+        at, run, passed = np.arange(n), self.lang, None  # where phrases begin, and the number of (language, words so far)
         for size in range(1, self.longest + 1):
             if size > 1:
                 fits = at + size <= n
+                fits[fits] = self.piece[at[fits] + size - 1] == self.piece[at[fits]]
+                if passed is not None:
+                    good = np.zeros(n, bool)
+                    good[at] = passed[run]
+                    fits &= good[at] & good[np.minimum(at + 1, n - 1)]
                 at, run = at[fits], run[fits]
-                fits = self.piece[at + size - 1] == self.piece[at]
-                at, run = at[fits], run[fits]
-            _, first, run, count = np.unique(run * v + self.code[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
-            yield size, at[first], self.lang[at[first]], count
+            coded = pa.array(run * v + self.code[at + size - 1]).dictionary_encode()
+            run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            count = np.bincount(run, minlength=len(coded.dictionary))
+            first = np.zeros(len(count), np.int64)
+            first[run] = at
+            keys = self.keys(size, first, self.lang[first], hashes)
+            if allowed is not None:
+                passed = allowed(keys)
+            yield size, keys, first, self.lang[first], count
 
     def keys(self, size: int, at: np.ndarray, lang: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """64-bit hashes of phrases with their language."""
+        """Hashes of phrases with their language; the lowest four bits are free for a shard."""
         salts = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "little") for x in self.langs], np.uint64)
         total = salts[lang] + np.uint64(size)
         for k in range(size):
             total += hashes[self.code[at + k]] * powers(BASE, 64)[k + 1]
-        return mix(total)
+        return mix(total) & ~np.uint64(15)
+
+
+def in_rows(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of ROWS rows: what is handed over at once stays small."""
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, len(whole), ROWS):
+        yield whole.slice(at, ROWS)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().cast("binary").alias("text"))
 
 
-def locally_frequent(docs: DataFrame, support: int, longest: int, shards: int) -> DataFrame:
-    """Hashes of all phrases that stand `support / shards` times or more, rounded up, in one shard at least.
+def locally_frequent(docs: DataFrame, support: int, longest: int, shards: int) -> np.ndarray:
+    """Bitmaps of all phrases that stand `support / shards` times or more, rounded up, in one shard at least.
 
-    The corpus is dealt into shards by its scan's tasks, and each shard is mined completely: every phrase of it is counted. If a
-    phrase stayed under that number in all shards, it would stay under `support` in all, so none that is frequent is missed.
-    A hash that several phrases share only lets more through.
+    The corpus is dealt into shards (16 at most) by its scan's tasks, and each shard is mined completely, level by level: words and
+    pairs, then longer phrases of which both parts that are one word shorter are frequent somewhere. If a phrase stayed
+    under that number in all shards, it would stay under `support` in all, so none that is frequent is missed. A hash
+    that several phrases share only lets more through.
     """
+    local, bits = -(-support // shards), np.zeros((2 << FILTER_BITS) // 8, np.uint8)
+    texts = texts_of(docs)
+    for sizes in ((1, 2), *((n,) for n in range(3, longest + 1))):
+        counts = texts.mapInArrow(_mining(texts.sparkSession.sparkContext.broadcast(bits) if sizes[0] > 1 else None, sizes, shards), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        bits |= bitmaps(counts.where(F.col("n") >= local).select(F.col("key").bitwiseAND(F.lit(-16)).alias("hash")))
+    return bits
+
 
+def _mining(bits: Broadcast | None, sizes: tuple[int, ...], shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % shards
+        shard = np.uint64(TaskContext.get().partitionId() % shards)
+        allowed = None if bits is None else lambda keys: has_bits(bits.value, keys)
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
-                p = Phrases(sub.column("text").to_pylist(), sub.column("lang").to_pylist(), longest)
-                hashes = p.hashes()
-                for size, at, lang, count in p:
-                    key = p.keys(size, at, lang, hashes)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard, np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["shard", "hash", "n"])
+                p = Phrases(sub.column("text").to_pylist(), sub.column("lang").to_pylist(), sizes[-1])
+                for size, keys, _, _, count in p.levels(allowed):
+                    if size in sizes:
+                        yield from in_rows([pa.array((keys | shard).view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
 
-    local = -(-support // shards)
-    counts = texts_of(docs).mapInArrow(run, "shard int, hash long, n long").groupBy("hash", "shard").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= local).select("hash")
+    return run
 
 
 def bitmaps(hashes: DataFrame) -> np.ndarray:
     """Two bitmaps that have a bit for each hash, from its lower and its upper bits; built by Spark in blocks of 4 KB."""
-    low = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    low = F.shiftrightunsigned("hash", 4).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     high = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     bits = hashes.select(F.explode(F.array(low, high + F.lit(1 << FILTER_BITS))).alias("bit"))
     blocks = bits.groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
     out = np.zeros((2 << FILTER_BITS) // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # 4096 blocks at most
+    for r in blocks.collect():  # 4096 blocks at most
         out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -118,7 +148,7 @@ def bitmaps(hashes: DataFrame) -> np.ndarray:
 def has_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     low, high = np.split(bits, 2)
     found = np.ones(len(hashes), bool)
-    for part, bit in ((low, hashes & np.uint64((1 << FILTER_BITS) - 1)), (high, hashes >> np.uint64(64 - FILTER_BITS))):
+    for part, bit in ((low, hashes >> np.uint64(4) & np.uint64((1 << FILTER_BITS) - 1)), (high, hashes >> np.uint64(64 - FILTER_BITS))):
         found &= (part[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return found
 
@@ -135,15 +165,15 @@ def counted(docs: DataFrame, bits: np.ndarray, support: int, longest: int) -> Da
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
                 p = Phrases(sub.column("text").to_pylist(), sub.column("lang").to_pylist(), longest)
-                hashes, langs = p.hashes(), pa.array(p.langs, pa.string())
+                langs = pa.array(p.langs, pa.string())
                 total = np.bincount(p.lang, minlength=len(p.langs))
                 yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([b""] * len(langs), pa.binary()), pa.array(total.astype(np.int64))], names)
-                for size, at, lang, count in p:
-                    keep = has_bits(shared.value, p.keys(size, at, lang, hashes))
+                for size, keys, at, lang, count in p.levels(lambda keys: has_bits(shared.value, keys)):
+                    keep = has_bits(shared.value, keys)
                     at, lang, count = at[keep], lang[keep], count[keep]
                     words = [p.words.take(pa.array(p.code[at + k])) for k in range(size)]
                     phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if size > 1 else words[0]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(at), size, np.int32)), phrase.cast(pa.binary()), pa.array(count.astype(np.int64))], names)
+                    yield from in_rows([langs.take(pa.array(lang)), pa.array(np.full(len(at), size, np.int32)), phrase.cast(pa.binary()), pa.array(count.astype(np.int64))], names)
 
     found = texts_of(docs).mapInArrow(run, "lang string, size int, phrase binary, f long")
     sums = found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
@@ -155,11 +185,11 @@ def collocations(docs: DataFrame, support: int = 10, longest: int = 3, top: int
 
     Phrases of 2 to `longest` words that stand `support` times or more are scored by their weakest cut,
     floor(1000000 a² / (l r)); those that lie in a longer one which has `covered` percent of their count are dropped. Counts
-    are exact as long as they are under 4e15. Null languages are `und`, null and empty texts have no words;
+    are exact as long as they are under 4e15; `shards` is 16 at most. Null languages are `und`, null and empty texts have no words;
     repeated documents count each; other columns are ignored. An empty table gives no row.
     """
     docs = docs.select("lang", "text")
-    counts = stored(counted(docs, bitmaps(locally_frequent(docs, support, longest, shards)), support, longest), "phrases")
+    counts = stored(counted(docs, locally_frequent(docs, support, longest, shards), support, longest), "phrases")
     totals = counts.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     words = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 

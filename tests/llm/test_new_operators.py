@@ -132,7 +132,7 @@ def brute_collocations(rows, support, longest, top, covered):
 
 PHRASES = [
     ("en", "the cat sat. The cat sat! the cat; ran the\tcat sat"), ("en", "a a a a a a"), (None, "x Y z, x y z\nx y z\x0bx y"), ("und", "x y Z"), ("en", None), ("en", ""), ("fr", "É é É é. É é"),
-    ("en", "new york city new york city new york times"), ("", "the cat the cat the cat"), ("en", "no-break space no-break space tab\ttab\ttab"), ("de", " .,;:!? "),
+    ("en", "new york city new york city new york times"), ("", "the cat the cat the cat"), ("en", "no-break space no-break space tab\ttab\ttab"), ("de", " .,;:!? "), ("l" * 5000 + "\0", "a b a b a b"),
 ]
 
 
