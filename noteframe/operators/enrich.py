@@ -145,11 +145,11 @@ def enrich(requests: DataFrame, model: Callable[[str, str], str], tries: int = 3
 
 def read_flashcards(responses: DataFrame) -> DataFrame:
     """note_id, place, question, answer of every card in the responses; responses without cards give no rows."""
-    cards = J.parse_flashcards(J.repair_json(J.join_response("response")))
+    cards = J.parse_flashcards(T.bound(J.join_response("response"), J.repair_json))
     return responses.select("note_id", F.posexplode(cards).alias("place", "card")).select("note_id", "place", "card.question", "card.answer")
 
 
 def read_categories(responses: DataFrame) -> DataFrame:
     """note_id, subject, topic, tags; a response that is no object leaves the note out."""
-    got = J.parse_categories(J.repair_json(J.join_response("response")))
+    got = J.parse_categories(T.bound(J.join_response("response"), J.repair_json))
     return responses.select("note_id", got.alias("c")).where("c is not null").select("note_id", "c.subject", "c.topic", "c.tags")
