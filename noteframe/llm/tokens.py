@@ -72,14 +72,20 @@ class Group:
 
     def combined(self, offsets: list[int], salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words at which the span of `offsets` lies within one text, and a hash of the words at the offsets."""
-        span, n = offsets[-1] + 1, len(self.words)
-        if n < span:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n - span + 1, salt, np.uint64)
-        for k, o in enumerate(offsets):
-            total += self.words[o : n - span + 1 + o] * powers(BASE, 64)[k + 1]
-        at = np.flatnonzero(self.owner[: n - span + 1] == self.owner[span - 1 :])
-        return at, mix(total[at])
+        at, hashes = combined(self.words, offsets, salt)
+        within = np.flatnonzero(self.owner[at] == self.owner[at + offsets[-1]])
+        return at[within], hashes[within]
+
+
+def combined(words: np.ndarray, offsets: list[int], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sequence of words at which the span of `offsets` fits, and a hash of the words at the offsets."""
+    n = len(words) - offsets[-1]
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.full(n, salt, np.uint64)
+    for k, o in enumerate(offsets):
+        total += words[o : n + o] * powers(BASE, 64)[k + 1]
+    return np.arange(n), mix(total)
 
 
 def groups(batch: pa.RecordBatch, size: int, column: str = "text"):

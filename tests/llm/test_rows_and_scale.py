@@ -113,6 +113,53 @@ def test_decontamination_without_and_with_repeated_ids(spark, monkeypatch, sent)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in got) == [(False, 1, 9), (False, 2, 9), (True, 0, 9)]
 
 
+@pytest.mark.parametrize("sent", [20_000, 500_000])
+def test_a_phrase_of_many_items_and_many_documents(spark, monkeypatch, sent):
+    """All items and all documents share one phrase; only the item that a document holds is found, in one block of items or in many."""
+    monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
+    phrase = "what is the value of the"
+    items = [(k, f"{phrase} " + " ".join(f"i{k}x{j}" for j in range(12))) for k in range(1500)]
+    docs = [(k, f"before {phrase} day " + (items[k][1] if k % 3 == 0 else "and so on") + f" {phrase}") for k in range(1500)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(0, 1500, 3)]
+    assert {(r.shift, r.matched, r.compared, r.best) for r in found} == {(8, 18, 18, 16)}
+
+
+def test_overlays_in_small_parts_against_brute_force(monkeypatch):
+    """Every item's best overlay, whatever the sizes of the parts that are compared together."""
+    rng = np.random.default_rng(11)
+    items = [rng.integers(1, 9, n).astype(np.uint64) for n in (3, 5, 16, 17, 40)]
+    made = [(decontaminate.combined(t, decontaminate.salted(m)[1], decontaminate.salted(m)[0]), k) for k, t in enumerate(items) for m in decontaminate.masks_of(min(16, len(t)), 0.8)]
+    hashes, at, item = (np.concatenate(x) for x in zip(*[(h, a, np.full(len(a), k)) for (a, h), k in made], strict=True))
+    order, count = np.argsort(hashes, kind="stable"), np.array([len(t) for t in items])
+    block = decontaminate.Block(None, np.concatenate(items), np.cumsum(count) - count, count, hashes[order], item[order], at[order])
+    masks = sorted({m for t in items for m in decontaminate.masks_of(min(16, len(t)), 0.8)})
+    for n in (0, 2, 3, 30, 300):
+        doc, want = rng.integers(1, 9, n).astype(np.uint64), {}
+        doc = np.concatenate([doc, items[4][5:33], doc])
+        for k, t in enumerate(items):
+            size = min(16, len(t))
+            for shift in range(-len(t) + size, len(doc) - size + 1):
+                low, high = max(0, -shift), min(len(t), len(doc) - shift)
+                equal = [int(doc[p + shift] == t[p]) for p in range(low, high)]
+                best = max(sum(equal[p : p + size]) for p in range(len(equal) - size + 1)) if len(equal) >= size else 0
+                if best >= 0.8 * size:
+                    want[k] = max(want.get(k, (-1,)), (sum(equal), best, -shift, high - low))
+        for together in (1, 7, 100_000):
+            monkeypatch.setattr(decontaminate, "OVERLAYS", together)
+            monkeypatch.setattr(decontaminate, "CELLS", together)
+            got = {int(r[0]): tuple(int(x) for x in r[1:]) for r in block.search(doc, masks, 16, 0.8).T}
+            assert got == want and 4 in got
+
+
+def test_items_of_one_and_two_words_where_they_are_asked_for(spark):
+    items = spark.createDataFrame([("one", "alone"), ("two", "short item"), (None, "no id at all"), ("none", " ")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "A short item."), (2, "short, no item"), (3, "ALONE"), (4, "with no id at all"), (5, None), (6, "")], "doc_id int, text string")
+    for least, more in ((3, set()), (2, {(1, "two")}), (1, {(1, "two"), (3, "one")})):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, least=least).collect()}
+        assert got == {(4, None)} | more
+
+
 # the pipeline
 
 
