@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteframe.llm.common import stored, table, text_of
@@ -138,8 +137,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     model = Model.fresh(10 + len(KINDS) + BUCKETS, prior, rng)
     if not len(labels):
         return model
-    everything = np.concatenate(bags)
-    model.p["mean"], model.p["scale"] = everything.mean(0), everything.std(0) + 0.02
+    # every text counts once, however many passages it has
+    mean = np.mean([b.mean(0, dtype=np.float64) for b in bags], axis=0)
+    model.p["mean"], model.p["scale"] = mean, np.sqrt(np.mean([((b - mean) ** 2).mean(0) for b in bags], axis=0)) + 0.02
     names = [k for k in model.p if k not in ("mean", "scale")]
     m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     for epoch in range(epochs):
@@ -165,8 +165,8 @@ def is_held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, passages: int = 200_000) -> Model:
     """Learn from labelled rows that are not held out, at most `sample` of them, those of the smallest hashes of their ids.
 
-    `sample` and `passages` bound what the driver holds: rows are taken whole, in the order of their hashes, as long as
-    they hold `passages` passages in all (40 MB); a row of over a hundredth of that is not learnt from. Labels that are null or
+    `sample` and `passages` bound what the driver holds: rows are taken whole, in the order of their hashes, each that
+    still fits into `passages` passages in all (40 MB), so only a row that would pass this bound is passed over. Labels that are null or
     without a document are not used; without labels every score is one half. Where ids repeat, each row counts; the
     order does not depend on how the tables are split, so neither does the model.
     """
@@ -184,12 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     turn = F.struct(F.xxhash64("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     found = stored(rows.select(turn.alias("turn"), "label", "text").mapInArrow(run, "turn struct<id: long, text: long>, label double, passages long, bag binary"), "bags")
-    found = found.where(F.col("passages") <= passages // 100)
-    first = found.select("turn", "label", "passages").orderBy("turn", "label").limit(sample)
-    first = first.withColumn("upto", F.sum("passages").over(W.orderBy("turn", "label").rowsBetween(W.unboundedPreceding, 0)))  # `sample` rows at most
-    last = first.where(F.col("upto") <= passages).agg(F.max(F.struct("turn", "label")).alias("m")).first()["m"]
-    fits = F.struct("turn", "label") <= F.struct(F.struct(F.lit(last["turn"]["id"]).alias("id"), F.lit(last["turn"]["text"]).alias("text")).alias("turn"), F.lit(last["label"]).alias("label")) if last else F.lit(False)
-    found = sorted(found.where(fits).select("turn", "label", "bag").collect(), key=lambda r: (r["turn"], r["label"]))
+    key = ["turn", "label"]
+    alike = found.groupBy(*key, "passages").count().orderBy(*key).limit(sample).collect()  # numbers only; rows that repeat are taken together
+    room, taken = passages, []
+    for r in alike:
+        if r["passages"] * r["count"] <= room:
+            room -= r["passages"] * r["count"]
+            taken.append((r["turn"], r["label"]))
+    chosen = docs.sparkSession.createDataFrame(taken, found.select(*key).schema)
+    found = sorted(found.join(F.broadcast(chosen), key).select(*key, "bag").collect(), key=lambda r: (r["turn"], r["label"]))
     width = 10 + len(KINDS) + BUCKETS
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, width) for r in found], np.array([r["label"] for r in found]))
 

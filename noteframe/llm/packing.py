@@ -26,6 +26,18 @@ MAX_BASES = 100_000
 #: Texts are tokenised in groups of about so many characters, and packed in groups of about so many tokens.
 GROUP_CHARS, GROUP_TOKENS = 1_000_000, 5_000_000
 
+#: Sentences that tell whether a tokenizer works word by word: white space of all kinds, marks, cases, digits, letters beyond ASCII.
+PROBES = (
+    "The quick, brown fox. It jumped over the lazy dog, then slept.",
+    " THE Quick,fox.It  jumped   over\nthe\tlazy\r\ndog ",
+    "don't re-use e.g. 3.14, 1,000 or x_y. (Yes!) [no] a/b \"c\" $5",
+    "Ärger über Öl, élan vital. Straße ÇA. \u0130stanbul \u4e2d\u6587 text",
+    "",
+    " ",
+    "a",
+    ". , .",
+)
+
 
 class Words:
     """Ids of whole texts, from a tokenizer that drops white space and never joins across it.
@@ -34,7 +46,8 @@ class Words:
     only unseen ones are encoded. A comma or full stop behind a letter is a token by itself and case does not matter, so
     such forms share the ids of the bare word; that is used within Latin-1 only, where lower case has no exceptions.
     Bare words are encoded many at a time and told apart by the ids that end a word. Texts that hold a special token's
-    opening "<|" are encoded whole, as special tokens are found before words are. A worker process keeps its tokenizer and
+    opening "<|" are encoded whole, as special tokens are found before words are; so are all texts if the tokenizer breaks
+    these rules on the sentences of PROBES. A worker process keeps its tokenizer and
     the words that it met first: most rarer ones of the next task are new, so they are forgotten at a task's end.
     """
 
@@ -49,6 +62,11 @@ class Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"  # what ids are stored as
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_words = True
+        probed, said = self.ids(list(PROBES), 0)
+        whole = [x + np.array([0], "<u4").tobytes() for x in self.encode(list(PROBES))]
+        self.by_words = said == b"".join(whole) and probed.tolist() == [len(x) // 4 for x in whole]
+        self.known = {}
 
     @classmethod
     def at(cls, path: str) -> Words:
@@ -92,6 +110,9 @@ class Words:
 
     def ids(self, texts: list[str], end: int) -> tuple[np.ndarray, bytes]:
         """Ids of each text and `end`, four bytes each, end to end; and how many a text has."""
+        if not self.by_words:
+            found = [x + np.array([end], "<u4").tobytes() for x in self.encode(texts)]
+            return np.array([len(x) // 4 for x in found], np.int64), b"".join(found)
         split = [None if "<|" in x else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.known) > CACHED_WORDS:
             self.forget()
@@ -164,15 +185,26 @@ class Schedule:
 
     def places(self, own: int, quanta: np.ndarray) -> np.ndarray:
         """Tokens that leave before the given quanta (numbers counted from 0) of the queue of that number."""
-        wide = max(self.quanta) ** 2 > 2**61
-        c, out = quanta.astype(object if wide else np.int64) * 2 + 1, 0
+        c, out = quanta.astype(np.int64) * 2 + 1, 0
         for other, (m, n) in enumerate(zip(self.quanta, self.tokens, strict=True)):
-            earlier = (c * m - (0 if other < own else 1)) // self.quanta[own]
+            earlier = times_over(c, m, self.quanta[own], 0 if other < own else 1)
             sent = quanta if other == own else (earlier + 1) // 2
             out = out + np.minimum(sent * self.quantum, n)
         return np.asarray(out, np.int64)
 
 
+def times_over(c: np.ndarray, m: int, d: int, less: int) -> np.ndarray:
+    """(c * m - less) // d for c below 2 * d, exactly: the product may pass 64 bits, no step here does while d is below 2**40."""
+    if m * d < 2**61:
+        return (c * m - less) // d
+    if d >= 2**40:
+        return np.array([(int(x) * m - less) // d for x in c], np.int64)
+    whole, rest = divmod(m, d)
+    upper, lower = c >> 20, c & ((1 << 20) - 1)
+    times, left = np.divmod(upper * rest, d)
+    return c * whole + (times << 20) + ((left << 20) + lower * rest - less) // d
+
+
 def token_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of about GROUP_TOKENS tokens (doc_tokens) at a time; none is empty."""
     for batch in batches:

@@ -6,6 +6,7 @@ import random
 import re
 import string
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -274,7 +275,25 @@ def test_classifier_against_plain_python(spark):
     got = {r.doc_id: r.score for r in classifier.score(docs, model).collect()}
     for r in docs.where("n_chars < 3000").limit(60).collect():
         assert abs(got[r.doc_id] - slow_score(model, r.text)) < 1e-6
-    assert classifier.fit(docs, labels, passages=100).p["encode"].shape == model.p["encode"].shape
+    few = classifier.fit(docs, labels, passages=100)
+    assert not np.array_equal(few.p["encode"], model.p["encode"]) and np.isfinite(few.p["encode"]).all()
+
+
+def test_long_texts_are_learnt_from_and_only_the_bound_on_passages_leaves_rows_out(spark, monkeypatch):
+    seen = []
+    learn = classifier.train
+    monkeypatch.setattr(classifier, "train", lambda bags, y: seen.append((sorted(len(b) for b in bags), sorted(y))) or learn(bags, y))
+    rows = [(k, "word " * 64 * n) for k, n in ((1, 1), (3, 3000), (4, 2), (5, 150), (6, 1), (6, 1), (9, 40))]
+    used = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 3, 4, 5, 6, 9, 77)], "doc_id long, quality int")
+    sizes = [len(t.split()) // 64 for k, t in rows if k in used]
+    classifier.fit(docs, labels)
+    assert seen.pop() == (sorted(sizes), sorted(float(k % 2) for k in used)) and 3000 in sizes
+    classifier.fit(docs, labels, passages=200)
+    assert sum(seen[-1][0]) <= 200 and 3000 not in seen[-1][0] and seen.pop()[0].count(1) >= sizes.count(1) - 1
+    classifier.fit(docs, labels, passages=0)
+    assert seen.pop() == ([], [])
 
 
 def test_rows_without_ids_are_shuffled_and_clashing_columns_pass(spark):
@@ -302,6 +321,36 @@ def test_recall_of_near_copies_in_a_large_group(spark):
     assert Counter(cls.values()).most_common(1)[0] == (300, 600) and sum(cls[k] == k for k in range(300)) == 300
 
 
+def test_places_beyond_64_bits():
+    """Totals of 100 TB of text: the two steps give what whole numbers of any size give."""
+    rng = random.Random(4)
+    for top in (10**6, 2**31, 2**35, 2**39, 2**41):
+        for _ in range(20):
+            m, d, less = rng.randrange(1, top), rng.randrange(1, top), rng.randrange(2)
+            c = np.array([1, 2 * d - 1, *(2 * rng.randrange(d) + 1 for _ in range(50))], np.int64)
+            assert packing.times_over(c, m, d, less).tolist() == [(int(x) * m - less) // d for x in c]
+    schedule = packing.Schedule({"a": 10**13 + 7, "b": 3 * 10**13, "c": 5}, 256)
+    quanta = np.array([0, 1, 10**9, schedule.quanta[0] - 1])
+    at = schedule.places(0, quanta)
+    assert at.dtype == np.int64 and (np.diff(at) > 0).all() and abs(at[-1] - 4 * 10**13) < 2048
+
+
+def test_tokenizers_that_join_across_words_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.Words(path).by_words
+    joined = Tokenizer.from_file(path)
+    joined.normalizer = normalizers.Replace(", ", " comma ")  # a rule that looks across white space
+    joined.save(str(tmp_path / "joined.json"))
+    store, texts = packing.Words(str(tmp_path / "joined.json")), ["One, two.", "", "three, Four five"]
+    assert not store.by_words
+    counts, data = store.ids(texts, 2)
+    expected = [[*joined.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert counts.tolist() == [len(x) for x in expected] and np.frombuffer(data, "<u4").tolist() == [i for x in expected for i in x]
+
+
 def test_packing_words_kept_or_forgotten_give_the_same_ids(monkeypatch):
     import public_tokenizers
 
