@@ -11,6 +11,7 @@ from noteframe.functions import text as T
 from noteframe.operators import accounts, changes, library
 from noteframe.operators.ordered import numbered, running
 from noteframe.plans import maintenance_queries as M
+from noteframe.plans import registry
 from noteframe.plans.fixtures import Tables
 from noteframe.streaming import stream
 
@@ -165,6 +166,13 @@ def test_notes_outside_are_those_of_requests(spark):
     assert sorted((r.notebook_id, r.note_id) for r in got.collect()) == sorted((3, r.id) for r in t.notes.where("owner_id = 3").collect() if r.id not in inside)
 
 
+def test_notes_outside_name_their_owner(spark):
+    rows = registry.queries()["notes_not_in_notebook"](spark, SF)
+    owner = {r.id: r.owner_id for r in Tables(spark, SF).notes.collect()}
+    assert rows.columns == ["notebook_id", "note_id", "owner_id", "title"]
+    assert all(r.owner_id == owner[r.note_id] for r in rows.collect()) and not rows.isEmpty()
+
+
 def test_a_batch_that_runs_again_keeps_its_ids(spark, tmp_path):
     notes = spark.createDataFrame([(41, 2, "old")], "id long, owner_id long, title string")
     table, page = f"{tmp_path}/notes", '{"page_layout": "mixed", "raw_text": "hello", "elements": [{"type": "label", "content": "hello"}]}'
