@@ -173,6 +173,12 @@ def test_notes_outside_name_their_owner(spark):
     assert all(r.owner_id == owner[r.note_id] for r in rows.collect()) and not rows.isEmpty()
 
 
+def test_each_page_is_an_image_file(spark):
+    got = registry.queries()["image_files"](spark, SF).collect()
+    size = {r.page_id: len((r.html or "").encode()) + 1 for r in Tables(spark, SF).pages.collect()}
+    assert len(got) == len(size) and {r.page_id: r.length for r in got} == size
+
+
 def test_a_batch_that_runs_again_keeps_its_ids(spark, tmp_path):
     notes = spark.createDataFrame([(41, 2, "old")], "id long, owner_id long, title string")
     table, page = f"{tmp_path}/notes", '{"page_layout": "mixed", "raw_text": "hello", "elements": [{"type": "label", "content": "hello"}]}'
