@@ -34,7 +34,7 @@ CELL = 2048
 FREQUENT = 1 / 1000
 #: The least weight of a frequent shingle, as a share of a rare one's.
 LEAST_WEIGHT = 0.7
-#: Frequent shingles that tasks hold at most (16 bytes each), and bits of the table that sets rare ones aside.
+#: Frequent shingles that tasks hold at most (16 bytes each; those of more come with the texts), and bits of the table that sets rare ones aside.
 MAX_FREQUENT, SKETCH_BITS = 500_000, 21
 GROUP_BYTES = 256_000
 #: Shingles of rows in large buckets are counted in a table of 2**ORDER_BITS; it only sets in which order they are looked at.
@@ -64,12 +64,18 @@ SALTS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.ui
 
 @dataclass
 class Frequencies:
-    """How many of `documents` hold each of the frequent shingles, those that `least` documents hold at least."""
+    """How many of `documents` hold each of the frequent shingles, those that `least` documents hold at least.
+
+    Where they are more than MAX_FREQUENT, the rarer ones are rows of `more` (shingle, n); only shingles whose bucket is
+    marked in `may` can be frequent.
+    """
 
     documents: int
     least: int
     hashes: np.ndarray  # ascending
     counts: np.ndarray
+    may: np.ndarray
+    more: DataFrame | None = None
 
 
 @dataclass
@@ -77,15 +83,29 @@ class Idf:
     """Inverse document frequencies: of the frequent shingles their own, of all others that of the rarest frequent ones."""
 
     hashes: np.ndarray
-    values: np.ndarray
+    counts: np.ndarray
+    documents: int
     rest: float
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), self.rest)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.values[at], self.rest)
+    def value(self, counts: np.ndarray) -> np.ndarray:
+        """But no less than LEAST_WEIGHT of that of rare shingles: see idf_of."""
+        return np.log((self.documents + 1.0) / (counts + 0.5)).clip(LEAST_WEIGHT * self.rest, self.rest)
+
+    def of(self, hashes: np.ndarray, own: list[pa.ListArray] = ()) -> np.ndarray:
+        """own: shingles (shingle, n) of the texts that frequencies of their own come with."""
+        out = np.full(len(hashes), self.rest)
+        parts = [tuple(x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten()) for part in own if part.null_count < len(part)]
+        tables = [(self.hashes, self.counts)]
+        if parts:
+            found, first = np.unique(np.concatenate([a for a, _ in parts]).view(np.uint64), return_index=True)
+            tables.append((found, np.concatenate([n for _, n in parts])[first]))
+        for known, counts in tables:
+            if len(known):
+                at = np.searchsorted(known, hashes)
+                at[at == len(known)] = 0
+                same = np.flatnonzero(known[at] == hashes)
+                out[same] = self.value(counts[at[same]])
+        return out
 
 
 def document_frequencies(docs: DataFrame) -> Frequencies:
@@ -93,35 +113,58 @@ def document_frequencies(docs: DataFrame) -> Frequencies:
 
     A first pass adds up how often shingles of each of 2**SKETCH_BITS buckets stand in all texts, which is no less than
     any one's document frequency; a second counts the documents of those whose bucket reaches the bound. So what is
-    shuffled and sent to tasks follows from FREQUENT, and not from how many shingles the corpus has. Should more than
-    MAX_FREQUENT reach it all the same, as texts are very long, the bound is doubled until they don't.
+    shuffled follows from FREQUENT, and not from how many shingles the corpus has. Should more than MAX_FREQUENT reach
+    it, as texts are very long, those above twice the bound (or four times it, and so on) are held by tasks, and all others are joined to the texts
+    (`with_frequencies`): none is left out.
     """
     documents = docs.count()
     least = max(2, math.ceil(documents * FREQUENT))
-    sketch = shingle_counts(docs, SKETCH_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch >= least, bitorder="little"))
+    may = np.packbits(shingle_counts(docs, SKETCH_BITS) >= least, bitorder="little")
+    shared = docs.sparkSession.sparkContext.broadcast(may)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            seen = []
-            for sub in groups(batch, GROUP_BYTES):
-                owner, hashes = all_shingles(Group(sub.column("text").to_pylist(), LETTERS))
-                bit = hashes >> shift
-                may = (shared.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                order = np.lexsort((owner[may], hashes[may]))
-                owner, hashes = owner[may][order], hashes[may][order]
-                seen.append(hashes[np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]])
+            seen = [marked_shingles(sub, shared.value)[1] for sub in groups(batch, GROUP_BYTES)]
             hashes, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     counts = cut(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    while counts.where(F.col("n") >= least).count() > MAX_FREQUENT:
-        least *= 2
-    rows = counts.where(F.col("n") >= least).toArrow()
+    held = least
+    while counts.where(F.col("n") >= held).count() > MAX_FREQUENT:
+        held *= 2
+    rows = counts.where(F.col("n") >= held).toArrow()
     hashes, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(hashes)
-    return Frequencies(documents, least, hashes[order], n[order])
+    return Frequencies(documents, least, hashes[order], n[order], may, None if held == least else counts.where(F.col("n") < held))
+
+
+def marked_shingles(batch: pa.RecordBatch, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text of a group (column text) whose bucket is marked: which text, the hash."""
+    owner, hashes = all_shingles(Group(batch.column("text").to_pylist(), LETTERS))
+    bit = hashes >> np.uint64(64 - SKETCH_BITS)
+    marked = (may[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    order = np.lexsort((owner[marked], hashes[marked]))
+    owner, hashes = owner[marked][order], hashes[marked][order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]
+    return owner[first], hashes[first]
+
+
+def with_frequencies(docs: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """The documents (doc_id, digest, text) and in `own` the frequencies (shingle, n) of their shingles that tasks don't hold; null if none."""
+    kind = "array<struct<shingle: bigint, n: bigint>>"
+    if frequencies.more is None:
+        return docs.withColumn("own", F.lit(None).cast(kind))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies.may)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sub in groups(batch, GROUP_BYTES):
+                owner, hashes = marked_shingles(sub, shared.value)
+                yield pa.RecordBatch.from_arrays([sub.column("digest").take(pa.array(owner)), pa.array(hashes.view(np.int64))], ["digest", "shingle"])
+
+    pairs = docs.select("digest", "text").mapInArrow(run, "digest string, shingle long").distinct()
+    own = pairs.join(frequencies.more, "shingle").groupBy("digest").agg(F.collect_list(F.struct("shingle", "n")).cast(kind).alias("own"))
+    return stored(docs.join(own, "digest", "left").select("doc_id", "digest", "text", "own"), "weighted")
 
 
 def idf_of(frequencies: Frequencies) -> Idf:
@@ -130,9 +173,8 @@ def idf_of(frequencies: Frequencies) -> Idf:
     A large group of near copies makes its own shingles frequent. Without a bound each copy's few edits would weigh more
     than all that the group shares, and the larger the group, the less alike its copies would be.
     """
-    value = lambda n: np.log((frequencies.documents + 1.0) / (n + 0.5))
-    rest = max(float(value(np.float64(frequencies.least - 1))), 0.05)
-    return Idf(frequencies.hashes, value(frequencies.counts).clip(LEAST_WEIGHT * rest, rest), rest)
+    rest = max(math.log((frequencies.documents + 1.0) / (frequencies.least - 0.5)), 0.05)
+    return Idf(frequencies.hashes, frequencies.counts, frequencies.documents, rest)
 
 
 def all_shingles(g: Group) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +188,14 @@ def all_shingles(g: Group) -> tuple[np.ndarray, np.ndarray]:
     return owner, hashes
 
 
-def shingles(g: Group, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(g: Group, idf: Idf, own: list[pa.ListArray] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: which text (ascending), the shingle's hash (ascending in it), its TF-IDF weight: how often it stands in the text times its inverse document frequency."""
     owner, hashes = all_shingles(g)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)])
     owner, hashes, times = owner[first], hashes[first], np.diff(first, append=len(owner))
-    return owner, hashes, times * idf.of(hashes)
+    return owner, hashes, times * idf.of(hashes, own)
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -195,7 +237,7 @@ def signed(docs: DataFrame, shared: Broadcast[Idf]) -> DataFrame:
             for sub in groups(batch, GROUP_BYTES):
                 g = Group(sub.column("text").to_pylist(), LETTERS)
                 found = [None] * len(sub)
-                owner, hashes, weights = shingles(g, shared.value)
+                owner, hashes, weights = shingles(g, shared.value, [sub.column("own")])
                 if len(owner):
                     for k, s in zip(np.unique(owner).tolist(), signatures(owner, hashes, weights), strict=True):
                         found[k] = s.tobytes()
@@ -206,7 +248,7 @@ def signed(docs: DataFrame, shared: Broadcast[Idf]) -> DataFrame:
                 so_far += len(sub)
                 yield pa.RecordBatch.from_arrays([keys, sub.column("doc_id"), sub.column("digest"), pa.array(same, pa.binary()), pa.array(found, pa.binary())], ["key", "doc_id", "digest", "same", "signature"])
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, f"key long, doc_id {dict(docs.dtypes)['doc_id']}, digest string, same binary, signature binary")
+    return docs.select("doc_id", "digest", "text", "own").mapInArrow(run, f"key long, doc_id {dict(docs.dtypes)['doc_id']}, digest string, same binary, signature binary")
 
 
 def sums(g: Group) -> list[np.ndarray]:
@@ -315,7 +357,7 @@ def counts_row(block: int, counts: np.ndarray) -> list[pa.Array]:
 
 
 def rare_shingles(texts: DataFrame, shared_idf: Broadcast[Idf], shared_counts: Broadcast[np.ndarray], similar: float) -> DataFrame:
-    """shingle, key, root, total, rest, short: the first shingles of each text (key, root, text) in the order of their counts.
+    """shingle, key, root, total, rest, short: the first shingles of each text (key, root, text, own) in the order of their counts.
 
     `total` is the weight of the text and `rest` that of this shingle and all later ones. Two texts whose similarity is
     at least `similar` share a weight of similar / (1 + similar) times both totals, and all that they share is in the
@@ -326,7 +368,7 @@ def rare_shingles(texts: DataFrame, shared_idf: Broadcast[Idf], shared_counts: B
         idf, counts = shared_idf.value, shared_counts.value
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES):
-                owner, hashes, weights = shingles(Group(sub.column("text").to_pylist(), LETTERS), idf)
+                owner, hashes, weights = shingles(Group(sub.column("text").to_pylist(), LETTERS), idf, [sub.column("own")])
                 order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], owner))
                 owner, hashes, weights = owner[order], hashes[order], weights[order]
                 before = np.append(0, np.cumsum(weights))[:-1]
@@ -338,7 +380,7 @@ def rare_shingles(texts: DataFrame, shared_idf: Broadcast[Idf], shared_counts: B
                 columns = [pa.array(hashes[keep].view(np.int64)), sub.column("key").take(at), sub.column("root").take(at), pa.array(total[keep]), pa.array(rest[keep]), pa.array(short[keep])]
                 yield pa.RecordBatch.from_arrays(columns, ["shingle", "key", "root", "total", "rest", "short"])
 
-    return texts.select("key", "root", "text").mapInArrow(run, "shingle long, key long, root long, total double, rest double, short boolean")
+    return texts.select("key", "root", "text", "own").mapInArrow(run, "shingle long, key long, root long, total double, rest double, short boolean")
 
 
 def joined_pairs(rare: DataFrame, similar: float) -> DataFrame:
@@ -357,9 +399,9 @@ def joined_pairs(rare: DataFrame, similar: float) -> DataFrame:
     return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
-def weighted_jaccard(g: Group, idf: Idf) -> np.ndarray:
+def weighted_jaccard(g: Group, idf: Idf, own: list[pa.ListArray] = ()) -> np.ndarray:
     """Similarities of the texts 0 and 1, 2 and 3, and so on."""
-    owner, hashes, weights = shingles(g, idf)
+    owner, hashes, weights = shingles(g, idf, own)
     pair = owner // 2
     order = np.lexsort((owner, hashes, pair))
     p, h, w = pair[order], hashes[order], weights[order]
@@ -372,14 +414,14 @@ def weighted_jaccard(g: Group, idf: Idf) -> np.ndarray:
 
 def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast[Idf], similar: float) -> DataFrame:
     """Pairs (a, b) whose weighted Jaccard similarity, computed from their whole texts, is at least `similar`."""
-    full = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    one, other = (texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    full = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b", "own_a", "own_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sub in groups(batch, GROUP_BYTES // 2, "text_a"):
                 texts = [x for both in zip(sub.column("text_a").to_pylist(), sub.column("text_b").to_pylist(), strict=True) for x in both]
-                found = weighted_jaccard(Group(texts, LETTERS), shared.value)
+                found = weighted_jaccard(Group(texts, LETTERS), shared.value, [sub.column("own_a"), sub.column("own_b")])
                 keep = np.flatnonzero(found >= similar)
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([sub.column("a").take(at), sub.column("b").take(at), pa.array(found[keep])], ["a", "b", "similarity"])
@@ -403,7 +445,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.lower(text_of(text_col)).cast("binary").alias("text"))
     spark = df.sparkSession
-    idf = spark.sparkContext.broadcast(idf_of(document_frequencies(docs)))  # once for all rounds
+    frequencies = document_frequencies(docs)
+    docs = with_frequencies(docs, frequencies)
+    idf = spark.sparkContext.broadcast(idf_of(frequencies))  # once for all rounds
     rows = stored(signed(docs, idf), "signed")
     # stored before they are joined, so that adaptive execution can split a large group of copies
     alike = stored(rows.groupBy("same").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("copies")), "alike")
@@ -415,8 +459,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         send = F.broadcast if few else (lambda x: x)
         # a row's key is not in the given table, its id and text are; equal rows give a text twice, which changes nothing
         wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-        found = docs.select("doc_id", "digest", "text").join(send(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-        return found.select("key", "text")
+        found = docs.select("doc_id", "digest", "text", "own").join(send(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+        return found.select("key", "text", "own")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         texts = texts_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
@@ -441,7 +485,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_buckets = tied.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
     open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
     if not open_rows.isEmpty():
-        texts = stored(texts_of(open_rows.select("key")).select("key", "text").join(open_rows, "key"), "open")
+        texts = stored(texts_of(open_rows.select("key")).join(open_rows, "key"), "open")
         counts = spark.sparkContext.broadcast(shingle_counts(texts, ORDER_BITS))
         rare = stored(rare_shingles(texts, idf, counts, similar), "rare")
         counts.destroy()

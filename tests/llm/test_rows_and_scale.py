@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noteframe.llm import classifier, decontaminate, hmm, near, packing, secrets, sharding, warc
@@ -365,3 +366,28 @@ def test_packing_words_kept_or_forgotten_give_the_same_ids(monkeypatch):
         assert np.frombuffer(data, "<u4").tolist() == [i for x in expected for i in x]
         store.forget()
         assert len(store.known) <= 3
+
+
+def test_shingles_beyond_those_that_tasks_hold_keep_their_frequencies(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [[f"c{k}w{i}" for i in range(30)] for k in range(6)]
+    rows = []
+    for k in range(240):  # frequent parts of different frequencies, and copies with a few words of them or of their own edited
+        base = common[k % 2] + common[2 + k % 4] + [f"r{k // 4}x{i}" for i in range(30)]
+        for _ in range(k % 4 * 2):
+            base[rng.randrange(len(base))] = f"e{rng.random()}"
+        rows.append((k, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = lambda: sorted((r.doc_id, r.class_id) for r in near.near_duplicates(docs).collect())
+    keyed = docs.select("doc_id", F.md5("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+
+    def signs():
+        found = near.document_frequencies(keyed)
+        shared = spark.sparkContext.broadcast(near.idf_of(found))
+        return {r.doc_id: r.signature for r in near.signed(near.with_frequencies(keyed, found), shared).collect()}, found
+
+    classes, (held, found) = seen(), signs()
+    monkeypatch.setattr(near, "MAX_FREQUENT", 60)
+    joined, fewer = signs()
+    assert found.more is None and len(fewer.hashes) <= 60 and fewer.more.count() + len(fewer.hashes) == len(found.hashes)
+    assert joined == held and seen() == classes
