@@ -13,6 +13,15 @@ from noteframe.llm import classifier, decontaminate, near, packing, secrets
 from noteframe.llm.common import digest_of, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that cross to Python at once: batches are held several times outside the heap, by the JVM and by its workers.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """A smaller setting stays; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def same_row() -> Column:
@@ -22,12 +31,14 @@ def same_row() -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labels of the given documents that are not held out."""
+    small_batches(spark)
     model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return classifier.score(docs, model, keep=True).where("predicted = 1").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the smallest id (any with an id before one without)."""
+    small_batches(spark)
     kept = near.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     rows = docs.join(kept, same_row())
     # rows of one id and one text are copies of each other: one of them stays, where there are any
@@ -37,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    small_batches(spark)
     pairs = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     bad = pairs.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     return docs.join(bad, same_row(), "left_anti").select(COLUMNS)
@@ -50,6 +62,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens with the mixture of sources in each: one row a piece of a document."""
+    small_batches(spark)
     import public_tokenizers
 
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

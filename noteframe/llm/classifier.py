@@ -203,20 +203,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Every whole text is scored where it lies; null and empty texts are one passage of zeros and get a score as well.
     """
     rows = docs.drop("score", "predicted") if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))
-    rows = rows.withColumn("_bytes", text_of(text_col).cast("binary"))
+    # a kept text goes to the workers once
+    once = keep and dict(rows.dtypes)[text_col] == "string"
+    if not once:
+        rows = rows.withColumn("_bytes", text_of(text_col).cast("binary"))
     if not keep:
         rows = rows.drop(text_col)
+    texts = text_col if once else "_bytes"
     shared = docs.sparkSession.sparkContext.broadcast(model.p)
     names = [c for c in rows.columns if c != "_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value)
         for batch in batches:
-            for sub in groups(batch, GROUP_BYTES, "_bytes"):
-                x, counts = features(sub.column("_bytes").to_pylist())
+            for sub in groups(batch, GROUP_BYTES, texts):
+                x, counts = features([x or b"" for x in sub.column(texts).cast(pa.binary()).to_pylist()])
                 y = own.forward(x, counts)["y"]
                 yield pa.RecordBatch.from_arrays([*(sub.column(c) for c in names), pa.array(y, pa.float64())], [*names, "score"])
 
+    rows = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, texts])])
     schema = rows.select(*[F.col(f"`{c}`") for c in names]).schema.add("score", "double")
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

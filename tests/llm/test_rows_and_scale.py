@@ -391,3 +391,11 @@ def test_shingles_beyond_those_that_tasks_hold_keep_their_frequencies(spark, mon
     joined, fewer = signs()
     assert found.more is None and len(fewer.hashes) <= 60 and fewer.more.count() + len(fewer.hashes) == len(found.hashes)
     assert joined == held and seen() == classes
+
+
+def test_kept_texts_are_scored_as_they_are(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "some words here, 12", "c"), (4, "\u00e4 \u4e2d x " * 50, None)]
+    docs, model = spark.createDataFrame(rows, "doc_id long, text string, lang string"), classifier.Model.fresh(10 + len(classifier.KINDS) + classifier.BUCKETS, 0.4, np.random.default_rng(1))
+    bare = {r.doc_id: r.score for r in classifier.score(docs, model).collect()}
+    kept = classifier.score(docs, model, keep=True).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in kept) == rows and {r.doc_id: r.score for r in kept} == bare
