@@ -399,3 +399,13 @@ def test_kept_texts_are_scored_as_they_are(spark):
     bare = {r.doc_id: r.score for r in classifier.score(docs, model).collect()}
     kept = classifier.score(docs, model, keep=True).collect()
     assert sorted((r.doc_id, r.text, r.lang) for r in kept) == rows and {r.doc_id: r.score for r in kept} == bare
+
+
+def test_bare_words_by_the_model_are_those_of_the_tokenizer(tmp_path):
+    import public_tokenizers
+
+    store = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["the", "quickest", "zzyzxq", "antidisestablishmentarianism", "a" * 300, "\u00e4rger", "The", "Fox,", "don't", "x"]
+    counts, data = store.ids([" ".join(words), "zzyzxq. THE quickest"], 2)
+    whole = [x + np.array([2], "<u4").tobytes() for x in store.encode([" ".join(words), "zzyzxq. THE quickest"])]
+    assert store.model_alone and data == b"".join(whole) and counts.tolist() == [len(x) // 4 for x in whole]
