@@ -409,3 +409,31 @@ def test_bare_words_by_the_model_are_those_of_the_tokenizer(tmp_path):
     counts, data = store.ids([" ".join(words), "zzyzxq. THE quickest"], 2)
     whole = [x + np.array([2], "<u4").tobytes() for x in store.encode([" ".join(words), "zzyzxq. THE quickest"])]
     assert store.model_alone and data == b"".join(whole) and counts.tolist() == [len(x) // 4 for x in whole]
+
+
+def test_pieces_of_words_have_the_ids_of_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces, stops = packing.pieces_of([x.encode() for x in ["The FOX,isst.%%% 3rd", "", "don't L'ÉTÉ ÉTÉ! A×B Ωb.c"]])
+    assert [x.decode() for x in pieces.to_pylist()] == ["the", "fox", ",", "isst", ".%%%", "3", "rd", "don't", "L'ÉTÉ", "été", "!", "A×B", "Ωb.c"]
+    assert stops.tolist() == [7, 7, 13]
+    store, rng = packing.Words(path), random.Random(6)
+    letters = "aAbZsStTlLvVrReEéÉßÀ×÷ÿªº½²'’,.;:!?$%&_-<>|0123456789  \n\t\r\x0b\x1c\x85\xa0́İıŁΣσД中😀​\x00"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 15))) for _ in range(4000)]
+    for at in range(0, len(texts), 1000):
+        counts, data = store.ids(texts[at : at + 1000], 2)
+        whole = [x + np.array([2], "<u4").tobytes() for x in store.encode(texts[at : at + 1000])]
+        assert data == b"".join(whole) and counts.tolist() == [len(x) // 4 for x in whole]
+    assert store.by_words and store.model_alone
+    # words of the same letters in either case, with marks behind them, are one piece to the store
+    store.known = {}
+    store.ids(["fox Fox FOX, fox. fox$$$ (fox)"], 2)
+    assert sorted(store.known) == [b"$$$", b"(", b")", b",", b".", b"fox"]
+    # a tokenizer that joins digits to letters is given whole texts
+    joined = Tokenizer.from_file(path)
+    joined.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.BertPreTokenizer(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    joined.save(str(tmp_path / "joined.json"))
+    store = packing.Words(str(tmp_path / "joined.json"))
+    assert not store.by_words and store.ids(["abc123 x"], 2)[1] == store.encode(["abc123 x"])[0] + np.array([2], "<u4").tobytes()
