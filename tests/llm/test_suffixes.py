@@ -100,3 +100,13 @@ def test_keys_do_not_depend_on_how_a_scan_is_split(spark, tmp_path, monkeypatch)
         assert read() == want and sum(r[2] > 0 for r in want) == 8
     finally:
         spark.conf.set(name, before)
+
+
+def test_passages_planted_in_two_documents_are_marked_from_400_bytes_on(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"{rng.randrange(10**7):07d}" for _ in range(n))
+    short, long = say(49) + " 1234567", say(50) + " 12"  # 399 and 402 bytes
+    texts = [say(80), f"{say(30)}|{short}|{say(40)}", f"{say(50)}<{short}>{say(20)}", f"{say(30)}|{long}|{say(40)}", f"{say(50)}<{long}>{say(20)}", say(200)]
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bytes_too=False).collect()}
+    assert (len(short), len(long)) == (399, 402)
+    assert got == {0: 0, 1: 0, 2: 0, 3: 402, 4: 402, 5: 0}
