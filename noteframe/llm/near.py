@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteframe.llm.common import cut, digest_of, stored, table, text_of
+from noteframe.llm.common import digest_of, gathered, sent, stored, table, text_of
 from noteframe.llm.graph import components, merged
 from noteframe.llm.tokens import LETTERS, Group, groups, mix
 
@@ -128,7 +128,7 @@ def document_frequencies(docs: DataFrame) -> Frequencies:
             hashes, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    counts = cut(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    counts = gathered(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     held = least
     while counts.where(F.col("n") >= held).count() > MAX_FREQUENT:
         held *= 2
@@ -307,7 +307,7 @@ def hub_pairs(large: DataFrame, signs: DataFrame, links: DataFrame, roots: DataF
     class meets that class's hub, its row with most links. So copies that are only like what they were copied from are
     compared with it, wherever it stands in the order of its buckets."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = roots.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    hubs = degree.join(roots, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     tied = large.select("key", "signature", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = tied.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     top = classes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -343,7 +343,8 @@ def shingle_counts(texts: DataFrame, bits: int) -> np.ndarray:
     parts = texts.select("text").mapInArrow(run, schema).withColumn("turn", F.spark_partition_id() % F.lit(32))
     some = parts.groupBy("block", "turn").applyInArrow(add, schema)
     out = np.zeros((1 << bits) // ORDER_BLOCK * ORDER_BLOCK, np.uint32).reshape(-1, ORDER_BLOCK)
-    for r in some.groupBy("block").applyInArrow(add, schema).toLocalIterator():
+    # few partitions, as each one is a job of its own
+    for r in some.groupBy("block").applyInArrow(add, schema).coalesce(8).toLocalIterator():
         at = np.frombuffer(r["at"], np.uint16)
         out[r["block"], at] = np.frombuffer(r["n"], f"<u{len(r['n']) // len(at)}").clip(max=2**32 - 1)
     return out.ravel()
@@ -453,26 +454,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = stored(rows.groupBy("same").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("copies")), "alike")
     member = stored(rows.select("key", "doc_id", "digest", "same").join(alike, "same").select("key", "doc_id", "digest", "leader", "copies"), "members")
     leaders = rows.where("signature is not null").join(alike.select(F.col("leader").alias("key")), "key", "left_semi").select("key", "signature")
+    leaders = stored(leaders, "leaders")
 
     def texts_of(ends: DataFrame) -> DataFrame:
         few = ends.count() <= MAX_ENDS  # else whole texts are shuffled to the keys
         send = F.broadcast if few else (lambda x: x)
         # a row's key is not in the given table, its id and text are; equal rows give a text twice, which changes nothing
-        wanted = member.where("key = leader").join(ends, "key", "left_semi").select("key", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        wanted = member.where("key = leader").join(send(ends), "key", "left_semi").select("key", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
         found = docs.select("doc_id", "digest", "text", "own").join(send(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
         return found.select("key", "text", "own")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
-        return cut(verified(pairs, texts, idf, similar).select("a", "b"))
+        texts = texts_of(gathered(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
+        return gathered(verified(pairs, texts, idf, similar).select("a", "b"))
 
     buckets = stored(buckets_of(leaders), "buckets")
-    pairs = cut(band_pairs(buckets))
+    pairs = gathered(band_pairs(buckets))
     links = links_of(pairs)
     roots = components(links)
     large = buckets.where(F.col("size") > ALL_PAIRS)
     while True:  # until the hubs of large buckets link nothing new
-        further = cut(hub_pairs(large, leaders, links, roots).join(pairs, ["a", "b"], "left_anti"))
+        further = gathered(hub_pairs(large, leaders, links, sent(roots)).join(pairs, ["a", "b"], "left_anti"))
         if further.isEmpty():
             break
         new = links_of(further)
@@ -481,9 +483,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         links = links.union(new)
         roots = merged(roots, new)
-    tied = large.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    tied = large.select("key", "bucket").join(sent(roots).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_buckets = tied.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    open_rows = cut(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
+    open_rows = gathered(tied.join(open_buckets.select("bucket"), "bucket", "left_semi").select("key", "root").distinct())
     if not open_rows.isEmpty():
         texts = stored(texts_of(open_rows.select("key")).join(open_rows, "key"), "open")
         counts = spark.sparkContext.broadcast(shingle_counts(texts, ORDER_BITS))
@@ -491,10 +493,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts.destroy()
         further = joined_pairs(rare, similar).join(pairs, ["a", "b"], "left_anti")
         one, other = (leaders.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab")
-        further = cut(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
+        further = gathered(further.join(one, "a").join(other, "b").where(alike_enough("signature_a", "signature_b")).select("a", "b"))
         roots = merged(roots, links_of(further))
     idf.destroy()  # all that needs it is written
-    tied = member.join(roots.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
+    tied = member.join(sent(roots).withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
     tied = stored(tied, "tied")
     named = stored(tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")), "classes")
     out = tied.join(named, "root")

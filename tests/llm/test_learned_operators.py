@@ -246,3 +246,25 @@ def test_pipeline_stages(spark, odd):
     pieces = corpus_pipeline.pack(spark, docs, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Rounds over a small table cost by their tasks, whose figures the driver keeps: partitions of the shuffles must not multiply with rounds."""
+    n, sc, found = 300, spark.sparkContext, None
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000 + i, 1000) for i in range(1, n)], "a long, b long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 100)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tracker = sc.statusTracker()
+        known = set(tracker.getJobIdsForGroup(None))
+        labels = graph.components(links)
+        labels = graph.merged(labels, spark.createDataFrame([(5, 1007), (5000, 5001)], "a long, b long"))
+        found = {r.node: r.root for r in labels.collect()}
+        stages = [tracker.getStageInfo(s) for j in set(tracker.getJobIdsForGroup(None)) - known for s in tracker.getJobInfo(j).stageIds]
+        tasks = sum(s.numCompletedTasks for s in stages if s)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {**{i: 0 for i in range(n + 1)}, **{1000 + i: 0 for i in range(n)}, 5000: 5000, 5001: 5000}
+    assert tasks < 2000, tasks
