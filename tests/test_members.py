@@ -1,6 +1,7 @@
 """Membership by owner: as pair by pair, and no pair is shuffled."""
 
-from noteframe.operators import library
+from noteframe.operators import changes, library
+from noteframe.plans import maintenance_queries as M
 
 NOTES = "id long, owner_id long, title string"
 
@@ -16,6 +17,18 @@ def made(spark):
     return notes, books, bridge.union(bridge.where("note_id < 5"))
 
 
+def test_by_owner_is_as_pair_by_pair(spark):
+    notes, books, bridge = made(spark)
+    asked_notes = spark.range(0, 400, 3).selectExpr("id as note_id", "cast(1 + id % 3 as long) as owner_id").union(spark.range(0, 400, 2).selectExpr("id", "2"))
+    asked_notes = asked_notes.union(spark.range(0, 300, 3).selectExpr("id", "1"))  # some twice, some of strangers, some of nobody
+    asked_books = spark.range(0, 70, 2).selectExpr("id as notebook_id", "case when id % 6 = 0 then 2 else 1 end as owner_id").union(spark.range(59, 60).selectExpr("id", "3"))
+    asked_books = asked_books.union(asked_books.limit(9))
+    requests = asked_notes.join(asked_books, "owner_id")
+    one = changes.add_members(requests, books, notes, bridge, M.as_of())
+    by_owner = changes.add_every_member(asked_notes, asked_books, books, notes, bridge, M.as_of())
+    assert pairs(one[0]) == pairs(by_owner[0]) and pairs(one[1]) == pairs(by_owner[1])
+
+
 def test_blocks_and_groups_of_any_size_give_the_same_pairs(spark):
     notes, books, bridge = made(spark)
     mine, own = notes.withColumnRenamed("id", "note_id"), books.selectExpr("id as notebook_id", "owner_id")
@@ -44,6 +57,18 @@ def shuffled(df, what="shuffleRecordsWritten"):
     return total, rows
 
 
+def test_pairs_are_not_shuffled(spark):
+    """2,000 notes and 1,000 notebooks of one owner: 500,000 pairs were shuffled many times, or rows for each notebook and block with the notes of the block."""
+    notes = spark.range(2000).selectExpr("id", "1L as owner_id", "concat('t', id) as title")
+    books = spark.range(1000).selectExpr("id", "1L as owner_id", "timestamp_ntz '2020-01-01 00:00:00' as updated_at")
+    bridge = spark.range(1000).selectExpr("id as note_id", "id as notebook_id")
+    asked = notes.where("id % 4 = 0").selectExpr("id as note_id", "owner_id"), books.selectExpr("id as notebook_id", "owner_id")
+    added = changes.add_every_member(*asked, books, notes, bridge, M.as_of())
+    for df, n in ((added[1], 500_000 + 750), (added[0], 1000)):
+        moved, rows = shuffled(df)
+        assert rows == n and 0 < moved < 30_000
+
+
 def test_notes_come_to_notebooks_once_a_block(spark):
     """The lists of notes were shuffled once for each notebook: 2,000 notes and 1,000 notebooks made some 80 MB."""
     notes = spark.range(2000).selectExpr("id", "1L as owner_id", "concat('a title of some length ', id) as title")
